@@ -1,0 +1,50 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: what a task wrote is final, so values that depend
+    on how rows were partitioned stay the same when executors are lost later.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables written so far; results that still read them become invalid."""
+    while _written:
+        spark, path = _written.pop()
+        context = spark.sparkContext
+        if context._jsc is None:
+            continue
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+atexit.register(release)
