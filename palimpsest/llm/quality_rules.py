@@ -184,12 +184,12 @@ WITH d AS (
   SELECT id, doc_id, t, list_filter(regexp_split_to_array(t, '{spaces}+'), x -> x <> '') AS words,
          list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), win AS (
-  SELECT id, at, array_to_string(list_slice(words, at, at + {WINDOW - 1}), ' ') AS key
-  FROM (SELECT id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS at FROM w)
+  SELECT id, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') AS key
+  FROM (SELECT id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM w)
 ), again AS (
-  SELECT id, at FROM win QUALIFY count(*) OVER (PARTITION BY id, key) > 1
+  SELECT id, pos FROM win QUALIFY count(*) OVER (PARTITION BY id, key) > 1
 ), covered AS (
-  SELECT id, count(DISTINCT at + k) AS n FROM again, range(0, {WINDOW}) AS r(k) GROUP BY id
+  SELECT id, count(DISTINCT pos + k) AS n FROM again, range(0, {WINDOW}) AS r(k) GROUP BY id
 ), m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
