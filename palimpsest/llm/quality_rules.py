@@ -181,8 +181,8 @@ def sql(rules=RULES) -> str:
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT id, doc_id, t, list_filter(regexp_split_to_array(t, '{spaces}+'), x -> x <> '') AS words,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+  SELECT id, doc_id, t, list_filter(regexp_split_to_array(t, '{spaces}+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), win AS (
   SELECT id, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') AS key
   FROM (SELECT id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM w)
@@ -194,9 +194,9 @@ WITH d AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         len(lines)::BIGINT AS n_lines, len(list_filter(words, x -> lower(trim(x, '.,;:!?()"''')) IN ({stops})))::BIGINT AS n_stop_words,
+         len(lines)::BIGINT AS n_lines, len(list_filter(words, lambda x: lower(trim(x, '.,;:!?()"''')) IN ({stops})))::BIGINT AS n_stop_words,
          length(regexp_replace(t, '\P{{L}}+', '', 'g'))::BIGINT AS n_letters,
-         len(list_filter(range(2, len(words) + 1), i -> words[i] = words[i - 1]))::BIGINT AS n_echoes
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_echoes
   FROM w LEFT JOIN covered USING (id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
