@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, packing, quality_rules
+from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, packing, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_byte_bpe, op8_quality_rules, op9_feistel_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_byte_bpe, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
