@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, packing, quality_rules, simhash
+from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, language_id, packing, pii, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,7 +49,7 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op4_byte_bpe, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
