@@ -69,8 +69,9 @@ def exact_dedup(docs: DataFrame, digest=digest_of, salts: int = SALTS) -> DataFr
 
 def drop_copies(docs: DataFrame, digest=digest_of, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_dedup(docs, digest, salts).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+    dropped = exact_dedup(docs, digest, salts).where("not kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
+    own = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_anti")
 
 
 SQL = r"""

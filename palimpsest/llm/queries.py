@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, language_id, packing, pii, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +50,8 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)}
+    numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)
+    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,3 +130,73 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = linked.join(lowest, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near copies: the share of common five-word shingles, and how candidates are searched for. Two-word
+#: fingerprints of texts that similar differ in a few bits, five-word ones in many.
+SIMILARITY = 0.8
+SIMILAR_WORDS = 5
+SEARCH_WORDS = 2
+SEARCH_RADIUS = 10
+SEARCH_SEGMENTS = 3
+#: Rounds that thin out large groups before the remaining pairs are listed.
+THINNING_ROUNDS = 3
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a, b`` of doc_ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``."""
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_id, last = None, np.empty(0, dtype="<u8")
+        for batch in batches:
+            keep = []
+            for b, text_a, text_b in zip(batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
+                if b is None or b != last_id:
+                    last_id, last = b, np.unique(hashes(text_b.as_py(), words))
+                own = np.unique(hashes(text_a.as_py(), words))
+                common = len(np.intersect1d(own, last, assume_unique=True))
+                keep.append(common >= similarity * (len(own) + len(last) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id`` of the documents to drop so that no two that stay are found to be near copies.
+
+    Groups that hold a large share of all rows never list their pairs: in each thinning
+    round a document is compared only with the first document (by doc_id) of
+    every segment value in its balls, and goes if it is similar to one of them.
+    What is left is small groups, whose pairs are listed and compared. Of every
+    group the first document stays.
+    """
+    alive = materialise(fingerprints(docs.where(F.col("doc_id").isNotNull()), SEARCH_WORDS), "near-fingerprints")
+    gone = None
+    ball = SEARCH_SEGMENTS  # one bit in each segment
+    for round_number in range(THINNING_ROUNDS + 1):
+        table = tabled(alive.select(F.col("doc_id").alias("b"), "fp"), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
+        if round_number < THINNING_ROUNDS:
+            first = table.groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b")).alias("first"))
+            table = first.select("segment", "value", "first.b", "first.fp_b")
+        probes = probed(alive.select(F.col("doc_id").alias("a"), "fp"), ball, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
+        close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS)
+        joined = probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
+        pairs = joined.select("a", "b").distinct()
+        dropped = materialise(similar(docs, pairs, similarity=similarity).select(F.col("a").alias("doc_id")).distinct(), "near-copies")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        alive = alive.join(dropped, "doc_id", "left_anti")
+    return gone.distinct()
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without near copies, all columns kept.
+
+    Rows without a doc_id stay; rows that share a doc_id stay or go together;
+    texts without words are copies of each other.
+    """
+    gone = near_copies(docs, similarity).withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
