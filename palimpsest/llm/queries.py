@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, language_id, packing, pii, quality_rules, simhash
+from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +49,12 @@ def op9_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_sharding.shard(documents(spark, sf_dir))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding)
+    numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding, op10_html_extraction)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
