@@ -128,9 +128,9 @@ def parse(source: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, lis
                 close()
             ends, keeps = CLOSED_BY.get(tag, ()), HOLDERS | {"tr"} if tag in ("td", "th") else HOLDERS
             near = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in keeps), 0) if ends else 0
-            while near and stack[near].tag in ends:
-                close()
-                near = near if len(stack) > near else 0
+            if near and stack[near].tag in ends:
+                while len(stack) > near or stack[-1].tag in ends:
+                    close()
             element = _opened(tag, m[3], stack[-1], len(stack))
             name = element.path.rpartition(">")[2]
             if not stack[-1].children or stack[-1].children[-1] != name:
