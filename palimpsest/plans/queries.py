@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
+from palimpsest.operators import evaluation, graph, history, links
+from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, CATEGORY_LINKS_SQL, article_links, category_links, revisions, table, turns
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+AT = "2024-01-15 00:00:00"
+MANY = ("2024-01-05 00:00:00", "2024-01-15 00:00:00", "2024-01-25 12:00:00")
+LAYER = "1996-03-01 00:00:00"
+EVENTS = "SELECT user_id AS page_id, event_id AS revision_id, ts FROM events"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query, and its SQL where SQL can express it."""
@@ -23,20 +32,287 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-SNAPSHOT_AT = "2024-01-15 00:00:00"
+# Time travel
+
+
+@query("tt1_revision_at", f"SELECT user_id AS page_id, event_id AS revision_id, ts FROM events WHERE ts <= TIMESTAMP '{AT}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def tt1(spark, d):
+    return history.revision_at(revisions(spark, d).select("page_id", "revision_id", "ts"), AT)
+
+
+@query("tt12_snapshot_at", f"SELECT user_id AS page_id, max_by(event_id, (ts, event_id)) AS revision_id FROM events WHERE ts <= TIMESTAMP '{AT}' GROUP BY user_id")
+def tt12(spark, d):
+    return history.revision_at(revisions(spark, d).select("page_id", "revision_id", "ts"), AT).select("page_id", "revision_id")
+
+
+@query(
+    "tt12_snapshot_many",
+    f"""WITH t("at") AS (VALUES {", ".join(f"(TIMESTAMP '{x}')" for x in MANY)})
+    SELECT user_id AS page_id, event_id AS revision_id, "at" FROM events, t WHERE ts <= "at"
+    QUALIFY row_number() OVER (PARTITION BY user_id, "at" ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def tt12_many(spark, d):
+    instants = spark.createDataFrame([(x,) for x in MANY], "at string")
+    return history.snapshots(revisions(spark, d).select("page_id", "revision_id", "ts"), instants).select("page_id", "revision_id", "at")
+
+
+@query("tt2_first_revision", "SELECT user_id AS page_id, min_by(event_id, (ts, event_id)) AS revision_id FROM events GROUP BY user_id")
+def tt2(spark, d):
+    return history.first_revision(revisions(spark, d).select("page_id", "revision_id", "ts")).select("page_id", "revision_id")
+
+
+@query("tt3_latest_revision", "SELECT user_id AS page_id, max_by(event_id, (ts, event_id)) AS revision_id FROM events GROUP BY user_id")
+def tt3(spark, d):
+    return history.latest_revision(revisions(spark, d).select("page_id", "revision_id", "ts")).select("page_id", "revision_id")
+
+
+@query("tt4_positions", f"SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY page_id) AS cnt FROM ({EVENTS}) WINDOW w AS (PARTITION BY page_id ORDER BY ts, revision_id)")
+def tt4(spark, d):
+    return history.positions(revisions(spark, d).select("page_id", "revision_id", "ts")).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query(
+    "tt6_sequence_from",
+    "SELECT conv_id AS page_id, turn AS revision_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, text FROM conversations c WHERE turn >= 2 AND EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.turn = 2)",
+)
+def tt6(spark, d):
+    rows = turns(spark, d)
+    return history.sequence_from(rows, rows.where("revision_id = 2")).select("page_id", "revision_id", F.col("rn").cast("long"), "text")
+
+
+@query(
+    "tt7_prev_next",
+    "SELECT conv_id AS page_id, turn AS revision_id, lag(turn) OVER w AS previous_id, lead(turn) OVER w AS next_id, (length(text) - lag(length(text)) OVER w)::BIGINT AS growth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+)
+def tt7(spark, d):
+    rows = history.neighbours(turns(spark, d)).withColumn("growth", F.length("text") - F.lag(F.length("text")).over(history.chronology()))
+    return rows.select("page_id", "revision_id", "previous_id", "next_id", F.col("growth").cast("long"))
+
+
+@query("tt8_interval", f"SELECT page_id, revision_id, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY page_id ORDER BY ts, revision_id), TIMESTAMP '3000-01-01') AS valid_to FROM ({EVENTS})")
+def tt8(spark, d):
+    return history.intervals(revisions(spark, d)).select("page_id", "revision_id", "valid_from", "valid_to")
+
+
+@query("tt14_key_frames", f"SELECT page_id, revision_id, (rn - 1) % 50 = 0 OR rn = cnt AS is_key FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts, revision_id) AS rn, count(*) OVER (PARTITION BY page_id) AS cnt FROM ({EVENTS}))")
+def tt14(spark, d):
+    return history.key_frames(revisions(spark, d)).select("page_id", "revision_id", "is_key")
+
+
+@query("ag1_revision_count", "SELECT user_id AS page_id, count(*) AS n_revisions FROM events GROUP BY user_id")
+def ag1(spark, d):
+    return history.revision_counts(revisions(spark, d))
+
+
+@query("ag2_pages_by_namespace", "SELECT n_regionkey AS ns_id, count(*) AS n_pages FROM nation GROUP BY 1")
+def ag2(spark, d):
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("ns_id")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@query("jn5_parent", "SELECT c.conv_id, c.turn, p.role AS parent_role FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
+def jn5(spark, d):
+    talk = table(spark, d, "conversations").withColumn("parent_id", F.col("turn") - 1).select(F.col("conv_id").alias("db"), F.col("turn").alias("revision_id"), "parent_id", F.col("role").alias("ts"))
+    return history.with_parent(talk, ("db",)).select(F.col("db").alias("conv_id"), F.col("revision_id").alias("turn"), F.col("parent_ts").alias("parent_role"))
+
+
+@query("jn10_tier_exact", f"SELECT user_id AS page_id, ts FROM events WHERE ts IN (SELECT ts FROM events WHERE event_id % 10 = 0) AND (user_id, ts) IN (SELECT (user_id, ts) FROM events WHERE event_id % 10 = 0)")
+def jn10(spark, d):
+    rows = revisions(spark, d).select("page_id", "revision_id", "ts")
+    return history.tiers_at(rows, rows.where("revision_id % 10 = 0")).select("page_id", "ts")
+
+
+@query("jn13_skip_existing", "SELECT o_orderkey AS page_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < TIMESTAMP '1996-06-01')")
+def jn13(spark, d):
+    known = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1996-06-01").cast("timestamp_ntz")).select(F.col("l_orderkey").alias("page_id"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).join(known, "page_id", "left_anti")
+
+
+# Projections and look-ups
+
+
+@query("prj2_author", "SELECT event_id AS revision_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'ip' || event_id END, c_name) AS author FROM events LEFT JOIN customer ON c_custkey = user_id")
+def prj2(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("revision_id"), F.col("user_id").alias("contributor_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("ip"), F.col("event_id"))).alias("ip"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("contributor_id"), F.col("c_name").alias("name"))
+    return history.with_author(rows, people).select("revision_id", "author")
+
+
+@query("prj3_bytes", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN n_chars END, strlen(text))::BIGINT AS bytes FROM documents")
+def prj3(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", history.byte_length(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")), F.col("text")).cast("long").alias("bytes"))
+
+
+NAMESPACES = [(0, "FIRST_LETTER", [""]), (14, "FIRST_LETTER", ["Category", "Kategorie"]), (2302, "CASE_SENSITIVE", ["Gadget"])]
 
 
 @query(
-    "tt12_snapshot_at",
-    f"""
-    SELECT user_id AS page_id, max_by(event_id, (ts, event_id)) AS revision_id
-    FROM events WHERE ts <= TIMESTAMP '{SNAPSHOT_AT}' GROUP BY user_id
-    """,
+    "flt6_qualified_title",
+    """WITH n AS (SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN 'Category:' WHEN 1 THEN 'Gadget:' WHEN 2 THEN 'Nowhere:' WHEN 3 THEN 'Kategorie:' ELSE '' END || lower(n_name) AS target FROM nation)
+    SELECT id, (CASE id % 5 WHEN 0 THEN 14 WHEN 1 THEN 2302 WHEN 3 THEN 14 ELSE 0 END)::INTEGER AS target_ns,
+    CASE WHEN id % 5 = 1 THEN substr(target, 8) WHEN id % 5 = 0 THEN upper(substr(target, 10, 1)) || substr(target, 11) WHEN id % 5 = 3 THEN upper(substr(target, 11, 1)) || substr(target, 12)
+    ELSE upper(substr(target, 1, 1)) || substr(target, 2) END AS target_title FROM n""",
 )
-def snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return (
-        events.where(F.col("ts") <= F.lit(SNAPSHOT_AT).cast("timestamp_ntz"))
-        .groupBy(F.col("user_id").alias("page_id"))
-        .agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("revision_id"))
-    )
+def flt6(spark, d):
+    key = F.col("n_nationkey")
+    prefix = F.when(key % 5 == 0, "Category:").when(key % 5 == 1, "Gadget:").when(key % 5 == 2, "Nowhere:").when(key % 5 == 3, "Kategorie:").otherwise("")
+    rows = table(spark, d, "nation").select(key.alias("id"), F.concat(prefix, F.lower("n_name")).alias("target"))
+    names = spark.createDataFrame(NAMESPACES, "ns_id int, case string, all_names array<string>")
+    return links.split_namespace(rows, names).select("id", "target_ns", "target_title")
+
+
+@query("flt10_namespace_scan", "SELECT n_nationkey AS page_id, n_name AS title FROM nation WHERE n_regionkey IN (1, 3)")
+def flt10(spark, d):
+    return table(spark, d, "nation").where(F.col("n_regionkey").isin(1, 3)).select(F.col("n_nationkey").alias("page_id"), F.col("n_name").alias("title"))
+
+
+# Links
+
+ANCHORS_SQL = r"""SELECT page_id, unnest(range(1, len(h) + 1)) AS k, unnest(h) AS href
+    FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '<!--[^\n]*?-->', '', 'g'), '<a[ ][^>]*?href="([^">]+)', 1) AS h FROM pages)"""
+
+
+@query("html1_anchors", f"SELECT page_id, k::INTEGER AS k, href FROM ({ANCHORS_SQL})")
+def html1_anchors(spark, d):
+    return links.anchors(table(spark, d, "pages").select("page_id", "html")).select("page_id", "k", "href")
+
+
+@query("html1_targets", f"SELECT DISTINCT page_id, url_decode(replace(replace(substr(split_part(href, '#', 1), 2), '_', ' '), '+', ' ')) AS target FROM ({ANCHORS_SQL}) WHERE href LIKE '/_%'")
+def html1_targets(spark, d):
+    found = links.anchors(table(spark, d, "pages").select("page_id", "html"))
+    return found.select("page_id", links.local_target(F.col("href"), "/").alias("target")).where("target IS NOT NULL").distinct()
+
+
+@query("set1_distinct_links", f"SELECT DISTINCT * FROM ({ARTICLE_LINKS_SQL})")
+def set1(spark, d):
+    return links.distinct_links(article_links(spark, d))
+
+
+@query("gr1_links_out_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND source_id % 7 = 0 AND link_type = 'ARTICLE'")
+def gr1_out(spark, d):
+    pages = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("page_id"))
+    return links.links_out(article_links(spark, d), pages, LAYER, ("ARTICLE",))
+
+
+@query("gr1_links_in_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND target_id % 5 = 0")
+def gr1_in(spark, d):
+    pages = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("page_id"))
+    return links.links_in(article_links(spark, d), pages, LAYER)
+
+
+@query("ag3_targets_by_type", f"SELECT source_id, link_type, count(DISTINCT target_id) AS n, min(target_id) AS first, max(target_id) AS last FROM ({ARTICLE_LINKS_SQL}) GROUP BY ALL")
+def ag3(spark, d):
+    rows = links.targets_by_type(article_links(spark, d))
+    return rows.select("source_id", "link_type", F.size("targets").cast("long").alias("n"), F.element_at("targets", 1).alias("first"), F.element_at("targets", -1).alias("last"))
+
+
+@query("ag4_layers", f"SELECT source_id, target_id, link_type, count(DISTINCT ts) AS n_layers, min(ts) AS first_layer FROM ({ARTICLE_LINKS_SQL}) GROUP BY ALL")
+def ag4(spark, d):
+    return links.layers_of_edges(article_links(spark, d)).select("source_id", "target_id", "link_type", F.size("layers").cast("long").alias("n_layers"), F.element_at("layers", 1).alias("first_layer"))
+
+
+@query("ag5_layers_sorted", f"SELECT DISTINCT ts FROM ({ARTICLE_LINKS_SQL})")
+def ag5(spark, d):
+    return links.layers(article_links(spark, d)).select("ts").distinct().orderBy("ts")
+
+
+@query("ag6_layer_types", f"SELECT DISTINCT link_type, ts FROM ({ARTICLE_LINKS_SQL})")
+def ag6(spark, d):
+    return links.layers(article_links(spark, d))
+
+
+@query("jn8_entities_by_aspect", "SELECT user_id AS page_id, event_type AS aspect, string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) AS entities FROM events GROUP BY ALL")
+def jn8(spark, d):
+    usage = table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("aspect"), F.col("event_id").cast("string").alias("entity_id"))
+    return links.entities_by_aspect(usage).select("page_id", "aspect", F.array_join("entities", ",").alias("entities"))
+
+
+@query("jn12_target_exists", f"SELECT l.* FROM ({ARTICLE_LINKS_SQL}) l JOIN (SELECT l_partkey, min(l_shipdate) AS born FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) b ON l_partkey = target_id AND born <= ts")
+def jn12(spark, d):
+    born = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_partkey").alias("page_id"), F.col("l_shipdate").alias("ts"))
+    return links.targets_existing(article_links(spark, d), born)
+
+
+# Graph
+
+
+@query("gr6_category_direct", f"SELECT DISTINCT source_id AS page_id FROM ({CATEGORY_LINKS_SQL}) WHERE target_id IN (102, 103, 1)")
+def gr6(spark, d):
+    return graph.category_members(category_links(spark, d), spark.createDataFrame([(102,), (103,), (1,)], "page_id long"))
+
+
+@query(
+    "gr7_category_closure",
+    f"""WITH RECURSIVE e AS ({CATEGORY_LINKS_SQL}), r AS (SELECT 1::BIGINT AS page_id UNION SELECT e.source_id FROM e JOIN r ON e.target_id = r.page_id)
+    SELECT page_id FROM r WHERE page_id <> 1""",
+)
+def gr7(spark, d):
+    return graph.category_closure(category_links(spark, d), spark.createDataFrame([(1,)], "page_id long")).select("page_id")
+
+
+@query("jn14_subgraph", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE source_id % 4 = 0 AND target_id % 4 = 0 AND target_id IN (SELECT o_orderkey FROM orders)")
+def jn14(spark, d):
+    nodes = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("page_id"))
+    return graph.induced(article_links(spark, d), nodes)
+
+
+@query(
+    "ag7_link_evaluation",
+    """WITH k AS (SELECT DISTINCT l_orderkey AS page_id, CASE l_returnflag WHEN 'A' THEN 'REDIRECT' WHEN 'R' THEN 'CATEGORIZATION' ELSE 'ARTICLE' END AS link_type, l_partkey AS target_id,
+      l_linenumber % 3 <> 0 AS g, l_linenumber % 4 <> 0 AS t FROM lineitem),
+    e AS (SELECT page_id, link_type, target_id, max(g::INT) AS g, max(t::INT) AS t FROM k GROUP BY ALL),
+    s AS (SELECT page_id, link_type, sum(g) AS ng, sum(t) AS nt, sum(g * t) AS nb FROM e GROUP BY ALL),
+    grid AS (SELECT o_orderkey AS page_id, x.link_type FROM orders, (VALUES ('ARTICLE'), ('REDIRECT'), ('CATEGORIZATION')) x(link_type)),
+    v AS (SELECT grid.link_type, page_id, CASE WHEN coalesce(ng, 0) = 0 THEN 1.0::DOUBLE ELSE nb / ng END AS r, CASE WHEN coalesce(nt, 0) = 0 THEN 1.0::DOUBLE ELSE nb / nt END AS p FROM grid LEFT JOIN s USING (page_id, link_type))
+    SELECT link_type, round(avg(r), 6) AS recall, round(avg(p), 6) AS precision, round(avg(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END), 6) AS f_score, count(*) AS page_count FROM v GROUP BY 1""",
+)
+def ag7(spark, d):
+    items = table(spark, d, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "REDIRECT").when(F.col("l_returnflag") == "R", "CATEGORIZATION").otherwise("ARTICLE")
+    edges = items.select(F.col("l_orderkey").alias("page_id"), kind.alias("link_type"), F.col("l_partkey").alias("target_id"), "l_linenumber")
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"))
+    scores = evaluation.link_evaluation(pages, edges.where("l_linenumber % 3 <> 0"), edges.where("l_linenumber % 4 <> 0"))
+    return scores.select("link_type", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f_score")], "page_count")
+
+
+# Text functions
+
+
+@query("txt4_xml_escape", """SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents""")
+def txt4(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.xml_escape(F.col("text")).alias("escaped"))
+
+
+@query("txt6_control", r"SELECT doc_id, regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g') AS cleaned FROM documents")
+def txt6(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.without_control(F.col("text")).alias("cleaned"))
+
+
+@query("snk7_graph_escape", "SELECT doc_id, translate(text, '[]¤' || chr(9) || chr(13) || chr(10), '()    ') AS escaped FROM documents")
+def snk7(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.graph_escape(F.col("text")).alias("escaped"))
+
+
+@query(
+    "txt9_cosine",
+    """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations WHERE turn < 2), c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY ALL)
+    SELECT a.conv_id, round(sum(a.n * coalesce(b.n, 0)) / (sqrt(sum(a.n * a.n)) * sqrt(any_value(s.q))), 6) AS cosine
+    FROM (SELECT * FROM c WHERE turn = 0) a LEFT JOIN (SELECT * FROM c WHERE turn = 1) b USING (conv_id, word) JOIN (SELECT conv_id, sum(n * n) AS q FROM c WHERE turn = 1 GROUP BY 1) s USING (conv_id) GROUP BY 1""",
+)
+def txt9(spark, d):
+    talk = table(spark, d, "conversations").where("turn < 2")
+    words = talk.select("conv_id", "turn", F.explode(F.split("text", " ", -1)).alias("word")).groupBy("conv_id", "turn", "word").agg(F.count(F.lit(1)).alias("n"))
+    maps = words.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("m"))
+    a, b = maps.where("turn = 0").select("conv_id", F.col("m").alias("a")), maps.where("turn = 1").select("conv_id", F.col("m").alias("b"))
+    return a.join(b, "conv_id").select("conv_id", F.round(X.term_cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query("txt10_alphanumeric", r"SELECT doc_id, regexp_full_match(w, '[\p{L}\p{Nd}]+') AS whole, regexp_matches(w, '[\p{L}\p{Nd}]') AS some FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)")
+def txt10(spark, d):
+    word = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
+    return table(spark, d, "documents").select("doc_id", X.is_alphanumeric(word).alias("whole"), X.has_alphanumeric(word).alias("some"))
+
+
+@query("txt12_title", "SELECT p_partkey, upper(substr(lower(p_name), 1, 1)) || substr(lower(p_name), 2) AS title FROM part")
+def txt12(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.first_upper(F.lower("p_name")).alias("title"))
