@@ -101,7 +101,8 @@ def measured(docs: DataFrame, text: str = "text", extra: tuple[str, ...] = ()) -
     bare = F.transform("_words", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?()\"'"))))
     return worded.select(
         *extra,
-        F.size("_words").cast("long").alias("n_words"),
+        # The partition's number keeps a filter on these counts above them: pushed below, it would repeat all the work.
+        F.when(F.spark_partition_id() >= 0, F.size("_words")).cast("long").alias("n_words"),
         F.length(without(F.col("_text"), SPACES)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
