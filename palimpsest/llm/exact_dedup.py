@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.columns import carried, restored
 from palimpsest.llm.storage import materialise
 
 SALTS = 16
@@ -71,7 +72,8 @@ def drop_copies(docs: DataFrame, digest=digest_of, salts: int = SALTS) -> DataFr
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = exact_dedup(docs, digest, salts).where("not kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")).distinct()
     own = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_sha")), "left_anti")
+    rows = docs.select(carried(docs), F.col("doc_id").alias("_own_id"), own.alias("_own_sha"))
+    return restored(rows.join(dropped, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_anti"), docs.columns)
 
 
 SQL = r"""

@@ -16,10 +16,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from palimpsest.llm.columns import ROW, carried, restored
 from palimpsest.llm.storage import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -120,13 +123,15 @@ SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32(
 INSTANCE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("value", pa.string()), ("context", pa.string())])
 
 
-def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row, ``_row`` (a number of its own), ``_base`` spans and ``_instances``."""
+def scanned(docs: DataFrame, carry: Column) -> DataFrame:
+    """``carry`` of every row, ``_row`` (a number of its own), ``_base`` spans and ``_instances``."""
     text = F.coalesce(F.col("text"), F.lit("")).alias("_text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), text)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    span = "kind int, start int, end int"
-    schema = f"{fields}, _row long, _base array<struct<{span}>>, _instances array<struct<{span}, seed boolean, value string, context string>>"
+    rows = docs.select(carry.alias(ROW), F.monotonically_increasing_id().alias("_row"), text)
+    span = [T.StructField(name, T.IntegerType()) for name in ("kind", "start", "end")]
+    instance = [*span, T.StructField("seed", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("context", T.StringType())]
+    schema = T.StructType(
+        [*rows.schema.fields[:2], T.StructField("_base", T.ArrayType(T.StructType(span))), T.StructField("_instances", T.ArrayType(T.StructType(instance)))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +173,9 @@ def scored(pairs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> Da
     return scores
 
 
-def found_spans(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``keep`` columns, ``_base`` and ``_added``: arrays of (kind, start, end), for every row of ``docs``."""
-    rows = materialise(scanned(docs, keep), "pii")
+def found_spans(docs: DataFrame, carry: Column, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """``carry``, ``_base`` and ``_added``: arrays of (kind, start, end), for every row of ``docs``."""
+    rows = materialise(scanned(docs, carry), "pii")
     instances = rows.select("_row", F.inline("_instances"))
     pairs = instances.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed"))
     sure = scored(pairs, rounds, support).where(~F.col("seed") & (F.col("score") >= confidence)).select("kind", "value", "score")
@@ -185,7 +190,7 @@ def found_spans(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, support:
     )
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     joined = rows.drop("_instances").join(added, "_row", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "_base", F.coalesce("_added", none).alias("_added"))
+    return joined.select(ROW, "_base", F.coalesce("_added", none).alias("_added"))
 
 
 def _listed(spans: Column) -> Column:
@@ -193,6 +198,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """Personal data of every row of ``docs``.
 
@@ -200,10 +209,10 @@ def report(docs: DataFrame) -> DataFrame:
     ``base_sha256, spans, n_added``. Null text counts as empty; repeated rows and null
     doc_ids are scanned each; an empty table gives an empty result; other columns are ignored.
     """
-    found = found_spans(docs, ["doc_id"])
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    found = found_spans(docs, F.col("doc_id"))
+    counts = [_count(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)]
     return found.select(
-        "doc_id", *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_added")
+        F.col(ROW).alias("doc_id"), *counts, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_added")
     )
 
 
@@ -218,21 +227,19 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; ``n_chars`` follows where there is such a column."""
-    found = found_spans(docs, docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """``docs`` with the personal data in ``text`` replaced; ``n_chars`` follows where there is such a column.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                None if text is None else redacted(text, [(s["kind"], s["start"], s["end"]) for s in [*base, *added]])
-                for text, base, added in zip(batch["text"].to_pylist(), batch["_base"].to_pylist(), batch["_added"].to_pylist(), strict=True)
-            ]
-            columns = [pa.array(texts, pa.string()) if name == "text" else batch[name] for name in docs_columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    docs_columns = docs.columns
-    cleaned = found.mapInArrow(run, fields)
+    Null texts and null n_chars stay null.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if text is None else redacted(text, [(s["kind"], s["start"], s["end"]) for s in found]) for text, found in zip(texts, spans, strict=True)], dtype=object)
+
+    found = found_spans(docs, carried(docs))
+    spans, text = F.concat("_base", "_added"), F.col(f"{ROW}.text")
+    cleaned = found.select(ROW, F.when(F.size(spans) == 0, text).otherwise(replaced(text, spans)).alias("_clean"))
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(docs.columns)
+        new["n_chars"] = F.when(F.col(f"{ROW}.n_chars").isNotNull(), F.length("_clean")).cast(docs.schema["n_chars"].dataType)
+    return restored(cleaned, docs.columns, **new)

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.columns import ROW, carried, restored
+
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -163,8 +165,8 @@ def quality(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    counts = measured(docs, extra=tuple(docs.columns))
-    return counts.where(~base_failed() & verdict(rules)).select(*docs.columns)
+    counts = measured(docs.select(carried(docs), "text"), extra=(ROW,))
+    return restored(counts.where(~base_failed() & verdict(rules)), docs.columns)
 
 
 def sql(rules=RULES) -> str:

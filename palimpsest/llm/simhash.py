@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.columns import carried, restored
 from palimpsest.llm.components import components
 from palimpsest.llm.storage import materialise
 
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
 
 
 #: Near copies: the share of common five-word shingles, and how candidates are searched for. Two-word
-#: fingerprints of texts that similar differ in a few bits, five-word ones in many.
+#: fingerprints of texts that are similar differ in a few bits, five-word ones in many.
 SIMILARITY = 0.8
 SIMILAR_WORDS = 5
 SEARCH_WORDS = 2
@@ -199,4 +200,5 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     texts without words are copies of each other.
     """
     gone = near_copies(docs, similarity).withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = docs.select(carried(docs), F.col("doc_id").alias("_own_id"))
+    return restored(rows.join(gone, F.col("_own_id") == F.col("_gone"), "left_anti"), docs.columns)
