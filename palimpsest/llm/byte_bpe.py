@@ -21,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.word_tokens import CACHE_CORES, CACHE_WORDS, LONG_WORD, Halves
+from palimpsest.llm.word_tokens import Halves
 
+#: Distinct entries that each half of a cache holds.
+CACHE_STRETCHES = 150_000
+CACHE_PIECES = 400_000
 #: White space as the public patterns mean it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -136,37 +139,22 @@ class BytePairEncoder:
         self.ranks = load_ranks(rank_file)
         self.pieces = regex.compile(pattern).findall
         self.stretches = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self.known = Halves(CACHE_WORDS)
-        self.parts = Halves(CACHE_CORES)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text, each id as four little-endian bytes."""
-        known, parts = self.known, self.parts
-        known.trim(), parts.trim()
-        split = [self.stretches(text) for text in texts]
-        new = known.recall(set().union(*split).difference(known)) if split else []
-        long_parts = []
-        for stretch in new:
-            ids = b""
-            for piece in self.pieces(stretch):
-                if (found := parts.get(piece)) is None:
-                    if (found := parts.older.get(piece)) is None:
-                        found = array("I", merged(piece.encode(), self.ranks)).tobytes()
-                    parts[piece] = found
-                    if len(piece) > LONG_WORD:
-                        long_parts.append(piece)
-                ids += found
-            known[stretch] = ids
-        encoded = [b"".join([known[x] for x in stretches]) for stretches in split]
-        for stretch in new:
-            if len(stretch) > LONG_WORD:
-                del known[stretch]
-        for piece in long_parts:
-            parts.pop(piece, None)
-        return encoded
+        self.known = Halves(CACHE_STRETCHES)
+        self.parts = Halves(CACHE_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", merged(piece.encode(), self.ranks)).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        return b"".join(self.parts.fill(self.pieces(stretch), self._piece))
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of the whole text, each as four little-endian bytes."""
+        self.known.trim(), self.parts.trim()
+        return b"".join(self.known.fill(self.stretches(text), self._stretch))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_many([text])[0], dtype="<u4").tolist()
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
 
 @cache
@@ -180,7 +168,7 @@ def vocabulary(rank_file: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(rank_file).items()}
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, group: int = 256) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, group: int = 512) -> DataFrame:
     """Token ids of every whole text: ``doc_id, ids`` (array of int), row by row.
 
     Null text counts as empty and gives an empty array; doc_ids may be null or
@@ -193,7 +181,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, group: int = 256) -> D
         for batch in batches:
             for start in range(0, batch.num_rows, group):
                 part = batch.slice(start, group)
-                encoded = encoder.encode_many(part["text"].to_pylist())
+                encoded = [encoder.encode_bytes(text) for text in part["text"].to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in encoded)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids], names=["doc_id", "ids"])

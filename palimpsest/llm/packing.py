@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,8 +33,8 @@ from palimpsest.llm.word_tokens import word_encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Texts encoded together.
-GROUP = 256
+#: Texts whose pieces are handed on together.
+GROUP = 512
 
 
 class Segment(NamedTuple):
@@ -146,8 +145,8 @@ def tokenised(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, en
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
             at, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-            for i, data in enumerate(encoder.encode_many(batch["text"].to_pylist())):
-                data += end
+            for i, text in enumerate(batch["text"].to_pylist()):
+                data = encoder.encode_bytes(text) + end
                 for k, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a : a + 4 * capacity]
                     n = len(part) // 4
@@ -194,16 +193,17 @@ def _placed(spark: SparkSession, numbered: DataFrame, segments: list[Segment], k
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
     kinds = {f.name: f.dataType.simpleString() for f in numbered.schema.fields} | {"sequence_id": "bigint", "offset": "bigint"}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, first = shared.value
         for batch in batches:
             length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            at = np.empty(len(batch), dtype=np.int64)
+            at = np.empty(batch.num_rows, dtype=np.int64)
             for n in np.unique(length):
                 mine, low = np.flatnonzero(length == n), first[int(n)]
                 high = np.searchsorted(order[:, 0], n, "right")
                 at[mine] = low + np.searchsorted(order[low:high, 1], rank[mine], "right") - 1
             found = order[at]
-            yield batch.assign(sequence_id=found[:, 3] + rank - found[:, 1], offset=found[:, 4])[names]
+            new = {"sequence_id": pa.array(found[:, 3] + rank - found[:, 1]), "offset": pa.array(found[:, 4])}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch[n] for n in names], names=names)
 
-    return numbered.mapInPandas(place, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return numbered.mapInArrow(place, ", ".join(f"`{n}` {kinds[n]}" for n in names))

@@ -4,45 +4,65 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import cache
 
-import numpy as np
-
-#: Distinct entries that each half of a cache holds; longer words are not held.
-CACHE_WORDS = 150_000
-CACHE_CORES = 400_000
+#: Distinct words that each half of a memory holds; longer words are not held.
+CACHE_WORDS = 400_000
 LONG_WORD = 64
+#: Letters before this one keep their form under NFC.
+LATIN_END = "\u0250"
+#: How byte-level vocabularies write bytes that aren't printable Latin-1: from 256 up, in order.
+_printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SYMBOLS = {byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in _printable)}
 
 
-class Halves(dict):
-    """A dict that forgets what it learnt before its last ``room`` entries."""
+class Halves:
+    """A bounded memory: when its recent half is full, that becomes the older half and the older one goes."""
 
     def __init__(self, room: int) -> None:
-        self.room, self.older = room, {}
+        self.room = room
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def trim(self) -> None:
-        if len(self) > self.room:
-            self.older = dict(self)
-            self.clear()
-
-    def recall(self, keys) -> list:
-        """Take over what the older half has of ``keys``; return the rest."""
-        missing = []
-        for key in keys:
-            if (value := self.older.get(key)) is None:
-                missing.append(key)
-            else:
-                self[key] = value
-        return missing
+        if len(self.recent) > self.room:
+            self.older, self.recent = self.recent, {}
+
+    def fill(self, keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+        """What belongs to each key, in order, made where it isn't known."""
+        recent, older = self.recent, self.older
+        values = list(map(recent.get, keys))
+        if None in values:
+            for i, value in enumerate(values):
+                if value is None:
+                    key = keys[i]
+                    value = recent.get(key) or older.get(key)
+                    if value is None:
+                        value = make(key)
+                    if len(key) <= LONG_WORD:
+                        recent[key] = value
+                    values[i] = value
+        return values
+
+
+def core_and_tail(word: str) -> tuple[str, str]:
+    """The word up to its last letter and the punctuation behind, if that is where the tokenizer splits."""
+    core = word.rstrip(".,;:!?")
+    if not core or not core[-1].isalpha() or core[-1] >= LATIN_END or core[-1] == "\u0130":
+        core = word
+    return (core.lower() if core.isascii() else core), word[len(core) :]
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins characters across white space.
 
     Between two ASCII spaces or line ends, such a tokenizer gives the same ids
-    whatever stands around. It also splits letters from the punctuation after
-    them and lower-cases, so "Word." is looked up as "word" and ".". Only words
-    never seen go through the tokenizer, together for a group of texts.
+    whatever stands around, so ids are looked up by word. It also splits letters from
+    the punctuation behind and lower-cases them: of a new word, plain Latin letters, to
+    which its normaliser does nothing else, go right to its merges, and anything else
+    through the whole of it.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -51,40 +71,30 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.words = re.compile(r"[^ \t\n\r]+").findall
-        self.known = Halves(CACHE_WORDS)
-        self.cores = Halves(CACHE_CORES)
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """The word up to its last letter and the punctuation behind, if that is where the tokenizer splits."""
-        core = word.rstrip(".,;:!?")
-        if not core or core == word or not core[-1].isalpha():
-            core = word
-        tail = word[len(core) :]
-        return (core.lower() if core.isascii() else core), tail
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text, each id as four little-endian bytes."""
-        split = [self.words(text) for text in texts]
-        known, cores = self.known, self.cores
-        known.trim(), cores.trim()
-        new = known.recall(set().union(*split).difference(known)) if split else []
-        parts = [self._parts(word) for word in new]
-        unseen = cores.recall({x for pair in parts for x in pair if x}.difference(cores))
-        for core, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            cores[core] = np.array(e.ids, dtype="<u4").tobytes()
-        for word, (core, tail) in zip(new, parts, strict=True):
-            known[word] = cores[core] + cores[tail] if tail else cores[core]
-        encoded = [b"".join([known[w] for w in words]) for words in split]
-        for cache, keys in ((known, new), (cores, unseen)):
-            for key in keys:
-                if len(key) > LONG_WORD:
-                    del cache[key]
-        return encoded
+        self.merges = self.tokenizer.model.tokenize
+        self.split = re.compile(r"[^ \t\n\r]+").findall
+        self.words = Halves(CACHE_WORDS)
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core, tail = core_and_tail(word)
+        if not (core.isalpha() and max(core) < LATIN_END and "\u0130" not in core):
+            return self._whole(word)
+        if not core.isascii():
+            core = core.lower().encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        if tail not in self.tails:
+            if len(tail) > 3:
+                return self._whole(word)
+            self.tails[tail] = self._whole(tail)
+        return array("I", [token.id for token in self.merges(core)]).tobytes() + self.tails[tail]
 
     def encode_bytes(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        """Ids of the whole text, each as four little-endian bytes."""
+        self.words.trim()
+        return b"".join(self.words.fill(self.split(text), self._word))
 
 
 @cache
