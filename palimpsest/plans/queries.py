@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import codecs, markup
 from palimpsest.functions import text as X
-from palimpsest.operators import evaluation, graph, history, links
+from palimpsest.operators import evaluation, graph, history, links, numbering
 from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, CATEGORY_LINKS_SQL, article_links, category_links, revisions, table, turns
+from palimpsest.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,10 +117,10 @@ def jn5(spark, d):
     return history.with_parent(talk, ("db",)).select(F.col("db").alias("conv_id"), F.col("revision_id").alias("turn"), F.col("parent_ts").alias("parent_role"))
 
 
-@query("jn10_tier_exact", f"SELECT user_id AS page_id, ts FROM events WHERE ts IN (SELECT ts FROM events WHERE event_id % 10 = 0) AND (user_id, ts) IN (SELECT (user_id, ts) FROM events WHERE event_id % 10 = 0)")
+@query("jn10_tier_exact", "SELECT user_id AS page_id, ts FROM events WHERE (user_id, ts) IN (SELECT (user_id, ts) FROM events WHERE value > 50)")
 def jn10(spark, d):
-    rows = revisions(spark, d).select("page_id", "revision_id", "ts")
-    return history.tiers_at(rows, rows.where("revision_id % 10 = 0")).select("page_id", "ts")
+    wanted = table(spark, d, "events").where("value > 50").select(F.col("user_id").alias("page_id"), "ts")
+    return history.tiers_at(revisions(spark, d).select("page_id", "ts"), wanted)
 
 
 @query("jn13_skip_existing", "SELECT o_orderkey AS page_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < TIMESTAMP '1996-06-01')")
@@ -188,15 +190,15 @@ def set1(spark, d):
     return links.distinct_links(article_links(spark, d))
 
 
-@query("gr1_links_out_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND source_id % 7 = 0 AND link_type = 'ARTICLE'")
+@query("gr1_links_out_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND link_type = 'ARTICLE'")
 def gr1_out(spark, d):
-    pages = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("page_id"))
+    pages = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page_id"))
     return links.links_out(article_links(spark, d), pages, LAYER, ("ARTICLE",))
 
 
-@query("gr1_links_in_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND target_id % 5 = 0")
+@query("gr1_links_in_at", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND target_id IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def gr1_in(spark, d):
-    pages = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("page_id"))
+    pages = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("page_id"))
     return links.links_in(article_links(spark, d), pages, LAYER)
 
 
@@ -250,16 +252,16 @@ def gr7(spark, d):
     return graph.category_closure(category_links(spark, d), spark.createDataFrame([(1,)], "page_id long")).select("page_id")
 
 
-@query("jn14_subgraph", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE source_id % 4 = 0 AND target_id % 4 = 0 AND target_id IN (SELECT o_orderkey FROM orders)")
+@query("jn14_subgraph", f"SELECT * FROM ({ARTICLE_LINKS_SQL}) WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AND target_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
 def jn14(spark, d):
-    nodes = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("page_id"))
+    nodes = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("page_id"))
     return graph.induced(article_links(spark, d), nodes)
 
 
 @query(
     "ag7_link_evaluation",
     """WITH k AS (SELECT DISTINCT l_orderkey AS page_id, CASE l_returnflag WHEN 'A' THEN 'REDIRECT' WHEN 'R' THEN 'CATEGORIZATION' ELSE 'ARTICLE' END AS link_type, l_partkey AS target_id,
-      l_linenumber % 3 <> 0 AS g, l_linenumber % 4 <> 0 AS t FROM lineitem),
+      l_discount < 0.06 AS g, l_tax < 0.05 AS t FROM lineitem),
     e AS (SELECT page_id, link_type, target_id, max(g::INT) AS g, max(t::INT) AS t FROM k GROUP BY ALL),
     s AS (SELECT page_id, link_type, sum(g) AS ng, sum(t) AS nt, sum(g * t) AS nb FROM e GROUP BY ALL),
     grid AS (SELECT o_orderkey AS page_id, x.link_type FROM orders, (VALUES ('ARTICLE'), ('REDIRECT'), ('CATEGORIZATION')) x(link_type)),
@@ -269,9 +271,9 @@ def jn14(spark, d):
 def ag7(spark, d):
     items = table(spark, d, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "REDIRECT").when(F.col("l_returnflag") == "R", "CATEGORIZATION").otherwise("ARTICLE")
-    edges = items.select(F.col("l_orderkey").alias("page_id"), kind.alias("link_type"), F.col("l_partkey").alias("target_id"), "l_linenumber")
+    edges = items.select(F.col("l_orderkey").alias("page_id"), kind.alias("link_type"), F.col("l_partkey").alias("target_id"), "l_discount", "l_tax")
     pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"))
-    scores = evaluation.link_evaluation(pages, edges.where("l_linenumber % 3 <> 0"), edges.where("l_linenumber % 4 <> 0"))
+    scores = evaluation.link_evaluation(pages, edges.where("l_discount < 0.06D"), edges.where("l_tax < 0.05D"))
     return scores.select("link_type", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f_score")], "page_count")
 
 
@@ -316,3 +318,140 @@ def txt10(spark, d):
 @query("txt12_title", "SELECT p_partkey, upper(substr(lower(p_name), 1, 1)) || substr(lower(p_name), 2) AS title FROM part")
 def txt12(spark, d):
     return table(spark, d, "part").select("p_partkey", X.first_upper(F.lower("p_name")).alias("title"))
+
+
+# Codecs, markup and exports
+
+
+def _round_trip(codec: str):
+    def run(spark, d):
+        docs = table(spark, d, "documents").withColumn("data", codecs.compress(F.col("text"), codec))
+        return docs.select("doc_id", codecs.uncompress(F.col("data"), F.lit(codec)).alias("text"))
+
+    return run
+
+
+for _codec in codecs.CODECS:
+    query(f"cmp_round_trip_{_codec.lower()}", "SELECT doc_id, text FROM documents")(_round_trip(_codec))
+
+
+@query("cmp5_delta_chain", "SELECT conv_id AS page_id, turn AS revision_id, text, false AS text_error FROM conversations")
+def cmp5(spark, d):
+    stored = codecs.compress_history(turns(spark, d))
+    return codecs.decode_history(stored).select("page_id", "revision_id", "text", "text_error")
+
+
+@query("ag8_compression_statistics")
+def ag8(spark, d):
+    rows = turns(spark, d)
+    stored = codecs.compress_history(rows).join(rows.select("page_id", "revision_id", F.octet_length("text").alias("raw_bytes")), ["page_id", "revision_id"])
+    return evaluation.compression_statistics(stored.select("raw_bytes", F.octet_length("data").alias("stored_bytes"), "codec"))
+
+
+@query("html2_redirect", "SELECT page_id, false AS redirect FROM pages WHERE NOT contains(upper(html), 'REDIRECT')")
+def html2(spark, d):
+    clean = links.uncommented(F.col("html"))
+    return table(spark, d, "pages").where(~F.upper("html").contains("REDIRECT")).select("page_id", links.is_redirect(clean).alias("redirect"))
+
+
+@query("html3_render")
+def html3(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", markup.rendered(F.concat(F.lit("Document "), F.col("doc_id")), F.col("text"), F.lit(None).cast("map<string,string>")).alias("html"))
+
+
+@query("html6_plain_text")
+def html6(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+@query("txt1_tei")
+def txt1(spark, d):
+    ids = F.create_map(F.lit("pageID"), F.col("page_id").cast("string"), F.lit("pageURL"), F.col("url"))
+    return table(spark, d, "pages").select("page_id", markup.tei(F.col("html"), F.lit(None).cast("string"), ids).alias("tei"))
+
+
+@query("txt2_tei_flat")
+def txt2(spark, d):
+    ids = F.create_map(F.lit("pageID"), F.col("page_id").cast("string"))
+    return table(spark, d, "pages").select("page_id", markup.tei(F.col("html"), F.col("url"), ids, flat=True).alias("tei"))
+
+
+@query("txt5_iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, epoch_us(ts) // 1000 AS millis FROM events")
+def txt5(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", X.iso_instant(ts).alias("iso"), X.epoch_millis(ts).alias("millis"))
+
+
+@query("txt7_common_substring")
+def txt7(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.longest_common_substring(F.col("p_name"), F.col("p_type")).alias("common"))
+
+
+@query("txt8_quote_doubled", "SELECT doc_id, replace(text, '''', '''''') AS quoted FROM documents")
+def txt8(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.quote_doubled(F.col("text")).alias("quoted"))
+
+
+@query("txt11_number", "SELECT doc_id, try_cast(w AS DOUBLE) IS NOT NULL AS number FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) ELSE n_chars::VARCHAR END AS w FROM documents)")
+def txt11(spark, d):
+    word = F.when(F.col("doc_id") % 2 == 0, F.split_part(F.col("text"), F.lit(" "), F.lit(2))).otherwise(F.col("n_chars").cast("string"))
+    return table(spark, d, "documents").select("doc_id", X.is_number(word).alias("number"))
+
+
+def _nation_tiers(spark, d):
+    ts = F.lit("3000-01-01").cast("timestamp_ntz").alias("ts")
+    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("page_id"), F.lit("Category").alias("namespace"), F.col("n_name").alias("title"))
+    return nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit("").alias("namespace"), F.col("r_name").alias("title"))).select("page_id", ts, "namespace", "title")
+
+
+@query("snk1_graphml")
+def snk1(spark, d):
+    return exports.graphml(_nation_tiers(spark, d), category_links(spark, d), ("CATEGORIZATION",))
+
+
+@query("snk2_tier_graph")
+def snk2(spark, d):
+    return exports.tier_graph_text(_nation_tiers(spark, d), category_links(spark, d), ("CATEGORIZATION",))
+
+
+@query("snk3_page_graph")
+def snk3(spark, d):
+    return exports.page_graph_text(_nation_tiers(spark, d).drop("ts"), category_links(spark, d), ("CATEGORIZATION",))
+
+
+@query("snk5_tei_corpus")
+def snk5(spark, d):
+    rows = table(spark, d, "pages").select("page_id", "html", F.lit("").alias("namespace"), F.col("url").alias("title"))
+    return exports.tei_corpus(rows, ["page_id"])
+
+
+@query("numbered_rows", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS number FROM events")
+def numbered_rows(spark, d):
+    return numbering.numbered(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "number")
+
+
+@query("set3_common_links", f"SELECT source_id, target_id FROM ({ARTICLE_LINKS_SQL}) WHERE link_type = 'ARTICLE' INTERSECT SELECT source_id, target_id FROM ({ARTICLE_LINKS_SQL}) WHERE link_type = 'REDIRECT'")
+def set3(spark, d):
+    edges = article_links(spark, d)
+    return links.of_types(edges, ("ARTICLE",)).select("source_id", "target_id").intersect(links.of_types(edges, ("REDIRECT",)).select("source_id", "target_id"))
+
+
+@query("gr2_tier_links", f"SELECT l.* FROM ({ARTICLE_LINKS_SQL}) l WHERE ts = TIMESTAMP '{LAYER}' AND source_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)")
+def gr2(spark, d):
+    tiers = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("page_id"), F.lit(LAYER).cast("timestamp_ntz").alias("ts"))
+    return links.tier_links(article_links(spark, d), tiers)
+
+
+@query("gr4_add_links", f"SELECT DISTINCT * FROM ({ARTICLE_LINKS_SQL}) ")
+def gr4(spark, d):
+    edges = article_links(spark, d)
+    return links.add_links(links.of_types(edges, ("ARTICLE", "REDIRECT")), links.of_types(edges, ("REDIRECT", "CATEGORIZATION")))
+
+
+@query("txt13_prefix_cut", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS title FROM part")
+def txt13(spark, d):
+    part = table(spark, d, "part")
+    ns = F.when(F.col("p_size") % 2 == 0, 14).otherwise(0)
+    joined = F.when(ns == 14, F.concat(F.lit("Category:"), F.col("p_type"))).otherwise(F.col("p_name"))
+    return part.select("p_partkey", X.without_prefix(joined, ns).alias("title"))
