@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash
+from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding, op10_html_extraction)
+    numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op6_token_counts, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding, op10_html_extraction)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash, word_tokens
+from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash, token_counts, word_tokens
 
 random.seed(5)
 WORDS = "the of and river stone cloud über straße niño que la ciel tree paper lamp garden mountain quick silver".split()
@@ -312,6 +312,27 @@ def test_redaction(docs, empty):
     assert pii.redacted("abcdef", [(0, 1, 3), (3, 2, 5)]) == "a[EMAIL]f"
 
 
+# 6
+
+
+def test_token_counts(docs, empty):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(ranks), special_tokens={}).encode_ordinary
+    sizes = sorted(len(encode(t or "")) for _, t, _ in TEXTS)
+    sums = token_counts.count_tokens(docs, ranks, public_tokenizers.PATTERN)
+    rows = {r["n_tokens"]: r for r in rows_of(sums)}
+    assert {k: r["n_docs"] for k, r in rows.items()} == collections.Counter(sizes)
+    for k, r in rows.items():
+        longer = [x for x in sizes if x >= k]
+        assert (r["docs_from"], r["tokens_from"], r["total_docs"], r["total_tokens"]) == (len(longer), sum(longer), len(sizes), sum(sizes))
+        assert r["truncated_tokens"] == sum(min(x, k) for x in sizes) and r["share_to"] == pytest.approx(np.mean([x <= k for x in sizes]))
+    limits = [0, 1, 7, 100, 4096, 10**6]
+    assert token_counts.truncated_totals(sums, limits) == {x: sum(min(x, s) for s in sizes) for x in limits}
+    got = token_counts.quantiles(sums, [0.0, 0.25, 0.5, 0.99, 1.0])
+    assert got == {q: next(s for s in sizes if sum(x <= s for x in sizes) >= q * len(sizes)) for q in got}
+    assert token_counts.count_tokens(empty, ranks, public_tokenizers.PATTERN).count() == 0
+
+
 # 7
 
 
