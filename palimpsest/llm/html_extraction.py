@@ -49,7 +49,8 @@ DEAD_TAGS = frozenset("head nav footer aside form menu dialog button fieldset".s
 DEAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert "
     "promo promotion sponsor sponsored share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus popup modal overlay "
-    "newsletter subscribe subscription signup login register search pagination pager widget toolbar footer masthead skip copyright legal disclaimer".split()
+    "newsletter subscribe subscription signup login register search pagination pager widget toolbar topbar footer masthead skip copyright legal disclaimer "
+    "adbox adslot adsense adunit advertorial submenu dropdown sidenav aside teaser teasers discussion feedback responses reactions".split()
 )
 DEAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
@@ -58,6 +59,7 @@ HOLDERS = frozenset("ul ol menu dl table thead tbody tfoot".split())
 
 _next_tag = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S).search
 _attribute = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))").findall
+_hidden = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)", re.I).search
 _names = re.compile(r"[a-z]+").findall
 _number = re.compile(r"[0-9]+")
 
@@ -74,8 +76,8 @@ def _opened(tag: str, attributes: str, parent: _Element, depth: int) -> _Element
     values = {k.lower(): (a or b or c).lower() for k, a, b, c in _attribute(attributes)} if attributes else {}
     label = f"{values.get('class', '')} {values.get('id', '')}".strip()
     names = set(_names(label))
-    dead = parent.dead or tag in DEAD_TAGS or bool(names & DEAD_NAMES) or values.get("role") in DEAD_ROLES or (tag == "header" and not parent.article)
-    dead = dead or "display:none" in values.get("style", "").replace(" ", "")
+    dead = parent.dead or tag in DEAD_TAGS or bool(names & DEAD_NAMES) or values.get("role") in DEAD_ROLES or ((tag == "header" or "header" in names) and not parent.article)
+    dead = dead or (attributes is not None and bool(_hidden(attributes))) or "display:none" in values.get("style", "").replace(" ", "")
     name = tag + ("." + _number.sub("0", "-".join(label.split())) if label else "")
     path = f"{parent.path}>{name}" if depth <= MAX_DEPTH else parent.path
     return _Element(tag, path, dead, parent.article or tag in ARTICLE_TAGS or values.get("role") == "main")

@@ -487,6 +487,12 @@ def test_extraction(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_named_branches_go():
+    source = """<body><div id="site-header">Top</div><header>Also top</header><div class="cookie-notice">Cookies</div><main><header><h1>Title</h1></header><p>Body<aside>side</aside>
+    <form><p>Name</form><p hidden>unseen<p class="lead">More</p><div aria-hidden="true">gone</div><section class="reader-comments"><p>bad</section></main><div class="ad-slot-2">Buy</div><div role="contentinfo">f</div>"""
+    assert [t for _, t in html_extraction.live(html_extraction.parse(source)[0])] == ["Title", "Body", "More"]
+
+
 def test_parser_holds_up():
     for source in ("<a" * 100_000, "<!--" * 100_000, '<a "' * 100_000, "<div>" * 20_000 + "x", "</p>" * 100_000, "<p" + " a=b" * 50_000 + ">x"):
         html_extraction.parse(source)
