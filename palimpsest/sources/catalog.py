@@ -49,7 +49,7 @@ class Catalog:
 
     def import_dump(self, path: str, accept=None, aliases=None) -> None:
         """SRC1-8: add a wiki's XML dump, as much as is new."""
-        for name, rows in xml_dump.read_dump(self.spark, path, accept, aliases).items():
+        for name, rows in xml_dump.read_dump(self.spark, path, accept, aliases, staged=True).items():
             self.add(name, rows)
 
     def import_links(self, *paths: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import CASES, FORMATS, MODELS, decoded, normal_title, without_prefix
+from palimpsest.storage import materialise
 
 _text = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_bytes", T.IntegerType())])
 _contributor = T.StructType([T.StructField("username", T.StringType()), T.StructField("id", T.LongType()), T.StructField("ip", T.StringType())])
@@ -43,15 +44,21 @@ def in_namespaces(ids=()) -> Column:
     return F.col("ns").isin(*ids) if ids else F.lit(True)
 
 
-def read_dump(spark: SparkSession, path: str, accept: Column | None = None, aliases: dict[int, list[str]] | None = None) -> dict[str, DataFrame]:
+def read_dump(spark: SparkSession, path: str, accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> dict[str, DataFrame]:
     """The tables ``wiki, namespace, page, revision, contributor`` of one wiki's dump files.
 
     ``accept`` is a condition on ``id, ns, title`` that is tested before texts are unnested (SRC6).
     A page may be continued in a later element; repeated revisions count once, as does
     a contributor, by the name of its first revision. ``aliases`` are further namespace
-    names by id, which dumps lack.
+    names by id, which dumps lack. ``staged`` parses the dump once into Parquet in the shared
+    folder, from which the tables then read only their columns; otherwise each table
+    that is used scans the XML.
     """
-    site = _read(spark, path, "siteinfo", SITE_ELEMENT)
+    site, pages = _read(spark, path, "siteinfo", SITE_ELEMENT), _read(spark, path, "page", PAGE_ELEMENT)
+    if accept is not None:
+        pages = pages.where(accept)
+    if staged:
+        site, pages = materialise(site, "site"), materialise(pages, "dump")
     wiki = site.select(
         F.col("dbname").alias("db_name"), F.col("sitename").alias("site_name"), "base", "generator",
         F.when(F.col("base").contains("/wiki/"), F.concat(F.substring_index("base", "/wiki/", 1), F.lit("/w/api.php")))
@@ -60,9 +67,6 @@ def read_dump(spark: SparkSession, path: str, accept: Column | None = None, alia
     ).dropDuplicates(["db_name"])
     namespace = _namespaces(spark, site, aliases or {})
 
-    pages = _read(spark, path, "page", PAGE_ELEMENT)
-    if accept is not None:
-        pages = pages.where(accept)
     db = F.broadcast(wiki.select("db_name"))  # one row
     own = namespace.select("db_name", "ns_id", F.col("case").alias("_case")).dropDuplicates(["db_name", "ns_id"])
     titled = pages.select(F.col("id").alias("page_id"), F.col("ns").alias("ns_id"), without_prefix(F.col("title"), F.col("ns")).alias("title"))
