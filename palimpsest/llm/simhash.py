@@ -166,27 +166,47 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, simil
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def near_nodes(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, n``: the search fingerprint and the number of distinct shingles that are compared."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
+            texts = batch["text"].to_pylist()
+            found = [fingerprint(hashes(text, SEARCH_WORDS)) for text in texts]
+            sizes = [len(set(shingles(text, SIMILAR_WORDS))) for text in texts]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "n"])
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` of the documents to drop so that no two that stay are found to be near copies.
 
-    Groups that hold a large share of all rows never list their pairs: in each thinning
-    round a document is compared only with the first document (by doc_id) of
-    every segment value in its balls, and goes if it is similar to one of them.
-    What is left is small groups, whose pairs are listed and compared. Of every
-    group the first document stays.
+    Groups that hold a large share of all rows never list their pairs: the first
+    document (by doc_id) of each segment value leads it, and in each thinning round a
+    document is compared with one leader in its balls, the closest or the first by
+    turns, and goes if they are similar. What is left is small groups, whose pairs are
+    all listed and compared. Of every group the first document stays.
     """
-    alive = materialise(fingerprints(docs.where(F.col("doc_id").isNotNull()), SEARCH_WORDS), "near-fingerprints")
+    alive = materialise(near_nodes(docs.where(F.col("doc_id").isNotNull())), "near-fingerprints")
     gone = None
     ball = SEARCH_SEGMENTS  # one bit in each segment
+    # Sets whose sizes differ by more can't be that similar, so this loses nothing.
+    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     for round_number in range(THINNING_ROUNDS + 1):
-        table = tabled(alive.select(F.col("doc_id").alias("b"), "fp"), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
+        table = tabled(alive.select(F.col("doc_id").alias("b"), "fp", F.col("n").alias("n_b")), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
         if round_number < THINNING_ROUNDS:
-            first = table.groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b")).alias("first"))
-            table = first.select("segment", "value", "first.b", "first.fp_b")
-        probes = probed(alive.select(F.col("doc_id").alias("a"), "fp"), ball, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
-        close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS)
+            first = table.groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
+            table = first.select("segment", "value", "first.*")
+        probes = probed(alive.select(F.col("doc_id").alias("a"), "fp", F.col("n").alias("n_a")), ball, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
+        close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS) & sizes
         joined = probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
-        pairs = joined.select("a", "b").distinct()
+        if round_number < THINNING_ROUNDS:
+            order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
+            pairs = joined.groupBy("a").agg(F.min_by("b", order).alias("b"))
+        else:
+            pairs = joined.select("a", "b").distinct()
         dropped = materialise(similar(docs, pairs, similarity=similarity).select(F.col("a").alias("doc_id")).distinct(), "near-copies")
         gone = dropped if gone is None else gone.unionByName(dropped)
         alive = alive.join(dropped, "doc_id", "left_anti")
