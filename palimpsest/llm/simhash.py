@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.columns import carried, restored
 from palimpsest.llm.components import components
+from palimpsest.llm.rare_shingles import rare_pairs
 from palimpsest.storage import materialise
 
 SEED = 42
@@ -106,6 +107,15 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def first_meeting(a: str, b: str, radius: int, segments: int) -> Column:
+    """The first segment in which two fingerprints lie in one ball, so that a pair that meets in several is listed once."""
+    differing, found = F.col(a).bitwiseXOR(F.col(b)), F.lit(None)
+    for i, (low, bits) in reversed(list(enumerate(segment_bounds(segments)))):
+        part = F.shiftrightunsigned(differing, low).bitwiseAND(F.lit((1 << bits) - 1))
+        found = F.when(F.bit_count(part) <= radius // segments, i).otherwise(found)
+    return found
+
+
 def links(distinct: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     """``a, b`` (a < b): all pairs of the distinct fingerprints ``fp`` within ``radius`` bits."""
     table = tabled(distinct, segments).withColumnRenamed("fp", "b")
@@ -140,8 +150,12 @@ SIMILAR_WORDS = 5
 SEARCH_WORDS = 2
 SEARCH_RADIUS = 10
 SEARCH_SEGMENTS = 3
+#: One bit in each segment.
+SEARCH_BALL = SEARCH_SEGMENTS
 #: Rounds that thin out large groups before the remaining pairs are listed.
 THINNING_ROUNDS = 3
+#: Documents from which on a segment value is crowded.
+CROWD = 8
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -186,31 +200,49 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Groups that hold a large share of all rows never list their pairs: the first
     document (by doc_id) of each segment value leads it, and in each thinning round a
     document is compared with one leader in its balls, the closest or the first by
-    turns, and goes if they are similar. What is left is small groups, whose pairs are
-    all listed and compared. Of every group the first document stays.
+    turns, and goes if they are similar. Of what is left, pairs that meet in a segment
+    value of few documents are all listed; those that meet in a crowded one are listed if
+    they have a rare shingle in common, as similar ones must. Of every group the first
+    document stays.
     """
     alive = materialise(near_nodes(docs.where(F.col("doc_id").isNotNull())), "near-fingerprints")
     gone = None
-    ball = SEARCH_SEGMENTS  # one bit in each segment
     # Sets whose sizes differ by more can't be that similar, so this loses nothing.
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    for round_number in range(THINNING_ROUNDS + 1):
-        table = tabled(alive.select(F.col("doc_id").alias("b"), "fp", F.col("n").alias("n_b")), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
-        if round_number < THINNING_ROUNDS:
-            first = table.groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
-            table = first.select("segment", "value", "first.*")
-        probes = probed(alive.select(F.col("doc_id").alias("a"), "fp", F.col("n").alias("n_a")), ball, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
-        close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS) & sizes
-        joined = probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
-        if round_number < THINNING_ROUNDS:
-            order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
-            pairs = joined.groupBy("a").agg(F.min_by("b", order).alias("b"))
-        else:
-            pairs = joined.select("a", "b").distinct()
-        dropped = materialise(similar(docs, pairs, similarity=similarity).select(F.col("a").alias("doc_id")).distinct(), "near-copies")
+    close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS) & sizes
+    for round_number in range(THINNING_ROUNDS):
+        leaders = _table(alive).groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
+        order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
+        pairs = _met(_probes(alive), leaders.select("segment", "value", "first.*"), close).groupBy("a").agg(F.min_by("b", order).alias("b"))
+        dropped = materialise(_later(docs, pairs, similarity), "near-copies")
         gone = dropped if gone is None else gone.unionByName(dropped)
         alive = alive.join(dropped, "doc_id", "left_anti")
-    return gone.distinct()
+    alive = materialise(alive, "near-thinned")
+    crowds = materialise(_table(alive).groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("segment", "value"), "near-crowds")
+    meeting = first_meeting("fp_a", "fp_b", SEARCH_BALL, SEARCH_SEGMENTS)
+    listed = _met(_probes(alive), _table(alive).join(crowds, ["segment", "value"], "left_anti"), close & (F.col("p.segment") == meeting)).select("a", "b")
+    crowded = _probes(alive).join(crowds, ["segment", "value"], "left_semi").select(F.col("a").alias("doc_id")).distinct()
+    texts = materialise(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(crowded, "doc_id", "left_semi"), "near-crowded")
+    rare = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: fingerprint(hashes(t, SEARCH_WORDS)), similarity, close & meeting.isNotNull())
+    last = _later(docs, listed.unionByName(rare).distinct(), similarity)
+    return gone.unionByName(last).distinct()
+
+
+def _table(nodes: DataFrame) -> DataFrame:
+    return tabled(nodes.select(F.col("doc_id").alias("b"), "fp", F.col("n").alias("n_b")), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
+
+
+def _probes(nodes: DataFrame) -> DataFrame:
+    return probed(nodes.select(F.col("doc_id").alias("a"), "fp", F.col("n").alias("n_a")), SEARCH_BALL, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
+
+
+def _met(probes: DataFrame, table: DataFrame, close: Column) -> DataFrame:
+    return probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
+
+
+def _later(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id`` of the later document of each pair that is similar."""
+    return similar(docs, pairs, similarity=similarity).select(F.col("a").alias("doc_id")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
