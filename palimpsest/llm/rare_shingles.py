@@ -17,8 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.storage import materialise
+
 #: Shingles are counted by their hash modulo this, so that the counts have a fixed size.
 COUNTERS = 1 << 18
+#: Bins of hashes whose parities are compared, by the top eight bits of a hash.
+BINS = 256
+#: Texts handled together.
+GROUP = 256
 #: Keeps products of whole numbers and the similarity from being rounded up.
 TINY = 1e-9
 
@@ -54,27 +60,49 @@ def first_shingles(found: np.ndarray, counts: np.ndarray, similarity: float) ->
     return found[order[: len(found) - ceil(similarity * len(found) - TINY) + 1]]
 
 
-def rare_pairs(texts: DataFrame, hashes: Hashes, fingerprint: Callable[[str], int], similarity: float, close: Column) -> DataFrame:
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ``BINS`` bins of hashes, whether an odd number falls to it; as signed 64-bit words.
+
+    The bits in which two of these differ are at most the shingles that only one of the sets has.
+    """
+    odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def rare_pairs(texts: DataFrame, hashes: Hashes, fingerprint: Callable[[str], int], similarity: float, close: Column, roots: DataFrame | None = None) -> DataFrame:
     """``a, b`` (b < a) of the rows ``doc_id, text`` whose sets may be similar; pairs may repeat.
 
     ``close`` is a further condition on the fingerprints ``fp_a, fp_b`` and set sizes ``n_a, n_b``.
+    ``roots`` (``node, root``) names groups of doc_ids that are linked already: pairs inside one are left
+    out, and shingles that only one group has are dropped before they are joined.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequencies(texts, hashes))
-    names = ["doc_id", "fp", "n", "shingle", "place"]
+    sketch = [f"sketch{i}" for i in range(BINS // 64)]
+    names = ["doc_id", "fp", "n", *sketch, "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                whole = text.as_py()
-                found = np.unique(hashes(whole))
-                first = first_shingles(found, shared.value, similarity)
-                same = [pa.array(np.full(len(first), x, dtype=np.int64)) for x in (fingerprint(whole), len(found))]
-                ids = pa.array([doc_id.as_py()] * len(first), batch["doc_id"].type)
-                yield pa.RecordBatch.from_arrays([ids, *same, pa.array(first.view(np.int64)), pa.array(np.arange(len(first)))], names=names)
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
+            rows, first = [], []
+            for text in batch["text"].to_pylist():
+                found = np.unique(hashes(text))
+                rows.append([fingerprint(text), len(found), *parities(found).tolist()])
+                first.append(first_shingles(found, shared.value, similarity).view(np.int64))
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns, pa.array(first, pa.list_(pa.int64()))], names=names)
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, n long, shingle long, place long")
-    left, right = rows.toDF("a", "fp_a", "n_a", "shingle", "place_a"), rows.toDF("b", "fp_b", "n_b", "shingle_b", "place_b")
+    schema = f"doc_id {kind}, fp long, n long, {', '.join(f'{x} long' for x in sketch)}, first array<long>"
+    nodes = materialise(texts.select("doc_id", "text").mapInArrow(run, schema), "first-shingles")
+    if roots is not None:
+        nodes = nodes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    else:
+        nodes = nodes.withColumn("root", F.col("doc_id"))
+    places = nodes.select("doc_id", "root", F.posexplode("first").alias("place", "shingle"))
+    mixed = places.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rows = materialise(places.select("doc_id", "place", "shingle").join(mixed, "shingle", "left_semi").join(nodes.drop("first"), "doc_id"), "shared-shingles")
+    left, right = (rows.toDF(*(c if c == "shingle" and side == "a" else f"{'' if c == 'doc_id' else c + '_'}{side}" for c in rows.columns)) for side in "ab")
     least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - TINY
     enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= least
-    return left.join(right, (F.col("shingle") == F.col("shingle_b")) & (F.col("b") < F.col("a")) & enough & close).select("a", "b")
+    apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in sketch), F.lit(0))
+    few = apart <= F.col("n_a") + F.col("n_b") - 2 * least
+    return left.join(right, (F.col("shingle") == F.col("shingle_b")) & (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b")) & enough & few & close).select("a", "b")

@@ -195,18 +195,16 @@ def near_nodes(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id`` of the documents to drop so that no two that stay are found to be near copies.
-
-    Groups that hold a large share of all rows never list their pairs: the first
-    document (by doc_id) of each segment value leads it, and in each thinning round a
-    document is compared with one leader in its balls, the closest or the first by
-    turns, and goes if they are similar. Of what is left, pairs that meet in a segment
-    value of few documents are all listed; those that meet in a crowded one are listed if
-    they have a rare shingle in common, as similar ones must. Of every group the first
-    document stays.
+    """``doc_id`` of the documents to drop because an earlier one (by doc_id) is similar.
+
+    Most links of large groups are found by fingerprints, without listing their pairs: the first document of
+    each segment value leads it, and in each thinning round a document is compared with one
+    leader in its balls, the closest or the first by turns, and needs no other leader if they are similar.
+    Then all documents take part in a search by rare shingles, which loses no similar pair.
     """
-    alive = materialise(near_nodes(docs.where(F.col("doc_id").isNotNull())), "near-fingerprints")
-    gone = None
+    owned = docs.where(F.col("doc_id").isNotNull())
+    alive = materialise(near_nodes(owned), "near-fingerprints")
+    links = None
     # Sets whose sizes differ by more can't be that similar, so this loses nothing.
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     close = (F.col("b") < F.col("a")) & (distance("fp_a", "fp_b") <= SEARCH_RADIUS) & sizes
@@ -214,18 +212,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         leaders = _table(alive).groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
         order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
         pairs = _met(_probes(alive), leaders.select("segment", "value", "first.*"), close).groupBy("a").agg(F.min_by("b", order).alias("b"))
-        dropped = materialise(_later(docs, pairs, similarity), "near-copies")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        alive = alive.join(dropped, "doc_id", "left_anti")
-    alive = materialise(alive, "near-thinned")
-    crowds = materialise(_table(alive).groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("segment", "value"), "near-crowds")
-    meeting = first_meeting("fp_a", "fp_b", SEARCH_BALL, SEARCH_SEGMENTS)
-    listed = _met(_probes(alive), _table(alive).join(crowds, ["segment", "value"], "left_anti"), close & (F.col("p.segment") == meeting)).select("a", "b")
-    crowded = _probes(alive).join(crowds, ["segment", "value"], "left_semi").select(F.col("a").alias("doc_id")).distinct()
-    texts = materialise(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(crowded, "doc_id", "left_semi"), "near-crowded")
-    rare = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: fingerprint(hashes(t, SEARCH_WORDS)), similarity, close & meeting.isNotNull())
-    last = _later(docs, listed.unionByName(rare).distinct(), similarity)
-    return gone.unionByName(last).distinct()
+        found = materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links")
+        links = found if links is None else links.unionByName(found)
+        alive = alive.join(found.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    texts = owned.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    pairs = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes).distinct()
+    links = links.unionByName(materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links"))
+    return links.select(F.col("a").alias("doc_id")).distinct()
 
 
 def _table(nodes: DataFrame) -> DataFrame:
@@ -240,11 +233,6 @@ def _met(probes: DataFrame, table: DataFrame, close: Column) -> DataFrame:
     return probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
 
 
-def _later(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``doc_id`` of the later document of each pair that is similar."""
-    return similar(docs, pairs, similarity=similarity).select(F.col("a").alias("doc_id")).distinct()
-
-
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies, all columns kept.
 
