@@ -195,12 +195,14 @@ def near_nodes(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id`` of the documents to drop because an earlier one (by doc_id) is similar.
+    """``doc_id`` of the documents to drop so that of each group of near copies the first one (by doc_id) stays.
 
-    Most links of large groups are found by fingerprints, without listing their pairs: the first document of
+    Groups are the components of all pairs of similar documents. Most links of large groups
+    are found by fingerprints, without listing their pairs: the first document of
     each segment value leads it, and in each thinning round a document is compared with one
     leader in its balls, the closest or the first by turns, and needs no other leader if they are similar.
-    Then all documents take part in a search by rare shingles, which loses no similar pair.
+    Then all documents take part in a search by rare shingles, which loses no similar pair; only
+    pairs that the links so far leave in different groups are listed.
     """
     owned = docs.where(F.col("doc_id").isNotNull())
     alive = materialise(near_nodes(owned), "near-fingerprints")
@@ -216,9 +218,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         alive = alive.join(found.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     texts = owned.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    pairs = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes).distinct()
+    pairs = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes, components(links)).distinct()
     links = links.unionByName(materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links"))
-    return links.select(F.col("a").alias("doc_id")).distinct()
+    return components(links).where("node <> root").select(F.col("node").alias("doc_id"))
 
 
 def _table(nodes: DataFrame) -> DataFrame:

@@ -38,3 +38,13 @@ def test_pairs_outside_the_fingerprint_search_go(spark):
             texts += [" ".join(words), copy]
     assert len(texts) >= 6
     assert kept(spark, texts) == set(range(0, len(texts), 2))
+
+
+def test_one_of_each_group_stays(spark):
+    """Edits of a later original are similar to it, but not to each other."""
+    words = prose(200, 31).split(" ")
+    star = [edited(words, {10 + 12 * k, 14 + 12 * k, 18 + 12 * k}, f"new{k}x") for k in range(6)]
+    texts = [*star, " ".join(words), prose(200, 32)]
+    sets = shingle_sets(texts)
+    assert all(similar(sets[k], sets[6]) for k in range(6)) and not any(similar(sets[a], sets[b]) for a in range(6) for b in range(a))
+    assert kept(spark, texts) == {0, 7}
