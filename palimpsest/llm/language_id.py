@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: The classifier is fitted on at most so many documents of each language, taken by a hash of
-#: their text among those of at most so many bytes, and on at most so many languages.
+#: The classifier is fitted on at most so many different texts of each language, taken by their hash, on
+#: at most so many bytes of each, and on at most so many languages (more are an error).
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 14
 MAX_LANGUAGES = 64
@@ -118,24 +118,32 @@ def code_lengths(model: Model, text: str) -> np.ndarray:
     return total
 
 
-def sample(docs: DataFrame, limit: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+def sample(docs: DataFrame, limit: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
     """Training texts by language, in bounded number; which ones depends on the texts alone.
 
-    How many rows a language has fixes a threshold on a hash of the text, so that about
-    twice ``limit`` pass it; the ``limit`` smallest hashes of those are taken.
+    How many different texts a language has fixes a threshold on a hash of the text, so that about
+    twice ``limit`` pass it; the ``limit`` smallest hashes of those are taken, and of each text its first
+    ``max_bytes`` bytes. More than ``max_languages`` languages are an error, none is left out.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("hash"))
+    counted = usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return {}
-    span = 1 << 40
-    share = F.pmod(F.xxhash64("text"), F.lit(span))
-    bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * 2 * limit // n))])
-    keyed = usable.select("lang", "text", share.alias("share")).where(F.col("share") < F.element_at(bound, F.col("lang")))
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in keyed.distinct().toLocalIterator():  # at most about 2 * limit * MAX_LANGUAGES rows
-        texts.setdefault(r["lang"], []).append((r["share"], r["text"]))
-    return {lang: [t for _, t in sorted(found)[:limit]] for lang, found in texts.items()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"the table has more than {max_languages} languages; the model is bounded by max_languages")
+    span, factor = 1 << 40, 2
+    keyed = usable.select("lang", F.left("text", F.lit(max_bytes)).alias("text"), F.pmod("hash", F.lit(span)).alias("share"))
+    while True:
+        bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * factor * limit // n))])
+        passed = keyed.where(F.col("share") < F.element_at(bound, F.col("lang")))
+        texts: dict[str, list[tuple[int, str]]] = {}
+        for r in passed.distinct().toLocalIterator():  # at most about factor * limit * max_languages rows
+            texts.setdefault(r["lang"], []).append((r["share"], r["text"]))
+        if all(len(texts.get(lang, ())) >= min(limit, n) for lang, n in sizes.items()) or factor * limit >= max(sizes.values()):
+            break
+        factor *= 4
+    return {lang: [t.encode()[:max_bytes].decode(errors="ignore") for _, t in sorted(found)[:limit]] for lang, found in texts.items()}
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,7 +179,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, order: int = ORDER, limit: int = SAMPLE_DOCS) -> DataFrame:
+def predict(docs: DataFrame, order: int = ORDER, limit: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """Train on the rows that are not held out and predict all: ``doc_id, held_out, lang_pred, score``."""
-    model = train(sample(docs.where(~held_out()), limit), order)
+    model = train(sample(docs.where(~held_out()), limit, max_languages=max_languages), order)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
