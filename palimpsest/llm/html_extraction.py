@@ -54,6 +54,8 @@ DEAD_NAMES = frozenset(
 )
 DEAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+PAGE_TAGS = frozenset(("html", "body"))
+STATES = frozenset("has no not with without hide show".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = frozenset("ul ol menu dl table thead tbody tfoot".split())
 
@@ -65,34 +67,46 @@ _number = re.compile(r"[0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dead", "article", "children")
+    __slots__ = ("tag", "path", "dead", "named", "article", "children")
 
-    def __init__(self, tag: str, path: str, dead: bool, article: bool) -> None:
-        self.tag, self.path, self.dead, self.article = tag, path, dead, article
+    def __init__(self, tag: str, path: str, dead: bool, named: tuple[int, ...], article: bool) -> None:
+        self.tag, self.path, self.dead, self.named, self.article = tag, path, dead, named, article
         self.children: list[str] = []
 
 
-def _opened(tag: str, attributes: str, parent: _Element, depth: int) -> _Element:
+def _own_names(label: str) -> set[str]:
+    """The parts of classes and ids; ``has-sidebar`` and ``no-comments`` say something about the element, not what it is."""
+    return {name for names in map(_names, label.split()) if names and names[0] not in STATES for name in names}
+
+
+def _opened(tag: str, attributes: str, parent: _Element, depth: int, number: int) -> _Element:
     values = {k.lower(): (a or b or c).lower() for k, a, b, c in _attribute(attributes)} if attributes else {}
     label = f"{values.get('class', '')} {values.get('id', '')}".strip()
-    names = set(_names(label))
-    dead = parent.dead or tag in DEAD_TAGS or bool(names & DEAD_NAMES) or values.get("role") in DEAD_ROLES or ((tag == "header" or "header" in names) and not parent.article)
+    names = _own_names(label)
+    article = tag in ARTICLE_TAGS or values.get("role") == "main"
+    named = parent.named
+    if not (article or tag in PAGE_TAGS) and (names & DEAD_NAMES or ("header" in names and not parent.article)):
+        named = (*named, number)
+    dead = parent.dead or tag in DEAD_TAGS or values.get("role") in DEAD_ROLES or (tag == "header" and not parent.article)
     dead = dead or (attributes is not None and bool(_hidden(attributes))) or "display:none" in values.get("style", "").replace(" ", "")
     name = tag + ("." + _number.sub("0", "-".join(label.split())) if label else "")
     path = f"{parent.path}>{name}" if depth <= MAX_DEPTH else parent.path
-    return _Element(tag, path, dead, parent.article or tag in ARTICLE_TAGS or values.get("role") == "main")
+    return _Element(tag, path, dead, named, parent.article or article)
+
 
+Block = tuple[str, str, bool, tuple[int, ...], bool]
 
-def parse(source: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, list[str]]]:
-    """Blocks (path, text, dead, in article) in page order, and the child sequences by path."""
-    root = _Element("", "", False, False)
-    stack, blocks, styles, pending = [root], [], {}, []
+
+def parse(source: str) -> tuple[list[Block], dict[str, list[str]]]:
+    """Blocks (path, text, dead by tag, elements around it that are named as side matter, in article) in page order, and the child sequences by path."""
+    root = _Element("", "", False, (), False)
+    stack, blocks, styles, pending, opened = [root], [], {}, [], 0
 
     def flush() -> None:
         if pending:
             top = stack[-1]
             if text := " ".join(entities.unescape("".join(pending)).split()):
-                blocks.append((top.path, text, top.dead, top.article))
+                blocks.append((top.path, text, top.dead, top.named, top.article))
             pending.clear()
 
     def close() -> None:
@@ -133,7 +147,8 @@ def parse(source: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, lis
             if near and stack[near].tag in ends:
                 while len(stack) > near or stack[-1].tag in ends:
                     close()
-            element = _opened(tag, m[3], stack[-1], len(stack))
+            opened += 1
+            element = _opened(tag, m[3], stack[-1], len(stack), opened)
             name = element.path.rpartition(">")[2]
             if not stack[-1].children or stack[-1].children[-1] != name:
                 stack[-1].children.append(name)
@@ -145,11 +160,20 @@ def parse(source: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, lis
     return blocks, styles
 
 
-def live(blocks: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that tags and names leave: those in the article, if the page marks one."""
-    alive = [b for b in blocks if not b[2]]
-    inside = [b for b in alive if b[3]]
-    return [(path, text) for path, text, _, _ in inside or alive]
+def live(blocks: list[Block]) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that tags and names leave: those in the article, if the page marks one.
+
+    A name doesn't count for an element that holds most of the page's text.
+    """
+    rest = [b for b in blocks if not b[2]]
+    sizes: dict[int, int] = {}
+    for _, text, _, named, _ in rest:
+        for number in named:
+            sizes[number] = sizes.get(number, 0) + len(text)
+    half = sum(len(b[1]) for b in rest) / 2
+    alive = [b for b in rest if all(sizes[number] > half for number in b[3])]
+    inside = [b for b in alive if b[4]]
+    return [(b[0], b[1]) for b in inside or alive]
 
 
 BLOCKS = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
