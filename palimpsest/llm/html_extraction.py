@@ -6,11 +6,12 @@ contents (texts of its blocks) and which styles (sequences of child elements) oc
 many distinct pages. With m pages, a content on c of them has entropy log_m(c); an element's
 content importance is one less the mean over its contents, so what all pages repeat
 has none. An inner element's importance mixes the entropy of its styles with the mean
-importance of the contents below it. Branches of low importance go from each page.
+importance of the contents below it, and is at least that of the best of them: a branch goes only
+if all of it is low. Branches of low importance go from each page.
 
 Tags and class names that say what they are (menus, footers, adverts, comments ...) have no
-importance from the start, and neither has what stands outside the article on a page
-that marks one.
+part in the result, and neither has what stands outside the article on a page that has the
+larger part of its text in one; the tree is built from all blocks all the same.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from palimpsest.storage import materialise
 
 #: Least importance that stays, and the pages that a host needs before its tree counts.
 THRESHOLD = 0.15
-MIN_PAGES = 8
+MIN_PAGES = 2
 #: Weight of a branch's contents against its own styles, to the power of its children.
 DAMPING = 0.9
 #: Hosts with low branches are sent to all executors up to this many; beyond, they are joined by shuffle.
@@ -161,19 +162,22 @@ def parse(source: str) -> tuple[list[Block], dict[str, list[str]]]:
 
 
 def live(blocks: list[Block]) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that tags and names leave: those in the article, if the page marks one.
+    """(path, text) of the blocks that tags and names leave: those in the article, if it holds the larger part of them.
 
-    A name doesn't count for an element that holds most of the page's text.
+    Where that leaves nothing in an article, a name doesn't count for an element that holds most of the page's text.
     """
     rest = [b for b in blocks if not b[2]]
-    sizes: dict[int, int] = {}
-    for _, text, _, named, _ in rest:
-        for number in named:
-            sizes[number] = sizes.get(number, 0) + len(text)
-    half = sum(len(b[1]) for b in rest) / 2
-    alive = [b for b in rest if all(sizes[number] > half for number in b[3])]
+    alive = [b for b in rest if not b[3]]
+    if not any(b[4] for b in alive):
+        sizes: dict[int, int] = {}
+        for _, text, _, named, _ in rest:
+            for number in named:
+                sizes[number] = sizes.get(number, 0) + len(text)
+        half = sum(len(b[1]) for b in rest) / 2
+        alive = [b for b in rest if all(sizes[number] > half for number in b[3])]
     inside = [b for b in alive if b[4]]
-    return [(b[0], b[1]) for b in inside or alive]
+    larger = 2 * sum(len(b[1]) for b in inside) >= sum(len(b[1]) for b in alive)
+    return [(b[0], b[1]) for b in (inside if inside and larger else alive)]
 
 
 BLOCKS = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
@@ -186,7 +190,7 @@ def _signed(text: str) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, page`` (a hash of the html), ``blocks`` that may stay and ``features`` of their branches."""
+    """``page_id, url, host, page`` (a hash of the html), ``blocks`` that may stay and ``features`` of all branches."""
     host = F.nullif(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("html").alias("page"), F.coalesce("html", F.lit("")).alias("_html"))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, page long, blocks array<struct<path string, text string>>, features array<struct<path string, leaf boolean, feature long, children int>>"
@@ -197,8 +201,8 @@ def parsed(pages: DataFrame) -> DataFrame:
             for source in batch["_html"].to_pylist():
                 found, styles = parse(source)
                 kept = live(found)
-                above = {path[:i] for path, _ in kept for i in [*(m.start() for m in re.finditer(">", path)), len(path)]} - {""}
-                own = {(path, True, _signed(text), 0) for path, text in kept}
+                above = {path[:i] for path, *_ in found for i in [*(m.start() for m in re.finditer(">", path)), len(path)]} - {""}
+                own = {(path, True, _signed(text), 0) for path, text, *_ in found}
                 own |= {(path, False, _signed(style), style.count("|") + 1) for path in above for style in styles.get(path, ()) if style}
                 blocks.append([{"path": path, "text": text} for path, text in kept])
                 features.append([{"path": p, "leaf": leaf, "feature": f, "children": n} for p, leaf, f, n in sorted(own)])
@@ -232,10 +236,10 @@ def importance(rows: DataFrame) -> DataFrame:
     base = F.log(F.col("m"))
     leaves = summed.where("leaf").select("host", "path", (1 - F.col("logs") / F.col("kinds") / base).alias("content"))
     styles = summed.where("not leaf").select("host", "path", ((F.log("total") - F.col("weighted") / F.col("total")) / base).alias("style"), "children")
-    below = leaves.select("host", F.explode(_ancestors(F.col("path"))).alias("path"), "content").groupBy("host", "path").agg(F.avg("content").alias("content"))
+    below = leaves.select("host", F.explode(_ancestors(F.col("path"))).alias("path"), "content").groupBy("host", "path").agg(F.avg("content").alias("content"), F.max("content").alias("best"))
     weight = F.pow(F.lit(DAMPING), F.col("children"))
     mixed = F.when(F.col("style").isNull(), F.col("content")).otherwise((1 - weight) * F.col("style") + weight * F.col("content"))
-    return below.join(styles, ["host", "path"], "left").select("host", "path", mixed.alias("importance"))
+    return below.join(styles, ["host", "path"], "left").select("host", "path", F.greatest(mixed, "best").alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -18,3 +18,18 @@ def texts(source):
 def test_names_do_not_empty_a_page(opened):
     source = f"{opened}<p>{TEXT * 4}</p><div class='sidebar'><p>Links</p></div><div class='cookie-notice'>Cookies</div>"
     assert texts(source) == [(TEXT * 4).strip()]
+
+
+def test_articles_with_the_smaller_part_hide_nothing():
+    cards = "".join(f"<article class='card'><p>Card {k}</p></article>" for k in range(3))
+    assert (TEXT * 4).strip() in texts(f"<body><div class='text'><p>{TEXT * 4}</p></div>{cards}")
+
+
+def test_tree_counts_from_two_pages_and_sees_all_blocks(spark):
+    menu = "".join(f"<div class='menu m{chr(97 + k)}'>Entry {k}</div>" for k in range(12))
+    page = "<body><div class='wrap'>{0}<div class='text'><p>Unique {1} words</p></div><div class='x'><p>Read our magazine every week</p></div></div>"
+    rows = [(k, f"https://d.example.org/{k}", page.format(menu, k)) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == {k: f"Unique {k} words" for k in range(2)}
+    paths = [r.path for r in html_extraction.importance(html_extraction.parsed(pages)).collect()]
+    assert any("menu" in path for path in paths)
