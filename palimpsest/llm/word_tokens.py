@@ -70,9 +70,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model.tokenize
         self.split = re.compile(r"[^ \t\n\r]+").findall
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {token.content: array("I", [number]).tobytes() for number, token in added.items()}
+        # Longer ones first, as one may begin like another.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
         self.words = Halves(CACHE_WORDS)
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -94,7 +97,10 @@ class WordEncoder:
     def encode_bytes(self, text: str) -> bytes:
         """Ids of the whole text, each as four little-endian bytes."""
         self.words.trim()
-        return b"".join(self.words.fill(self.split(text), self._word))
+        if self.cut is None or not any(token in text for token in self.added):
+            return b"".join(self.words.fill(self.split(text), self._word))
+        parts = self.cut(text)
+        return b"".join(self.added[part] if i % 2 else b"".join(self.words.fill(self.split(part), self._word)) for i, part in enumerate(parts))
 
 
 @cache
