@@ -7,7 +7,8 @@ documents shorter than L count in full and each other one counts L.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -15,21 +16,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.byte_bpe import load_ranks
+from palimpsest.llm.byte_bpe import WHITE, byte_pair_encoder, load_ranks
 from palimpsest.storage import materialise
 
 #: Texts encoded together.
 GROUP = 256
 #: Lengths whose sums are added up in one task; then the blocks' sums are.
 BLOCK = 4096
+#: White space that long overflows the stack of the tokenizer library; such texts go through operator 4's encoder.
+LONG_WHITE = 4096
 
 
 @cache
-def encoding(rank_file: str, pattern: str):
-    """One encoding for all tasks of a Python worker."""
+def counter(rank_file: str, pattern: str) -> Callable[[str], int]:
+    """How many tokens a text has; one function for all tasks of a Python worker."""
     import tiktoken
 
-    return tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=load_ranks(rank_file), special_tokens={})
+    encode = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=load_ranks(rank_file), special_tokens={}).encode_ordinary
+    long_white = re.compile(rf"[{WHITE}]{{{LONG_WHITE}}}").search
+
+    def count(text: str) -> int:
+        if long_white(text):
+            return len(byte_pair_encoder(rank_file, pattern).encode_bytes(text)) // 4
+        return len(encode(text))
+
+    return count
 
 
 def lengths(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -37,9 +48,9 @@ def lengths(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(rank_file, pattern).encode_ordinary
+        count = counter(rank_file, pattern)
         for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
-            counts = pa.array([len(encode(text)) for text in batch["text"].to_pylist()], pa.int64())
+            counts = pa.array([count(text) for text in batch["text"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], counts], names=["doc_id", "n_tokens"])
 
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
@@ -59,6 +70,7 @@ def suffix_sums(lengths_of: DataFrame) -> DataFrame:
     ``share_to >= q``; ``total_docs, total_tokens``. An empty histogram has no rows.
     """
     rows = lengths_of.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
+    # One task adds up the blocks: one row for every 4096 lengths, whatever the number of documents.
     later = W.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     blocks = rows.groupBy("_block").agg(F.sum("n_docs").alias("docs"), F.sum("_tokens").alias("tokens"))  # a row per 4096 lengths
