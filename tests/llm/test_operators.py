@@ -43,6 +43,7 @@ TEXTS = [
     (11, prose(300, 2) + " end", "es"),
     (12, "a" * 5000, "es"),
     (13, "#%& | | ** junk ** %% $$ ## " * 40, "en"),
+    (15, "a <|endoftext|> b<|startoftext|>c <|EndOfText|> <|end oftext|>", "en"),
     (14, prose(60, 3) + " mail me@x.org or +1 (555) 123-4567 from 10.0.0.1 card 4111 1111 1111 1111 end", "en"),
 ]
 
@@ -75,7 +76,6 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 def check_packing(rows, texts, capacity):
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for i, text, *_ in texts:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -146,8 +146,10 @@ def test_word_encoder_forgets_and_stays_exact(monkeypatch):
 # 2
 
 
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(docs, weak):
+def test_exact_dedup(docs, weak, few, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 100 if few else 0)
     digest = (lambda c: F.length(c) % 3) if weak else exact_dedup.digest_of
     rows = rows_of(exact_dedup.exact_dedup(docs, digest, salts=3))
     groups = collections.defaultdict(list)
@@ -156,14 +158,20 @@ def test_exact_dedup(docs, weak):
     want = collections.Counter()
     for text, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
+        sha = hashlib.sha256(text.encode()).hexdigest()
         for i in ids:
-            want[i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
+            want[i, keep, len(ids), False, sha] += 1
+        want[keep, keep, len(ids), False, sha] -= 1
+        want[keep, keep, len(ids), True, sha] += 1
+    want = +want
     assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows) == want
 
 
 def test_exact_dedup_keeps_rows(docs, empty):
     kept = exact_dedup.drop_copies(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 7, 7, 8, 9, None, 10, 11, 12, 13, 14]))
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 7, 8, 9, None, 10, 11, 12, 13, 14, 15]))
+    twice = docs.where("doc_id is null").unionByName(docs.where("doc_id is null"))
+    assert exact_dedup.drop_copies(twice).count() == 1 and [r.kept for r in exact_dedup.exact_dedup(twice).sort("kept").collect()] == [False, True]
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
@@ -330,6 +338,8 @@ def test_token_counts(docs, empty):
     assert token_counts.truncated_totals(sums, limits) == {x: sum(min(x, s) for s in sizes) for x in limits}
     got = token_counts.quantiles(sums, [0.0, 0.25, 0.5, 0.99, 1.0])
     assert got == {q: next(s for s in sizes if sum(x <= s for x in sizes) >= q * len(sizes)) for q in got}
+    white = docs.limit(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit(" "), 2_000_000).alias("text"))
+    assert [r["n_tokens"] for r in rows_of(token_counts.count_tokens(white, ranks, public_tokenizers.PATTERN))] == [len(byte_bpe.BytePairEncoder(ranks, public_tokenizers.PATTERN).encode(" " * 2_000_000))]
     assert token_counts.count_tokens(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
@@ -374,7 +384,8 @@ def test_links_by_brute_force(spark):
     values = {*base, *(x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for x in base for _ in range(4)), *(x ^ 7 << r.randrange(60) for x in base)}
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in values)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for radius, segments in ((2, 2), (3, 2), (1, 2), (5, 3)):
+    assert simhash.ball_radii(2, 2) == (1, 0) and simhash.ball_radii(10, 3) == (3, 3, 2) and simhash.ball_radii(1, 3) == (0, 0, -1)
+    for radius, segments in ((2, 2), (3, 2), (1, 2), (5, 3), (1, 3), (0, 2)):
         want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
         assert {tuple(x) for x in simhash.links(df, radius, segments).collect()} == want
 
