@@ -1,8 +1,8 @@
 """SimHash near-duplicate search by multi-index hashing.
 
-A 64-bit fingerprint is cut into segments. Two fingerprints that differ in at
-most ``radius`` bits differ in at most ``radius // segments`` bits in some segment,
-so a small Hamming ball around each segment value is enumerated, the table of
+A 64-bit fingerprint is cut into segments, each with a ball radius of its own. If the radii and one more
+for each segment add up to more than ``radius``, two fingerprints that differ in at most ``radius`` bits lie in
+one ball of some segment. So a small Hamming ball around each segment value is enumerated, the table of
 segment values gives the matches, and whole distances are verified inside the join.
 Only distinct fingerprints take part; copies come back by their fingerprint.
 """
@@ -83,12 +83,18 @@ def _segments(segments: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("segment"), value.alias("value")) for i, value in enumerate(values)])
 
 
-def _balls(radius: int, segments: int) -> Column:
-    """Masks of up to ``radius // segments`` bits, by segment."""
+def ball_radii(radius: int, segments: int) -> tuple[int, ...]:
+    """The smallest balls, by segment, that no pair within ``radius`` escapes; -1 where none is needed."""
+    each, more = divmod(radius + 1, segments)
+    return tuple(each - (i >= more) for i in range(segments))
+
+
+def _balls(radii: tuple[int, ...]) -> Column:
+    """Masks of up to so many bits, by segment."""
     each = []
-    for _, bits in segment_bounds(segments):
-        masks = [sum(1 << b for b in chosen) for k in range(radius // segments + 1) for chosen in combinations(range(bits), k)]
-        each.append(F.array(*[F.lit(mask).cast("long") for mask in masks]))
+    for (_, bits), radius in zip(segment_bounds(len(radii)), radii, strict=True):
+        masks = [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(bits), k)]
+        each.append(F.array(*[F.lit(mask).cast("long") for mask in masks]).cast("array<long>"))
     return F.array(*each)
 
 
@@ -97,9 +103,9 @@ def tabled(nodes: DataFrame, segments: int) -> DataFrame:
     return nodes.select("*", F.inline(_segments(segments)))
 
 
-def probed(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+def probed(nodes: DataFrame, radii: tuple[int, ...]) -> DataFrame:
     """One row per node, segment and value of the ball: the node's columns, ``segment``, ``value`` and ``mask``."""
-    rows = tabled(nodes, segments).select("*", F.explode(F.element_at(_balls(radius, segments), F.col("segment") + 1)).alias("mask"))
+    rows = tabled(nodes, len(radii)).select("*", F.explode(F.element_at(_balls(radii), F.col("segment") + 1)).alias("mask"))
     return rows.withColumn("value", F.col("value").bitwiseXOR(F.col("mask")))
 
 
@@ -107,19 +113,13 @@ def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def first_meeting(a: str, b: str, radius: int, segments: int) -> Column:
-    """The first segment in which two fingerprints lie in one ball, so that a pair that meets in several is listed once."""
-    differing, found = F.col(a).bitwiseXOR(F.col(b)), F.lit(None)
-    for i, (low, bits) in reversed(list(enumerate(segment_bounds(segments)))):
-        part = F.shiftrightunsigned(differing, low).bitwiseAND(F.lit((1 << bits) - 1))
-        found = F.when(F.bit_count(part) <= radius // segments, i).otherwise(found)
-    return found
-
-
 def links(distinct: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
-    """``a, b`` (a < b): all pairs of the distinct fingerprints ``fp`` within ``radius`` bits."""
+    """``a, b`` (a < b): all pairs of the distinct fingerprints ``fp`` within ``radius`` bits.
+
+    A ball holds whichever of two values it is drawn around, so each pair is looked for from its smaller side only.
+    """
     table = tabled(distinct, segments).withColumnRenamed("fp", "b")
-    probes = probed(distinct, radius, segments).drop("mask").withColumnRenamed("fp", "a")
+    probes = probed(distinct, ball_radii(radius, segments)).drop("mask").withColumnRenamed("fp", "a")
     close = (F.col("a") < F.col("b")) & (distance("a", "b") <= radius)
     joined = probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
     return joined.select("a", "b").distinct()
@@ -149,13 +149,9 @@ SIMILARITY = 0.8
 SIMILAR_WORDS = 5
 SEARCH_WORDS = 2
 SEARCH_RADIUS = 10
-SEARCH_SEGMENTS = 3
-#: One bit in each segment.
-SEARCH_BALL = SEARCH_SEGMENTS
+SEARCH_BALLS = (1, 1, 1)
 #: Rounds that thin out large groups before the remaining pairs are listed.
 THINNING_ROUNDS = 3
-#: Documents from which on a segment value is crowded.
-CROWD = 8
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -195,17 +191,16 @@ def near_nodes(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id`` of the documents to drop so that of each group of near copies the first one (by doc_id) stays.
+    """``doc_id`` of the rows to drop so that of each group of near copies the first one stays.
 
-    Groups are the components of all pairs of similar documents. Most links of large groups
+    ``docs`` has distinct and ordered ``doc_id`` (of any type, without nulls) and ``text``. Groups are the components of all pairs of similar documents. Most links of large groups
     are found by fingerprints, without listing their pairs: the first document of
     each segment value leads it, and in each thinning round a document is compared with one
     leader in its balls, the closest or the first by turns, and needs no other leader if they are similar.
     Then all documents take part in a search by rare shingles, which loses no similar pair; only
     pairs that the links so far leave in different groups are listed.
     """
-    owned = docs.where(F.col("doc_id").isNotNull())
-    alive = materialise(near_nodes(owned), "near-fingerprints")
+    alive = materialise(near_nodes(docs), "near-fingerprints")
     links = None
     # Sets whose sizes differ by more can't be that similar, so this loses nothing.
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
@@ -214,21 +209,21 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         leaders = _table(alive).groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
         order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
         pairs = _met(_probes(alive), leaders.select("segment", "value", "first.*"), close).groupBy("a").agg(F.min_by("b", order).alias("b"))
-        found = materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links")
+        found = materialise(similar(docs, pairs, similarity=similarity), "near-links")
         links = found if links is None else links.unionByName(found)
         alive = alive.join(found.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    texts = owned.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     pairs = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes, components(links)).distinct()
     links = links.unionByName(materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links"))
     return components(links).where("node <> root").select(F.col("node").alias("doc_id"))
 
 
 def _table(nodes: DataFrame) -> DataFrame:
-    return tabled(nodes.select(F.col("doc_id").alias("b"), "fp", F.col("n").alias("n_b")), SEARCH_SEGMENTS).withColumnRenamed("fp", "fp_b")
+    return tabled(nodes.select(F.col("doc_id").alias("b"), "fp", F.col("n").alias("n_b")), len(SEARCH_BALLS)).withColumnRenamed("fp", "fp_b")
 
 
 def _probes(nodes: DataFrame) -> DataFrame:
-    return probed(nodes.select(F.col("doc_id").alias("a"), "fp", F.col("n").alias("n_a")), SEARCH_BALL, SEARCH_SEGMENTS).drop("mask").withColumnRenamed("fp", "fp_a")
+    return probed(nodes.select(F.col("doc_id").alias("a"), "fp", F.col("n").alias("n_a")), SEARCH_BALLS).drop("mask").withColumnRenamed("fp", "fp_a")
 
 
 def _met(probes: DataFrame, table: DataFrame, close: Column) -> DataFrame:
@@ -236,11 +231,18 @@ def _met(probes: DataFrame, table: DataFrame, close: Column) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without near copies, all columns kept.
+    """``docs`` without near copies, all columns kept: of each group the row with the smallest doc_id stays.
 
-    Rows without a doc_id stay; rows that share a doc_id stay or go together;
-    texts without words are copies of each other.
+    Rows are told apart by doc_id and text, so rows that share a doc_id but not a text are judged each; rows that
+    repeat both leave one. A row without a doc_id counts as the last of its group. Texts without words are
+    copies of each other; an empty table gives an empty result.
     """
-    gone = near_copies(docs, similarity).withColumnRenamed("doc_id", "_gone")
-    rows = docs.select(carried(docs), F.col("doc_id").alias("_own_id"))
-    return restored(rows.join(gone, F.col("_own_id") == F.col("_gone"), "left_anti"), docs.columns)
+    own = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    tie = F.lit(0).cast("long") if own else F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tie.alias("tie"))
+    texts = docs.select(key.alias("doc_id"), "text")
+    rows = docs.select(carried(docs), key.alias("_key"))
+    if not own:
+        texts, rows = texts.dropDuplicates(["doc_id"]), rows.dropDuplicates(["_key"])
+    gone = near_copies(texts, similarity).withColumnRenamed("doc_id", "_gone")
+    return restored(rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)

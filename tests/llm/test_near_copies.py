@@ -1,7 +1,12 @@
 """The near-copy stage against all pairs in plain Python."""
 
+import collections
+import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from palimpsest.llm import simhash
 from tests.llm.test_operators import prose
 
@@ -48,3 +53,36 @@ def test_one_of_each_group_stays(spark):
     sets = shingle_sets(texts)
     assert all(similar(sets[k], sets[6]) for k in range(6)) and not any(similar(sets[a], sets[b]) for a in range(6) for b in range(a))
     assert kept(spark, texts) == {0, 7}
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c, d = (prose(60, 700 + k) for k in range(4))
+    rows = [(1, a), (2, a + " word"), (2, b), (3, c), (3, c), (None, d), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1)).withColumn("id", F.lit(2)).repartition(3)
+    out = simhash.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(False, 1, a), (False, 2, b), (False, 3, c), (True, None, d)], key=str)
+
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no driver tables")
+def test_no_similar_pair_is_left_in_the_tables(spark):
+    """All pairs of the whole table by an inverted index: each has one document left at most, and every component one."""
+    docs = spark.read.parquet(SF)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets, holders, together = dict(zip(texts, shingle_sets(texts.values()), strict=True)), collections.defaultdict(list), collections.Counter()
+    for i, found in sets.items():
+        for x in found:
+            holders[x].append(i)
+    for found in holders.values():
+        together.update((a, b) for a in found for b in found if a < b)
+    root = {i: i for i in texts}
+    empty = sorted(i for i, found in sets.items() if not found)
+    for a, b in [*((a, b) for (a, b), n in together.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)), *((empty[0], x) for x in empty[1:])]:
+        if root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if x == high else x for i, x in root.items()}
+    assert len(set(root.values())) < len(texts)
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(root.values())
