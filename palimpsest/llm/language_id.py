@@ -29,6 +29,8 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1 << 14
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
+#: The score is that of so many bytes at the text's average code lengths; the whole of a long text would always score 1.
+SCORE_BYTES = 64
 #: Bytes scored at a time.
 BLOCK = 1 << 22
 
@@ -149,7 +151,8 @@ def sample(docs: DataFrame, limit: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BY
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row.
 
-    The score is the winner's share of 2**-bits over all languages. Null and
+    The score is the winner's share of 2**-bits over all languages, for the text or, if it is longer, for ``SCORE_BYTES``
+    bytes at its average code lengths. Null and
     empty texts, and those without a letter, get ``und`` and score 0, as do all
     texts if nothing could be learnt; equal code lengths go to the first
     language in alphabetical order; other columns are ignored.
@@ -166,9 +169,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 if not text.is_valid or not model.languages:
                     names.append(UNKNOWN), scores.append(0.0)
                     continue
-                bits = code_lengths(model, text.as_py())
-                best = int(np.argmin(bits))
-                names.append(model.languages[best]), scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
+                source = text.as_py()
+                bits = code_lengths(model, source)
+                best, share = int(np.argmin(bits)), min(1.0, SCORE_BYTES / len(source.encode()))
+                names.append(model.languages[best]), scores.append(float(1 / np.exp2(np.maximum(share * (bits[best] - bits), -1000)).sum()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
