@@ -19,7 +19,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Frequent function words of the languages served.
+#: Frequent function words by language. Texts that ``lang`` says are in another one, or in none, aren't judged by them.
 STOP_WORDS = {
     "en": "the of and to a in is it that for on with as by this be at are was from or an not he his but they have you had",
     "fr": "de la le et les des en un du une que est dans qui pour par sur au avec il ne se pas plus ce sont elle",
@@ -95,11 +95,14 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of every text, beside ``extra`` columns of ``docs``; null text has none of anything."""
+    """Counts of every text, beside ``extra`` columns of ``docs``; null text has none of anything.
+
+    ``n_stop_words`` is null where the language has no list.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
-    worded = docs.select(*extra, value.alias("_text"), words_of(value).alias("_words"))
+    listed = F.col("lang").isin(*STOP_WORDS) if "lang" in docs.columns else F.lit(False)
+    worded = docs.select(*extra, value.alias("_text"), words_of(value).alias("_words"), listed.alias("_listed"))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(without(line, SPACES)) > 0)
-    stops = F.array(*[F.lit(w) for w in ALL_STOP_WORDS])
     bare = F.transform("_words", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?()\"'"))))
     return worded.select(
         *extra,
@@ -110,7 +113,7 @@ def measured(docs: DataFrame, text: str = "text", extra: tuple[str, ...] = ()) -
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.size(F.filter(bare, lambda w: w.isin(*ALL_STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.when(F.col("_listed"), F.size(F.filter(bare, lambda w: w.isin(*ALL_STOP_WORDS)))).cast("long").alias("n_stop_words"),
         F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))).cast("long").alias("n_echoes"),
     )
@@ -153,8 +156,8 @@ def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     n_repeat_words, base_failed, kept, n_lines, n_stop_words, n_letters,
     n_echoes`` (words equal to the word before). Null
     and empty texts have no words and fail; null doc_ids and repeated rows are
-    judged like any other; an empty table gives an empty result; other columns
-    of ``docs`` are ignored.
+    judged like any other; an empty table gives an empty result. Of other columns
+    only ``lang`` counts, if there is one.
     """
     counts = measured(docs, extra=("doc_id",))
     return counts.select(
@@ -165,14 +168,15 @@ def quality(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    counts = measured(docs.select(carried(docs), "text"), extra=(ROW,))
+    known = [c for c in ("text", "lang") if c in docs.columns]
+    counts = measured(docs.select(carried(docs), *known), extra=(ROW,))
     return restored(counts.where(~base_failed() & verdict(rules)), docs.columns)
 
 
 def sql(rules=RULES) -> str:
     """DuckDB SQL for ``quality`` over ``documents``."""
     spaces = r"[\x20\x09-\x0D]"
-    stops = ", ".join(f"'{w}'" for w in ALL_STOP_WORDS)
+    stops, languages = (", ".join(f"'{w}'" for w in words) for words in (ALL_STOP_WORDS, STOP_WORDS))
     ratio = {
         "n_words": "n_words", "repeat_word_ratio": "n_repeat_words / nullif(n_words, 0)", "mean_word_chars": "word_chars / nullif(n_words, 0)",
         "symbol_ratio": "n_symbols / nullif(word_chars, 0)", "stop_word_ratio": "n_stop_words / nullif(n_words, 0)",
@@ -182,9 +186,9 @@ def sql(rules=RULES) -> str:
     tests += [f"coalesce({ratio[n]} <= {high}, true)" for n, _, high in rules if high is not None]
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT id, doc_id, t, list_filter(regexp_split_to_array(t, '{spaces}+'), lambda x: x <> '') AS words,
+  SELECT id, doc_id, lang, t, list_filter(regexp_split_to_array(t, '{spaces}+'), lambda x: x <> '') AS words,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
 ), win AS (
   SELECT id, pos, array_to_string(list_slice(words, pos, pos + {WINDOW - 1}), ' ') AS key
@@ -197,7 +201,7 @@ WITH d AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         len(lines)::BIGINT AS n_lines, len(list_filter(words, lambda x: lower(trim(x, '.,;:!?()"''')) IN ({stops})))::BIGINT AS n_stop_words,
+         len(lines)::BIGINT AS n_lines, CASE WHEN lang IN ({languages}) THEN len(list_filter(words, lambda x: lower(trim(x, '.,;:!?()"''')) IN ({stops}))) END::BIGINT AS n_stop_words,
          length(regexp_replace(t, '\P{{L}}+', '', 'g'))::BIGINT AS n_letters,
          len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))::BIGINT AS n_echoes
   FROM w LEFT JOIN covered USING (id)
