@@ -200,11 +200,11 @@ class _TeiBuilder(HTMLParser):
         dropped = self._dropped() or tag in SILENT or (self.drop and values.get("id") == "catlinks")
         if not dropped and not self.flat:
             if tag == "a" and "href" in values:
-                element, extra = "ref", f" target={quoteattr(values['href'])}"
+                element, extra = "link", f" target={quoteattr(values['href'])}"
             else:
                 element, extra = TEI_TAGS.get(tag, ("", ""))
             if element:
-                if not any(e for _, e, _ in self.stack) and element not in ("ref", "hi", "emph", "del"):
+                if not any(e for _, e, _ in self.stack) and element not in ("link", "hi", "emph", "del"):
                     self._end_bare()
                 elif not any(e for _, e, _ in self.stack) and not self.bare:
                     self.out.append("<p>")

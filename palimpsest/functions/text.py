@@ -79,6 +79,13 @@ def iso_instant(ts: Column, zone: str = "UTC") -> Column:
     return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def zoned_instant(ts: Column) -> Column:
+    """TXT5: ISO-8601 text of an instant in UTC with its zone's name; a fraction only if there is one."""
+    micros = F.unix_micros(ts.cast("timestamp")) % 1_000_000
+    fraction = F.when(micros != 0, F.concat(F.lit("."), F.rtrim(F.format_string("%06d", micros), F.lit("0")))).otherwise(F.lit(""))
+    return F.concat(iso_instant(ts.cast("timestamp")), fraction, F.lit("Z[UTC]"))
+
+
 def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
@@ -123,18 +130,24 @@ def html_to_text(source: pd.Series) -> pd.Series:
 
 
 def common_substring(a: str, b: str) -> str:
-    """The longest run that both have; of equally long ones the first in ``a``."""
-    best, end, row = 0, 0, [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        above = 0
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if x == y else 0
-            if row[j] > best:
-                best, end = row[j], i
-    return a[end - best : end]
+    """The longest run that both have; of equally long ones the first in ``a``.
+
+    Lengths are tried by halving: if a run of some length is common, so are its parts. Runs of one length
+    are compared as a set, so the work grows with the texts and the logarithm of their length.
+    """
+    low, high, end = 0, min(len(a), len(b)), 0
+    while low < high:
+        size = (low + high + 1) // 2
+        known = {b[i : i + size] for i in range(len(b) - size + 1)}
+        at = next((i for i in range(len(a) - size + 1) if a[i : i + size] in known), None)
+        if at is None:
+            high = size - 1
+        else:
+            low, end = size, at + size
+    return a[end - low : end]
 
 
 @F.pandas_udf(T.StringType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
-    """TXT7, for short operands; null if one is null."""
+    """TXT7: null if one is null."""
     return pd.Series([None if x is None or y is None else common_substring(x, y) for x, y in zip(a, b, strict=True)], dtype=object)

@@ -44,7 +44,6 @@ def evaluate_network(catalog: Catalog, db_name: str, at: str, gold_layer: str =
 
 def export_network(catalog: Catalog, db_name: str, at: str, path: str, types=LINK_TYPES) -> None:
     """Write the graph text of the pages and links at an instant."""
-    names = _of(catalog, "namespace", db_name).select("ns_id", F.col("name").alias("namespace")).dropDuplicates(["ns_id"])
     then = _of(catalog, "page_tier", db_name).where(F.col("ts") == F.lit(at).cast("timestamp")).select("page_id", "ts")
-    tiers = then.join(_of(catalog, "page", db_name), "page_id").join(F.broadcast(names), "ns_id", "left").select("page_id", "ts", "namespace", "title")
+    tiers = then.join(_of(catalog, "page", db_name), "page_id").select("page_id", "ts", "ns_id", "title")
     write_lines(tier_graph_text(tiers, _of(catalog, "link", db_name), types), path)

@@ -12,13 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.markup import tei
-from palimpsest.functions.text import graph_escape, iso_instant, xml_escape
+from palimpsest.functions.text import graph_escape, xml_escape, zoned_instant
 from palimpsest.operators.history import latest_revision
 from palimpsest.operators.links import at_layer, of_types
 from palimpsest.operators.numbering import numbered
 from palimpsest.schemas import SENTINEL_LAYER
 
-SEPARATOR = "¤"
+# Head and foot lines of the graph formats.
+GRAPHML_HEAD = (
+    '<?xml version="1.0" encoding="utf-8"?>',
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">',
+    '<key id="d0" for="node" attr.name="title" attr.type="string"/>',
+    '<key id="d1" for="node" attr.name="ns" attr.type="integer"/>',
+    '<key id="d2" for="node" attr.name="articleID" attr.type="integer"/>',
+    '<key id="d3" for="node" attr.name="timestamp" attr.type="string"/>',
+    '<key id="d4" for="edge" attr.name="type" attr.type="string"/>',
+)
+GRAPH_TEXT_HEAD = (
+    "directed",
+    "SimilarityGraph",
+    "Vertex Attributes:[Title¤String];[NSID¤Integer];[Timestamp¤String];",
+    "Edge Attributes:[Type¤String];",
+    "ProbabilityMassOfGraph: 0",
+    "Vertices:",
+)
 
 
 def _lines(df: DataFrame, *lines: str) -> DataFrame:
@@ -35,65 +52,65 @@ def qualified_title(namespace: Column, title: Column) -> Column:
 
 
 def tier_edges(links: DataFrame, nodes: DataFrame, types) -> DataFrame:
-    """``source, target, link_type``: numbers of nodes (``page_id, ts, number``) linked at their common instant.
+    """``source, target, link_type, edge``: numbers of nodes (``page_id, ts, number``) linked at their common instant.
 
-    No types mean no edges here, unlike in link queries.
+    No types mean no edges here, unlike in link queries. ``edge`` counts the links of the nodes by (source, target page,
+    type), those to pages outside included, which are then left out.
     """
     chosen = of_types(links, types) if types else links.limit(0)
     source = nodes.select(F.col("page_id").alias("source_id"), "ts", F.col("number").alias("source"))
     target = nodes.select(F.col("page_id").alias("target_id"), "ts", F.col("number").alias("target"))
-    return chosen.join(source, ["source_id", "ts"]).join(target, ["target_id", "ts"]).select("source", "target", "link_type")
+    found = chosen.join(source, ["source_id", "ts"]).join(target, ["target_id", "ts"], "left").select("source", "target", "target_id", "link_type")
+    return numbered(found, ["source", "target_id", "link_type"], "edge").where("target IS NOT NULL").select("source", "target", "link_type", "edge")
 
 
 def graphml(tiers: DataFrame, links: DataFrame, types=()) -> DataFrame:
-    """SNK1: tiers have ``page_id, ts, namespace, title``."""
+    """SNK1: tiers have ``page_id, ts, ns_id, title``; nodes are numbered by page and instant. A node or an edge is one value of several lines."""
     nodes = numbered(tiers, ["page_id", "ts"])
     node = F.concat(
-        F.lit('<node id="n'), F.col("number"), F.lit('"><data key="title">'), xml_escape(F.col("title")), F.lit('</data><data key="namespace">'), xml_escape(F.col("namespace")),
-        F.lit('</data><data key="articleID">'), F.col("page_id"), F.lit('</data><data key="timestamp">'), iso_instant(F.col("ts")), F.lit("Z</data></node>"),
+        F.lit('<node id="n'), F.col("number"), F.lit('">\n<data key="d0">'), xml_escape(F.col("title")), F.lit('</data>\n<data key="d1">'), F.col("ns_id"),
+        F.lit('</data>\n<data key="d2">'), F.col("page_id"), F.lit('</data>\n<data key="d3">'), xml_escape(zoned_instant(F.col("ts"))), F.lit("</data>\n</node>"),
     )
-    edge = F.concat(F.lit('<edge source="n'), F.col("source"), F.lit('" target="n'), F.col("target"), F.lit('"><data key="type">'), F.col("link_type"), F.lit("</data></edge>"))
-    keys = [f'<key id="{k}" for="{"edge" if k == "type" else "node"}" attr.name="{k}" attr.type="{"long" if k == "articleID" else "string"}"/>' for k in ("title", "namespace", "articleID", "timestamp", "type")]
-    head = _lines(tiers, '<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph id="G" edgedefault="directed">')
-    return _joined(head, nodes.select(node.alias("value")), tier_edges(links, nodes, types).select(edge.alias("value")), _lines(tiers, "</graph>", "</graphml>"))
+    edge = F.concat(
+        F.lit('<edge id="e'), F.col("edge"), F.lit('" source="n'), F.col("source"), F.lit('" target="n'), F.col("target"), F.lit('">\n<data key="d4">'), xml_escape(F.col("link_type")), F.lit("</data>\n</edge>")
+    )
+    return _joined(_lines(tiers, *GRAPHML_HEAD), nodes.select(node.alias("value")), tier_edges(links, nodes, types).select(edge.alias("value")), _lines(tiers, "</graphml>"))
 
 
 def _graph_text(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Vertices: ``vertex`` and the attributes' columns; edges: ``a, b, link_type``."""
-    attributes = [c for c in vertices.columns if c != "vertex"]
-    shown = [F.format_string(f"[{c}{SEPARATOR}%s]", graph_escape(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in attributes]
-    head = _lines(
-        vertices, "Undirected: false", "Weighted: true", f"VertexAttributes: {', '.join(attributes)}", "EdgeAttributes: type", f"Separator: {SEPARATOR}", "Format: 1", "Vertices:"
-    )
-    vertex = F.concat_ws(SEPARATOR, F.col("vertex"), *shown, F.lit(""))
-    edge = F.concat_ws(SEPARATOR, F.col("a"), F.col("b"), F.lit("1.0"), F.format_string(f"[type{SEPARATOR}%s]", F.col("link_type")), F.lit(""))
-    return _joined(head, vertices.select(vertex.alias("value")), _lines(vertices, "Edges:"), edges.select(edge.alias("value")))
+    """Vertices: ``vertex, title, ns_id, ts``; edges: ``a, b, link_type``."""
+    shown = lambda name, value: F.concat(F.lit(f"[{name}¤"), value, F.lit("¤]¤"))
+    title = graph_escape(F.coalesce("title", F.lit("")))
+    vertex = F.concat(F.col("vertex"), F.lit("¤"), shown("Title", title), shown("NSID", F.col("ns_id").cast("string")), shown("Timestamp", graph_escape(zoned_instant(F.col("ts")))))
+    edge = F.concat(F.col("a"), F.lit("¤"), F.col("b"), F.lit("¤1.0¤"), shown("Type", graph_escape(F.col("link_type"))))
+    return _joined(_lines(vertices, *GRAPH_TEXT_HEAD), vertices.select(vertex.alias("value")), _lines(vertices, "Edges:"), edges.select(edge.alias("value")))
+
+
+def _node(number: str):
+    return F.concat(F.lit("n"), F.col(number))
 
 
 def tier_graph_text(tiers: DataFrame, links: DataFrame, types=()) -> DataFrame:
-    """SNK2: tiers have ``page_id, ts, namespace, title``; a vertex is its page's id."""
-    nodes = tiers.select("page_id", "ts", F.col("page_id").alias("number"))
-    vertices = tiers.select(F.col("page_id").cast("string").alias("vertex"), "title", "namespace", iso_instant(F.col("ts")).alias("timestamp"))
-    return _graph_text(vertices, tier_edges(links, nodes, types).select(F.col("source").alias("a"), F.col("target").alias("b"), "link_type"))
+    """SNK2: tiers have ``page_id, ts, ns_id, title``; vertices are numbered by page and instant."""
+    nodes = numbered(tiers, ["page_id", "ts"])
+    edges = tier_edges(links, nodes, types).select(_node("source").alias("a"), _node("target").alias("b"), "link_type")
+    return _graph_text(nodes.select(_node("number").alias("vertex"), "title", "ns_id", "ts"), edges)
 
 
 def page_graph_text(pages: DataFrame, links: DataFrame, types=(), layer=SENTINEL_LAYER) -> DataFrame:
-    """SNK3: pages (``page_id, namespace, title``) and their links in the layer of the present."""
-    ids = pages.select("page_id").distinct()
-    chosen = at_layer(links, layer, types) if types else links.limit(0)
-    inside = chosen.join(ids.toDF("source_id"), "source_id", "left_semi").join(ids.toDF("target_id"), "target_id", "left_semi")
-    vertices = pages.select(F.col("page_id").cast("string").alias("vertex"), "title", "namespace", F.lit("SQL").alias("timestamp"))
-    return _graph_text(vertices, inside.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "link_type"))
+    """SNK3: pages (``page_id, ns_id, title``) and their links in the layer of the present, as tiers of that instant."""
+    ts = F.lit(layer).cast(links.schema["ts"].dataType).alias("ts")
+    return tier_graph_text(pages.select("page_id", ts, "ns_id", "title"), at_layer(links, layer), types)
 
 
 def current_graph_text(pages: DataFrame, revisions: DataFrame, links: DataFrame, namespaces=()) -> DataFrame:
-    """SNK4: pages with their latest revision, links of all types; pages also have ``ns_id``, no namespaces mean all."""
+    """SNK4: pages (``page_id, ns_id, title``) with their latest revision, present links of all types; no namespaces mean all."""
     chosen = pages.where(F.col("ns_id").isin(*namespaces)) if namespaces else pages
     last = latest_revision(revisions.select("page_id", "revision_id", "ts"))
     named = chosen.join(last, "page_id").withColumn("vertex", F.concat_ws("_", "page_id", "revision_id"))
     a, b = (named.select(F.col("page_id").alias(f"{end}_id"), F.col("vertex").alias(c)) for end, c in (("source", "a"), ("target", "b")))
     edges = at_layer(links).join(a, "source_id").join(b, "target_id").select("a", "b", "link_type")
-    return _graph_text(named.select("vertex", "title", "namespace", iso_instant(F.col("ts")).alias("timestamp")), edges)
+    return _graph_text(named.select("vertex", "title", "ns_id", "ts"), edges)
 
 
 def tei_documents(rows: DataFrame, ids: list[str], flat: bool = False) -> DataFrame:
@@ -104,7 +121,7 @@ def tei_documents(rows: DataFrame, ids: list[str], flat: bool = False) -> DataFr
 
 def tei_corpus(rows: DataFrame, ids: list[str], flat: bool = False) -> DataFrame:
     """SNK5."""
-    return _joined(_lines(rows, '<?xml version="1.0" encoding="UTF-8"?>', '<teiCorpus xmlns="http://www.tei-c.org/ns/1.0">'), tei_documents(rows, ids, flat), _lines(rows, "</teiCorpus>"))
+    return _joined(_lines(rows, '<?xml version="1.0" encoding="utf-8"?>', "<teiCorpus>"), tei_documents(rows, ids, flat), _lines(rows, "</teiCorpus>"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
