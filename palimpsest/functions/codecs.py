@@ -2,8 +2,8 @@
 
 Plain codecs are Arrow UDFs on whole columns. A delta chain stores the first of
 every 50 revisions of a page, and its last, in full, and the others as edits of the
-revision before; chains are cut at the full ones, so that a page with a huge history is
-decoded in pieces by many tasks.
+revision before; chains are cut at the full ones. Sequences are made from keys without texts, and
+texts meet by revision or by chain, so that a page with a huge history is coded in pieces by many tasks.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ import bz2
 import gzip
 import json
 import lzma
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.operators.history import ORDER, PAGE_KEY, chronology
+from palimpsest.operators.history import ORDER, PAGE_KEY, chronology, crowded, sequenced
+from palimpsest.operators.numbering import numbered
 from palimpsest.schemas import KEY_FRAME_INTERVAL
 
 LZMA_PRESET = 6
@@ -71,43 +75,134 @@ def uncompress(data: Column, codec: Column) -> Column:
 
 
 def edits(old: str, new: str) -> bytes:
-    """What turns ``old`` into ``new``: ranges of ``old`` to copy, and strings to insert."""
-    fine = max(len(old), len(new)) <= FINE_LENGTH
-    a, b = (list(old), list(new)) if fine else (old.splitlines(True), new.splitlines(True))
-    at = [0]
-    for part in a:
-        at.append(at[-1] + len(part))
-    steps: list = []
-    for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            steps.append([at[i], at[j]])
-        elif k < m:
-            steps.append("".join(b[k:m]))
+    """What turns ``old`` into ``new``: ranges of ``old`` to copy, and strings to insert.
+
+    What both begin and end with is copied; between, short texts are compared by character, others by those lines that
+    occur once in each, so that many equal lines cost no time.
+    """
+    head = _common(old, new)
+    tail = _common(old[head:][::-1], new[head:][::-1])
+    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
+    steps: list = [[0, head]] if head else []
+    matched = _characters(a, b) if max(len(a), len(b)) <= FINE_LENGTH else _lines(a, b)
+    at = 0
+    for start, place, length in [*matched, (len(a), len(b), 0)]:
+        if at < place:
+            steps.append(b[at:place])
+        if length:
+            steps.append([head + start, head + start + length])
+        at = place + length
+    if tail:
+        steps.append([len(old) - tail, len(old)])
     return bz2.compress(json.dumps(steps, ensure_ascii=False).encode())
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+def _characters(a: str, b: str) -> list[tuple[int, int, int]]:
+    return [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+
+
+def _lines(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Common stretches (place in ``a``, place in ``b``, length) around lines that each has once, in the order of both."""
+    left, right = a.splitlines(True), b.splitlines(True)
+    once_left, once_right = Counter(left), Counter(right)
+    where = {line: i for i, line in enumerate(left) if once_left[line] == 1}
+    pairs = [(where[line], j) for j, line in enumerate(right) if once_right[line] == 1 and line in where]
+    starts_left, starts_right = [0, *accumulate(map(len, left))], [0, *accumulate(map(len, right))]
+    found, end_left, end_right = [], 0, 0
+    for i, j in _rising(pairs):
+        if i < end_left or j < end_right:
+            continue
+        low = 0
+        while i - low > end_left and j - low > end_right and left[i - low - 1] == right[j - low - 1]:
+            low += 1
+        up = 1
+        while i + up < len(left) and j + up < len(right) and left[i + up] == right[j + up]:
+            up += 1
+        start, place = starts_left[i - low], starts_right[j - low]
+        found.append((start, place, starts_left[i + up] - start))
+        end_left, end_right = i + up, j + up
+    return found
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest sub-sequence of pairs whose first numbers rise."""
+    tops, ends, before = [], [], []
+    for k, (i, _) in enumerate(pairs):
+        at = bisect_left(tops, i)
+        before.append(ends[at - 1] if at else -1)
+        if at == len(tops):
+            tops.append(i), ends.append(k)
+        else:
+            tops[at], ends[at] = i, k
+    found, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        found.append(pairs[k])
+        k = before[k]
+    return found[::-1]
+
+
 def edited(old: str, delta: bytes) -> str:
     return "".join(x if isinstance(x, str) else old[x[0] : x[1]] for x in json.loads(bz2.decompress(delta)))
 
 
-def compress_history(revisions: DataFrame, text: str = "text", key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL) -> DataFrame:
-    """CMP5/CMP7: the revisions with ``codec``, ``data`` and ``base_id`` (what a delta is against) in place of the text.
+def sequence_columns(rows: DataFrame, key, is_start: Column) -> DataFrame:
+    """``key, revision_id, rn, cnt, previous_id, previous_start, chain`` of rows without texts.
 
-    Needs one sort of each page's revisions; the text before comes along as a column, so a delta
-    is made row by row. Revisions without text have neither codec nor data, and the one
-    behind them is stored in full.
+    ``chain`` tells the revisions of a page apart by the last ``is_start`` up to each; those before the first have 0.
     """
+    narrow = rows.select(*key, *ORDER, is_start.alias("start"))
+    if crowded(narrow, key):
+        placed = sequenced(narrow, key, ("start",))
+        starts = numbered(placed.where("start").select(*key, "rn", "cnt"), [*key, "rn"], "_k")
+        after = starts.select(*key, (F.col("_k") - 1).alias("_k"), F.col("rn").alias("_to"))
+        spans = starts.join(after, [*key, "_k"], "left").select(*key, F.col("rn").alias("chain"), F.explode(F.sequence("rn", F.coalesce("_to", F.col("cnt") + 1) - 1)).alias("rn"))
+        return placed.join(spans, [*key, "rn"], "left").select(
+            *key, "revision_id", "rn", "cnt", F.col("previous.revision_id").alias("previous_id"), F.col("previous.start").alias("previous_start"), F.coalesce("chain", F.lit(0)).alias("chain")
+        )
     order = chronology(key)
-    rows = revisions.withColumn("_rn", F.row_number().over(order)).withColumn("_last", F.lead(F.lit(1)).over(order).isNull()).withColumn("_old", F.lag(text).over(order))
-    full = ((F.col("_rn") - 1) % interval == 0) | F.col("_last") | F.col("_old").isNull()
+    return narrow.select(
+        *key, "revision_id", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(W.partitionBy(*key)).alias("cnt"), F.lag("revision_id").over(order).alias("previous_id"),
+        F.lag("start").over(order).alias("previous_start"), F.sum(F.col("start").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("chain"),
+    )
+
+
+def compress_history(revisions: DataFrame, text: str = "text", key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL, last_full: bool = True) -> DataFrame:
+    """CMP5: the revisions with ``codec``, ``data`` and ``base_id`` (what a delta is against) in place of the text.
+
+    Only keys are put in sequence; the text that a delta is against joins by its revision. Revisions without text have
+    neither codec nor data, and the one behind them is stored in full.
+    """
+    places = sequence_columns(revisions, key, F.col(text).isNull()).withColumnRenamed("previous_start", "_no_base")
+    full = ((F.col("rn") - 1) % interval == 0) | (F.lit(last_full) & (F.col("rn") == F.col("cnt"))) | F.coalesce("_no_base", F.lit(True))
+    frames = places.select(*key, "revision_id", full.alias("_full"), F.when(~full, F.col("previous_id")).alias("base_id"))
+    rows = revisions.join(frames, [*key, "revision_id"])
+    bases = revisions.select(*key, F.col("revision_id").alias("base_id"), F.col(text).alias("_old"))
+    paired = rows.where("base_id IS NOT NULL").join(bases, [*key, "base_id"]).unionByName(rows.where("base_id IS NULL").withColumn("_old", F.lit(None).cast("string")))
 
     @F.pandas_udf(T.BinaryType())
     def stored(full: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([None if n is None else packed(n, "BZIP2") if f else edits(o, n) for f, o, n in zip(full, old, new, strict=True)], dtype=object)
 
-    codec = F.when(F.col(text).isNull(), F.lit(None)).when(full, "BZIP2").otherwise(DELTA)
-    base = F.when(codec == DELTA, F.lag("revision_id").over(order))
-    return rows.select(*[c for c in revisions.columns if c != text], codec.alias("codec"), stored(full, F.col("_old"), F.col(text)).alias("data"), base.alias("base_id"))
+    codec = F.when(F.col(text).isNull(), F.lit(None)).when(F.col("_full"), "BZIP2").otherwise(DELTA)
+    kept = [c for c in revisions.columns if c != text]
+    return paired.select(*kept, codec.alias("codec"), stored("_full", "_old", text).alias("data"), F.when(codec == DELTA, F.col("base_id")).alias("base_id"))
+
+
+def compress_rendered(revisions: DataFrame, key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL) -> DataFrame:
+    """CMP7: revisions with rendered ``html``, stored as chains of their own: full is the first of every ``interval``, but not the last.
+
+    Where rendering failed, ``html`` is null; ``html_error`` says so and nothing is stored.
+    """
+    return compress_history(revisions.withColumn("html_error", F.col("html").isNull()), "html", key, interval, last_full=False)
 
 
 def decode_history(stored: DataFrame, text: str = "text", key=PAGE_KEY) -> DataFrame:
@@ -115,9 +210,8 @@ def decode_history(stored: DataFrame, text: str = "text", key=PAGE_KEY) -> DataF
 
     A chain starts at each revision that is not a delta; chains are decoded one by one.
     """
-    order = chronology(key)
-    starts = F.sum(F.when(F.col("codec") == DELTA, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = stored.withColumn("_chain", starts)
+    chains = sequence_columns(stored, key, F.coalesce(F.col("codec") != DELTA, F.lit(True))).select(*key, "revision_id", F.col("chain").alias("_chain"))
+    rows = stored.join(chains, [*key, "revision_id"])
     names = [c for c in stored.columns if c not in ("codec", "data", "base_id")]
     schema = T.StructType([*[stored.schema[c] for c in names], T.StructField(text, T.StringType()), T.StructField("text_error", T.BooleanType())])
 

@@ -9,7 +9,8 @@ from palimpsest.operators.links import at_layer
 from palimpsest.schemas import CATEGORIZATION, SENTINEL_LAYER
 from palimpsest.storage import materialise
 
-MAX_DEPTH = 1000
+#: Levels end by themselves; this only stops a run that could not end.
+MAX_DEPTH = 10_000
 
 
 def category_members(links: DataFrame, seeds: DataFrame, layer=SENTINEL_LAYER) -> DataFrame:
@@ -31,9 +32,9 @@ def category_closure(links: DataFrame, seeds: DataFrame, layer=SENTINEL_LAYER, m
         members = edges.join(level.select("page_id"), "page_id", "left_semi").select(F.col("member").alias("page_id")).distinct()
         level = materialise(members.join(met, "page_id", "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if level.isEmpty():
-            break
+            return met.where("depth > 0")
         met = met.unionByName(level)
-    return met.where("depth > 0")
+    raise RuntimeError(f"categories go on below {max_depth} levels")
 
 
 def induced(links: DataFrame, nodes: DataFrame) -> DataFrame:

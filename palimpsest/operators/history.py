@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.numbering import numbered
 from palimpsest.schemas import KEY_FRAME_INTERVAL, SENTINEL_LAYER
 
 ORDER = ("ts", "revision_id")
 PAGE_KEY = ("page_id",)
+#: Revisions of one page up to which its sequence is made by a window, in one task; beyond, rows are numbered by ranges.
+WINDOW_ROWS = 200_000
 
 
 def instant(revisions: DataFrame, at: str | datetime | Column) -> Column:
@@ -49,48 +52,88 @@ def latest_revision(revisions: DataFrame, key=PAGE_KEY) -> DataFrame:
     return _picked(revisions, F.max_by, key)
 
 
+def crowded(revisions: DataFrame, key=PAGE_KEY, limit: int | None = None) -> bool:
+    """Whether a page has more revisions than one task should sort; one count, combined on the map side."""
+    most = revisions.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return most > (WINDOW_ROWS if limit is None else limit)
+
+
+def sequenced(revisions: DataFrame, key=PAGE_KEY, carry=()) -> DataFrame:
+    """``key, ts, revision_id`` and the columns ``carry`` of every revision, with ``rn``, ``cnt`` and ``previous`` and ``following``: those columns of its neighbours.
+
+    No page is sorted in one task: rows are numbered by ranges of (key, ts, revision_id), a page's first number and its
+    count are aggregates, and neighbours are an equi-join on the number.
+    """
+    names = [*ORDER, *carry]
+    rows = numbered(revisions.select(*key, *names), [*key, *ORDER], "_number")
+    bounds = rows.groupBy(*key).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("cnt"))
+    placed = rows.join(bounds, list(key)).withColumn("rn", F.col("_number") - F.col("_first") + 1)
+    beside = placed.select(F.col("_number").alias("_n"), "rn", "cnt", F.struct(*names).alias("_beside"))
+    before = beside.where("rn < cnt").select((F.col("_n") + 1).alias("_number"), F.col("_beside").alias("previous"))
+    after = beside.where("rn > 1").select((F.col("_n") - 1).alias("_number"), F.col("_beside").alias("following"))
+    return placed.join(before, "_number", "left").join(after, "_number", "left").drop("_number", "_first")
+
+
+def _with_sequence(revisions: DataFrame, key, **columns: Column) -> DataFrame:
+    """``revisions`` with columns of ``sequenced``, joined back by key and revision."""
+    found = sequenced(revisions, key).select(*key, "revision_id", *[value.alias(name) for name, value in columns.items()])
+    joined = revisions.drop(*columns).join(found, [*key, "revision_id"])
+    return joined.select(*[c for c in revisions.columns if c not in columns], *columns)
+
+
 def positions(revisions: DataFrame, key=PAGE_KEY) -> DataFrame:
     """TT4: ``rn`` (from 1) and ``cnt`` of every revision within its page."""
-    return revisions.withColumn("rn", F.row_number().over(chronology(key))).withColumn("cnt", F.count(F.lit(1)).over(W.partitionBy(*key)))
+    if crowded(revisions, key):
+        return _with_sequence(revisions, key, rn=F.col("rn"), cnt=F.col("cnt"))
+    return revisions.withColumn("rn", F.row_number().over(chronology(key)).cast("long")).withColumn("cnt", F.count(F.lit(1)).over(W.partitionBy(*key)))
 
 
 def sequence_from(revisions: DataFrame, starts: DataFrame, key=PAGE_KEY) -> DataFrame:
-    """TT6: the revisions of each page from the one that ``starts`` names (key and ``revision_id``) onwards, with ``rn``."""
-    begin = starts.select(*key, F.col("revision_id").alias("_start"))
-    joined = revisions.join(begin, list(key))
-    own = W.partitionBy(*key, "_start")
-    start = F.max(F.when(F.col("revision_id") == F.col("_start"), F.struct(*ORDER))).over(own)
-    kept = joined.withColumn("_from", start).where(F.struct(*ORDER) >= F.col("_from"))
-    return kept.withColumn("rn", F.row_number().over(own.orderBy(*ORDER))).drop("_from", "_start")
+    """TT6: the revisions of each page from the one that ``starts`` names (key and ``revision_id``) onwards, with ``rn``.
+
+    A page may have several starts, and then comes with each. Starts that are no revisions of their page give nothing.
+    """
+    placed = positions(revisions, key)
+    own = placed.select(*key, "revision_id", F.col("rn").alias("_from")).join(starts.select(*key, "revision_id").distinct(), [*key, "revision_id"], "left_semi").drop("revision_id")
+    kept = placed.drop("cnt").join(own, list(key)).where(F.col("rn") >= F.col("_from"))
+    return kept.withColumn("rn", F.col("rn") - F.col("_from") + 1).drop("_from").select(*revisions.columns, "rn")
 
 
 def neighbours(revisions: DataFrame, key=PAGE_KEY) -> DataFrame:
     """TT7: ``previous_id`` and ``next_id`` of every revision."""
+    if crowded(revisions, key):
+        return _with_sequence(revisions, key, previous_id=F.col("previous.revision_id"), next_id=F.col("following.revision_id"))
     return revisions.withColumn("previous_id", F.lag("revision_id").over(chronology(key))).withColumn("next_id", F.lead("revision_id").over(chronology(key)))
 
 
 def intervals(revisions: DataFrame, key=PAGE_KEY) -> DataFrame:
     """TT8: each revision is valid in [``valid_from``, ``valid_to``); the last one until the sentinel."""
-    until = F.coalesce(F.lead("ts").over(chronology(key)), instant(revisions, SENTINEL_LAYER))
+    end = instant(revisions, SENTINEL_LAYER)
+    if crowded(revisions, key):
+        return _with_sequence(revisions, key, valid_from=F.col("ts"), valid_to=F.coalesce("following.ts", end))
+    until = F.coalesce(F.lead("ts").over(chronology(key)), end)
     return revisions.withColumn("valid_from", F.col("ts")).withColumn("valid_to", until)
 
 
 def snapshots(revisions: DataFrame, instants: DataFrame, key=PAGE_KEY) -> DataFrame:
     """TT12 for many instants (column ``at``): every page's revision at each, one scan and one shuffle of the revisions.
 
-    The instants, which must be few, are sent to all tasks; each revision is matched
-    only with the instants inside its validity.
+    The instants, sorted, are an array in every task (more than ``MAX_INSTANTS`` are an error). A revision counts for the first
+    instant that isn't before it: of each page and such instant only the last revision is shuffled, combined on the
+    map side, and then carried on to the instants behind, of which a page has as many as were asked for.
     """
-    rows = intervals(revisions, key).where(F.col("valid_from") < F.col("valid_to"))
-    at = instants.select(F.col("at").cast(revisions.schema["ts"].dataType).alias("at")).distinct()
-    times = [r["at"] for r in at.limit(MAX_INSTANTS + 1).collect()]
+    kind = revisions.schema["ts"].dataType
+    times = sorted(r["at"] for r in instants.select(F.col("at").cast(kind).alias("at")).distinct().limit(MAX_INSTANTS + 1).collect() if r["at"] is not None)
     if len(times) > MAX_INSTANTS:
-        matched = rows.join(at, (F.col("valid_from") <= F.col("at")) & (F.col("at") < F.col("valid_to")))
-    else:
-        array = F.array(*[F.lit(t).cast(revisions.schema["ts"].dataType) for t in times]) if times else F.array().cast("array<timestamp>")
-        inside = F.filter(array, lambda t: (F.col("valid_from") <= t) & (t < F.col("valid_to")))
-        matched = rows.withColumn("at", F.explode(inside))
-    return matched.drop("valid_from", "valid_to")
+        raise ValueError(f"more than {MAX_INSTANTS} instants at once")
+    array = F.array(*[F.lit(t).cast(kind) for t in times]) if times else F.array().cast(f"array<{kind.simpleString()}>")
+    slot = F.size(F.filter(array, lambda t: t < F.col("ts")))
+    rest = [c for c in revisions.columns if c not in key]
+    rows = revisions.withColumn("_slot", slot).where(F.col("_slot") < len(times))
+    last = rows.groupBy(*key, "_slot").agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("_r"))
+    until = F.coalesce(F.lead("_slot").over(W.partitionBy(*key).orderBy("_slot")), F.lit(len(times)))
+    held = last.withColumn("_until", until).select(*key, "_r", F.explode(F.sequence(F.col("_slot"), F.col("_until") - 1)).alias("_slot"))
+    return held.select(*key, "_r.*", F.element_at(array, F.col("_slot") + 1).alias("at")).select(*revisions.columns, "at")
 
 
 MAX_INSTANTS = 1000

@@ -1,4 +1,4 @@
-"""Look-ups by key and name (FLT1-12 of the survey): filters and equi-joins that reach the scan.
+"""Look-ups by key and name (FLT1-14, JN13, AG2, AG9, SET4 of the survey): filters and equi-joins that reach the scan.
 
 Each returns a DataFrame of the rows found, none if there are none.
 """
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normal_title
 from palimpsest.operators.links import split_namespace
+from palimpsest.schemas import KEYS
 
 
 def wiki_by_name(wikis: DataFrame, db_name: str) -> DataFrame:
@@ -70,6 +71,43 @@ def in_namespaces(pages: DataFrame, ids=(), empty_means_all: bool = True) -> Dat
     return pages.where(F.col("ns_id").isin(*ids))
 
 
+def contributors(rows: DataFrame, ids=()) -> DataFrame:
+    """FLT8/FLT11: contributors by id; no ids scan all."""
+    return rows.where(F.col("contributor_id").isin(*ids)) if ids else rows
+
+
+def by_unique_id(tables: dict[str, DataFrame], unique_id: str) -> DataFrame:
+    """FLT12: the row that a unique id names: the table, then the row's key columns, all divided by colons."""
+    name, *values = unique_id.split(":")
+    if name not in tables:
+        raise ValueError(f"no such table: {name}")
+    key = [c for c in KEYS[name] or ["db_name", "page_id", "entity_id", "aspect"] if c in tables[name].columns]
+    if len(values) < len(key):
+        raise ValueError(f"{name} needs {', '.join(key)}")
+    # The last value may hold colons itself, as names and instants do.
+    values = values[: len(key) - 1] + [":".join(values[len(key) - 1 :])]
+    rows = tables[name]
+    for column, value in zip(key, values, strict=True):
+        rows = rows.where(F.col(column) == F.lit(value).cast(rows.schema[column].dataType))
+    return rows
+
+
+def unknown(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """JN13: rows whose key isn't among the known ones."""
+    return rows.join(known.select(*key).distinct(), key, "left_anti")
+
+
+def pages_by_namespace(pages: DataFrame) -> DataFrame:
+    """AG2: ``ns_id, n_pages``."""
+    return pages.groupBy("ns_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def token_union(counted: DataFrame, key: list[str]) -> DataFrame:
+    """SET4: ``key, tokens``: the sorted set of tokens that the term maps of a group have."""
+    tokens = counted.select(*key, F.explode(F.map_keys("terms")).alias("_t")).distinct()
+    return tokens.groupBy(*key).agg(F.array_sort(F.collect_set("_t")).alias("tokens"))
+
+
 def term_counts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """AG9: ``key, terms``: how often each white-space-delimited token occurs, as a map."""
     tokens = rows.select(*key, F.explode(F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")).alias("_t"))

@@ -67,6 +67,8 @@ def read_dump(spark: SparkSession, path: str, accept: Column | None = None, alia
     ).dropDuplicates(["db_name"])
     namespace = _namespaces(spark, site, aliases or {})
 
+    if wiki.limit(2).count() > 1:
+        raise ValueError("the files are dumps of more than one wiki; read each wiki's on its own")
     db = F.broadcast(wiki.select("db_name"))  # one row
     own = namespace.select("db_name", "ns_id", F.col("case").alias("_case")).dropDuplicates(["db_name", "ns_id"])
     titled = pages.select(F.col("id").alias("page_id"), F.col("ns").alias("ns_id"), without_prefix(F.col("title"), F.col("ns")).alias("title"))
@@ -85,12 +87,21 @@ def read_dump(spark: SparkSession, path: str, accept: Column | None = None, alia
         decoded(MODELS, F.col("r.model"), "WIKITEXT", "UNKNOWN").alias("model"), decoded(FORMATS, F.col("r.format"), "TEXT_XWIKI", None).alias("format"),
         F.coalesce(F.nullif(F.col("r.text._bytes"), F.lit(0)), F.octet_length(F.coalesce("r.text._VALUE", F.lit("")))).alias("bytes"), F.coalesce("r.text._VALUE", F.lit("")).alias("text"),
     )
-    revision = revision.dropDuplicates(["revision_id"]).join(db, F.lit(True)).select("db_name", *revision.columns)
+    revision = _first_of_each(rows, revision).join(db, F.lit(True)).select("db_name", *revision.columns)
     named = rows.where(author["id"].isNotNull()).select(author["id"].alias("contributor_id"), author["username"].alias("name"), F.struct("r.timestamp", "r.id").alias("at"))
     contributor = named.groupBy("contributor_id").agg(F.min_by("name", "at").alias("name")).join(db, F.lit(True)).select("db_name", "contributor_id", "name")
     return {"wiki": wiki, "namespace": namespace, "page": page, "revision": revision, "contributor": contributor}
 
 
+def _first_of_each(rows: DataFrame, revision: DataFrame) -> DataFrame:
+    """Each revision once. Only ids are counted; of repeated ones the content with the smallest hash stays, whatever the order of the files."""
+    again = rows.groupBy(F.col("r.id").alias("revision_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("revision_id")
+    repeated = revision.join(again, "revision_id", "left_semi")
+    rest = [c for c in revision.columns if c != "revision_id"]
+    first = repeated.groupBy("revision_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select("revision_id", "_r.*").select(revision.columns)
+    return revision.join(again, "revision_id", "left_anti").unionByName(first)
+
+
 def _namespaces(spark: SparkSession, site: DataFrame, aliases: dict[int, list[str]]) -> DataFrame:
     """SRC4-5: the dump's namespaces; of those with one name, the smallest id stays."""
     found = site.select(F.col("dbname").alias("db_name"), F.inline("namespaces.namespace"))

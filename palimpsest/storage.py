@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the intermediate tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -30,9 +37,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     on how rows were partitioned stay the same when executors are lost later.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.functions.codecs import compress
 from palimpsest.schemas import TABLES
 from palimpsest.sources.catalog import Catalog
 
 Listener = Callable[[str, DataFrame], None]
+CompressionListener = Callable[[int, DataFrame], None]
 
 
 def import_files(catalog: Catalog, name: str, folder: str, checkpoint: str, listener: Listener | None = None, once: bool = False) -> StreamingQuery:
@@ -44,3 +47,23 @@ def import_dumps(catalog: Catalog, folder: str, checkpoint: str, once: bool = Fa
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def compress_files(catalog: Catalog, folder: str, target: str, checkpoint: str, codec: str, listener: CompressionListener | None = None, once: bool = False) -> StreamingQuery:
+    """ST2: compress the texts of revision files as they arrive, into Parquet below ``target``, one folder a batch.
+
+    When a batch is stored, the listener gets its number and the completed rows: ``db_name, page_id, revision_id, codec,
+    raw_bytes, stored_bytes``. A batch that runs again after a failure replaces what it had written.
+    """
+    rows = catalog.spark.readStream.schema(TABLES["revision"]).json(folder)
+
+    def store(batch: DataFrame, number: int) -> None:
+        path = f"{target.rstrip('/')}/batch={number}"
+        packed = batch.select("db_name", "page_id", "revision_id", F.lit(codec).alias("codec"), F.octet_length("text").cast("long").alias("raw_bytes"), compress(F.col("text"), codec).alias("data"))
+        packed.write.mode("overwrite").parquet(path)
+        if listener is not None:
+            done = catalog.spark.read.schema(packed.schema).parquet(path)
+            listener(number, done.select(*[c for c in done.columns if c != "data"], F.octet_length("data").cast("long").alias("stored_bytes")))
+
+    writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
