@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codecs, markup
 from palimpsest.functions import text as X
-from palimpsest.operators import evaluation, graph, history, links, numbering
+from palimpsest.operators import evaluation, graph, history, links, lookups, numbering
 from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, CATEGORY_LINKS_SQL, article_links, category_links, revisions, table, turns
+from palimpsest.plans.registry import query
 from palimpsest.sources import exports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 AT = "2024-01-15 00:00:00"
 MANY = ("2024-01-05 00:00:00", "2024-01-15 00:00:00", "2024-01-25 12:00:00")
 LAYER = "1996-03-01 00:00:00"
 EVENTS = "SELECT user_id AS page_id, event_id AS revision_id, ts FROM events"
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query, and its SQL where SQL can express it."""
-
-    def register(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return function
-
-    return register
-
-
 # Time travel
 
 
@@ -108,7 +91,7 @@ def ag1(spark, d):
 
 @query("ag2_pages_by_namespace", "SELECT n_regionkey AS ns_id, count(*) AS n_pages FROM nation GROUP BY 1")
 def ag2(spark, d):
-    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("ns_id")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return lookups.pages_by_namespace(table(spark, d, "nation").select(F.col("n_regionkey").alias("ns_id")))
 
 
 @query("jn5_parent", "SELECT c.conv_id, c.turn, p.role AS parent_role FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
@@ -126,7 +109,7 @@ def jn10(spark, d):
 @query("jn13_skip_existing", "SELECT o_orderkey AS page_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate < TIMESTAMP '1996-06-01')")
 def jn13(spark, d):
     known = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1996-06-01").cast("timestamp_ntz")).select(F.col("l_orderkey").alias("page_id"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).join(known, "page_id", "left_anti")
+    return lookups.unknown(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")), known, ["page_id"])
 
 
 # Projections and look-ups
@@ -165,7 +148,8 @@ def flt6(spark, d):
 
 @query("flt10_namespace_scan", "SELECT n_nationkey AS page_id, n_name AS title FROM nation WHERE n_regionkey IN (1, 3)")
 def flt10(spark, d):
-    return table(spark, d, "nation").where(F.col("n_regionkey").isin(1, 3)).select(F.col("n_nationkey").alias("page_id"), F.col("n_name").alias("title"))
+    pages = table(spark, d, "nation").select(F.col("n_nationkey").alias("page_id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("ns_id"))
+    return lookups.in_namespaces(pages, (1, 3)).select("page_id", "title")
 
 
 # Links
@@ -295,24 +279,45 @@ def snk7(spark, d):
     return table(spark, d, "documents").select("doc_id", X.graph_escape(F.col("text")).alias("escaped"))
 
 
+TERMS_SQL = r"""SELECT conv_id, turn, term, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) AS term FROM conversations) WHERE term <> '' GROUP BY ALL"""
+
+
 @query(
     "txt9_cosine",
-    """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations WHERE turn < 2), c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY ALL)
-    SELECT a.conv_id, round(sum(a.n * coalesce(b.n, 0)) / (sqrt(sum(a.n * a.n)) * sqrt(any_value(s.q))), 6) AS cosine
-    FROM (SELECT * FROM c WHERE turn = 0) a LEFT JOIN (SELECT * FROM c WHERE turn = 1) b USING (conv_id, word) JOIN (SELECT conv_id, sum(n * n) AS q FROM c WHERE turn = 1 GROUP BY 1) s USING (conv_id) GROUP BY 1""",
+    f"""WITH c AS ({TERMS_SQL}), q AS (SELECT conv_id, turn, sum(n * n) AS q FROM c GROUP BY ALL)
+    SELECT t.conv_id, t.turn, round(coalesce(any_value(dot) / (sqrt(any_value(x.q)) * sqrt(any_value(y.q))), 0), 6) AS cosine
+    FROM (SELECT DISTINCT b.conv_id, b.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) t
+    LEFT JOIN (SELECT b.conv_id, b.turn, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.term = b.term GROUP BY ALL) d USING (conv_id, turn)
+    LEFT JOIN q y ON y.conv_id = t.conv_id AND y.turn = t.turn LEFT JOIN q x ON x.conv_id = t.conv_id AND x.turn = t.turn - 1 GROUP BY ALL""",
 )
 def txt9(spark, d):
-    talk = table(spark, d, "conversations").where("turn < 2")
-    words = talk.select("conv_id", "turn", F.explode(F.split("text", " ", -1)).alias("word")).groupBy("conv_id", "turn", "word").agg(F.count(F.lit(1)).alias("n"))
-    maps = words.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("m"))
-    a, b = maps.where("turn = 0").select("conv_id", F.col("m").alias("a")), maps.where("turn = 1").select("conv_id", F.col("m").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.round(X.term_cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    talk = table(spark, d, "conversations")
+    keys = talk.select("conv_id", "turn").distinct()
+    terms = keys.join(lookups.term_counts(talk, ["conv_id", "turn"]), ["conv_id", "turn"], "left").withColumn("terms", F.coalesce("terms", F.create_map().cast("map<string,int>")))
+    before = terms.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("terms").alias("before"))
+    return terms.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.term_cosine(F.col("before"), F.col("terms")), 6).alias("cosine"))
+
+
+@query("ag9_term_counts", TERMS_SQL)
+def ag9(spark, d):
+    counted = lookups.term_counts(table(spark, d, "conversations"), ["conv_id", "turn"])
+    return counted.select("conv_id", "turn", F.explode("terms").alias("term", "n")).withColumn("n", F.col("n").cast("long"))
 
 
-@query("txt10_alphanumeric", r"SELECT doc_id, regexp_full_match(w, '[\p{L}\p{Nd}]+') AS whole, regexp_matches(w, '[\p{L}\p{Nd}]') AS some FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents)")
+@query("set4_token_union", r"""SELECT conv_id, count(DISTINCT term) AS n_terms FROM (SELECT conv_id, unnest(regexp_split_to_array(text, '[ \t\n\v\f\r]+')) AS term FROM conversations) WHERE term <> '' GROUP BY 1""")
+def set4(spark, d):
+    counted = lookups.term_counts(table(spark, d, "conversations"), ["conv_id", "turn"])
+    return lookups.token_union(counted, ["conv_id"]).select("conv_id", F.size("tokens").cast("long").alias("n_terms"))
+
+
+@query(
+    "txt10_alphanumeric",
+    r"""SELECT doc_id, count(*) FILTER (regexp_full_match(w, '[\p{L}\p{Nd}]+')) AS whole, count(*) FILTER (regexp_matches(w, '[\p{L}\p{Nd}]')) AS some
+    FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY doc_id""",
+)
 def txt10(spark, d):
-    word = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", X.is_alphanumeric(word).alias("whole"), X.has_alphanumeric(word).alias("some"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
+    return words.groupBy("doc_id").agg(F.count_if(X.is_alphanumeric(F.col("w"))).alias("whole"), F.count_if(X.has_alphanumeric(F.col("w"))).alias("some"))
 
 
 @query("txt12_title", "SELECT p_partkey, upper(substr(lower(p_name), 1, 1)) || substr(lower(p_name), 2) AS title FROM part")
@@ -348,12 +353,6 @@ def ag8(spark, d):
     return evaluation.compression_statistics(stored.select("raw_bytes", F.octet_length("data").alias("stored_bytes"), "codec"))
 
 
-@query("html2_redirect", "SELECT page_id, false AS redirect FROM pages WHERE NOT contains(upper(html), 'REDIRECT')")
-def html2(spark, d):
-    clean = links.uncommented(F.col("html"))
-    return table(spark, d, "pages").where(~F.upper("html").contains("REDIRECT")).select("page_id", links.is_redirect(clean).alias("redirect"))
-
-
 @query("html3_render")
 def html3(spark, d):
     docs = table(spark, d, "documents")
@@ -383,9 +382,13 @@ def txt5(spark, d):
     return table(spark, d, "events").select("event_id", X.iso_instant(ts).alias("iso"), X.epoch_millis(ts).alias("millis"))
 
 
-@query("txt7_common_substring")
+@query(
+    "txt7_common_substring",
+    """WITH p AS (SELECT p_partkey, p_name AS a, p_name || p_type AS b, lower(p_type) || p_brand || substr(p_name, 3) AS c FROM part), s AS (SELECT p_partkey, c, b, i, n FROM p, range(1, 40) x(i), range(1, 40) y(n) WHERE i + n - 1 <= length(b))
+    SELECT p.p_partkey, coalesce(max_by(substr(s.b, i, n), (n, -i)), '') AS common FROM p LEFT JOIN s ON s.p_partkey = p.p_partkey AND contains(s.c, substr(s.b, i, n)) GROUP BY 1""",
+)
 def txt7(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.longest_common_substring(F.col("p_name"), F.col("p_type")).alias("common"))
+    return table(spark, d, "part").select("p_partkey", X.longest_common_substring(F.concat("p_name", "p_type"), F.concat(F.lower("p_type"), "p_brand", F.substr("p_name", F.lit(3)))).alias("common"))
 
 
 @query("txt8_quote_doubled", "SELECT doc_id, replace(text, '''', '''''') AS quoted FROM documents")
@@ -393,31 +396,70 @@ def txt8(spark, d):
     return table(spark, d, "documents").select("doc_id", X.quote_doubled(F.col("text")).alias("quoted"))
 
 
-@query("txt11_number", "SELECT doc_id, try_cast(w AS DOUBLE) IS NOT NULL AS number FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 2) ELSE n_chars::VARCHAR END AS w FROM documents)")
+@query("txt11_number", r"SELECT doc_id, count(*) FILTER (try_cast(w AS DOUBLE) IS NOT NULL) AS numbers FROM (SELECT doc_id, unnest(list_append(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), n_chars::VARCHAR)) AS w FROM documents WHERE text IS NOT NULL) GROUP BY doc_id")
 def txt11(spark, d):
-    word = F.when(F.col("doc_id") % 2 == 0, F.split_part(F.col("text"), F.lit(" "), F.lit(2))).otherwise(F.col("n_chars").cast("string"))
-    return table(spark, d, "documents").select("doc_id", X.is_number(word).alias("number"))
+    words = F.array_append(F.split("text", r"[ \t\n\x0B\f\r]+"), F.col("n_chars").cast("string"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(words).alias("w"))
+    return rows.groupBy("doc_id").agg(F.count_if(X.is_number(F.col("w"))).alias("numbers"))
 
 
 def _nation_tiers(spark, d):
     ts = F.lit("3000-01-01").cast("timestamp_ntz").alias("ts")
-    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("page_id"), F.lit("Category").alias("namespace"), F.col("n_name").alias("title"))
-    return nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit("").alias("namespace"), F.col("r_name").alias("title"))).select("page_id", ts, "namespace", "title")
+    nodes = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("page_id"), F.lit(14).alias("ns_id"), F.concat(F.lit("a & [b] ¤ "), "n_name").alias("title"))
+    return nodes.unionByName(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("page_id"), F.lit(0).alias("ns_id"), F.col("r_name").alias("title"))).select("page_id", ts, "ns_id", "title")
+
+
+def _nation_edges(spark, d):
+    """Category links among nations and regions, and those of customers and suppliers, whose pages are no nodes; nations also point to customers."""
+    links_ = category_links(spark, d)
+    return links_.unionByName(links_.where("source_id < 1000").select("source_id", (F.col("target_id") + 5000).alias("target_id"), "link_type", "ts"))
 
 
-@query("snk1_graphml")
+GRAPH_SQL = f"""n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS number FROM (
+      SELECT n_nationkey::BIGINT + 100 AS page_id, 14 AS ns_id, 'a & [b] ¤ ' || n_name AS title FROM nation UNION ALL SELECT r_regionkey, 0, r_name FROM region)),
+    l AS (SELECT * FROM ({CATEGORY_LINKS_SQL}) UNION ALL SELECT n_nationkey::BIGINT + 100, n_regionkey::BIGINT + 5000 FROM nation),
+    e AS (SELECT s.number AS source, t.number AS target, row_number() OVER (ORDER BY s.number, l.target_id) AS edge FROM l JOIN n s ON s.page_id = l.source_id LEFT JOIN n t ON t.page_id = l.target_id)"""
+GRAPHML_SQL = f"""WITH {GRAPH_SQL}
+    {" UNION ALL ".join(f"SELECT '{x}' AS value" for x in (*exports.GRAPHML_HEAD, "</graphml>"))}
+    UNION ALL SELECT '<node id="n' || number || '">' || chr(10) || '<data key="d0">' || replace(title, '&', '&amp;') || '</data>' || chr(10) || '<data key="d1">' || ns_id || '</data>' || chr(10)
+      || '<data key="d2">' || page_id || '</data>' || chr(10) || '<data key="d3">3000-01-01T00:00:00Z[UTC]</data>' || chr(10) || '</node>' FROM n
+    UNION ALL SELECT '<edge id="e' || edge || '" source="n' || source || '" target="n' || target || '">' || chr(10) || '<data key="d4">CATEGORIZATION</data>' || chr(10) || '</edge>' FROM e WHERE target IS NOT NULL"""
+GRAPH_TEXT_SQL = f"""WITH {GRAPH_SQL}
+    {" UNION ALL ".join(f"SELECT '{x}' AS value" for x in (*exports.GRAPH_TEXT_HEAD, "Edges:"))}
+    UNION ALL SELECT 'n' || number || '¤[Title¤' || translate(title, '[]¤', '() ') || '¤]¤[NSID¤' || ns_id || '¤]¤[Timestamp¤3000-01-01T00:00:00Z(UTC)¤]¤' FROM n
+    UNION ALL SELECT 'n' || source || '¤n' || target || '¤1.0¤[Type¤CATEGORIZATION¤]¤' FROM e WHERE target IS NOT NULL"""
+
+
+@query("snk1_graphml", GRAPHML_SQL)
 def snk1(spark, d):
-    return exports.graphml(_nation_tiers(spark, d), category_links(spark, d), ("CATEGORIZATION",))
+    return exports.graphml(_nation_tiers(spark, d), _nation_edges(spark, d), ("CATEGORIZATION",))
 
 
-@query("snk2_tier_graph")
+@query("snk2_tier_graph", GRAPH_TEXT_SQL)
 def snk2(spark, d):
-    return exports.tier_graph_text(_nation_tiers(spark, d), category_links(spark, d), ("CATEGORIZATION",))
+    return exports.tier_graph_text(_nation_tiers(spark, d), _nation_edges(spark, d), ("CATEGORIZATION",))
 
 
-@query("snk3_page_graph")
+@query("snk3_page_graph", GRAPH_TEXT_SQL)
 def snk3(spark, d):
-    return exports.page_graph_text(_nation_tiers(spark, d).drop("ts"), category_links(spark, d), ("CATEGORIZATION",))
+    return exports.page_graph_text(_nation_tiers(spark, d).drop("ts"), _nation_edges(spark, d), ("CATEGORIZATION",))
+
+
+@query(
+    "snk4_current_graph",
+    f"""WITH v AS (SELECT user_id AS page_id, max_by(event_id, (ts, event_id)) AS revision_id, max(ts) AS ts FROM events GROUP BY 1),
+    l AS (SELECT DISTINCT user_id AS source_id, (user_id * 7 + event_id) % 200 AS target_id FROM events)
+    {" UNION ALL ".join(f"SELECT '{x}' AS value" for x in (*exports.GRAPH_TEXT_HEAD, "Edges:"))}
+    UNION ALL SELECT page_id || '_' || revision_id || '¤[Title¤Page ' || page_id || '¤]¤[NSID¤' || page_id % 3 || '¤]¤[Timestamp¤' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+      || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE rtrim(strftime(ts, '.%f'), '0') END || 'Z(UTC)¤]¤' FROM v WHERE page_id % 3 < 2
+    UNION ALL SELECT a.page_id || '_' || a.revision_id || '¤' || b.page_id || '_' || b.revision_id || '¤1.0¤[Type¤ARTICLE¤]¤' FROM l JOIN v a ON a.page_id = source_id JOIN v b ON b.page_id = target_id WHERE a.page_id % 3 < 2 AND b.page_id % 3 < 2""",
+)
+def snk4(spark, d):
+    rows = revisions(spark, d)
+    pages = rows.select("page_id").distinct().select("page_id", (F.col("page_id") % 3).cast("int").alias("ns_id"), F.concat(F.lit("Page "), "page_id").alias("title"))
+    ends = rows.select(F.col("page_id").alias("source_id"), ((F.col("page_id") * 7 + F.col("revision_id")) % 200).alias("target_id")).distinct()
+    edges = ends.withColumn("link_type", F.lit("ARTICLE")).withColumn("ts", F.lit("3000-01-01").cast("timestamp"))
+    return exports.current_graph_text(pages, rows, edges, (0, 1))
 
 
 @query("snk5_tei_corpus")

@@ -47,3 +47,49 @@ def test_columns(spark):
         packed = df.withColumn("data", C.compress(F.col("text"), codec))
         got = packed.withColumn("back", C.uncompress(F.col("data"), F.lit(codec))).collect()
         assert all(r.back == r.text for r in got)
+
+
+def test_edits_of_long_texts():
+    lines = [f"line {i}\n" if i % 3 else "\n" for i in range(4000)]
+    old, new = "".join(lines), "".join(lines[:1000] + ["added\n"] + lines[1200:3000] + ["\n"] * 50 + lines[2500:])
+    for a, b in ((old, new), (new, old), (old, ""), ("", old), (old, old), ("\n" * 60_000, "\n" * 50_000 + "x"), ("x" + "|\n" * 40_000 + "y", "z" + "|\n" * 39_000 + "w")):
+        delta = C.edits(a, b)
+        assert C.edited(a, delta) == b
+    assert len(C.edits(old, new)) < len(C.packed(new, "BZIP2")) / 4
+
+
+def test_crowded_chains(spark, monkeypatch):
+    from palimpsest.operators import history as H
+
+    source = history(spark)
+    monkeypatch.setattr(H, "WINDOW_ROWS", 10)
+    stored = C.compress_history(source).cache()
+    assert [r.revision_id for r in stored.where("page_id = 1 and codec = 'BZIP2'").sort("revision_id").collect()] == [1, 51, 101, 120]
+    decoded = C.decode_history(stored.where("not (page_id = 1 and revision_id in (1, 51))"))
+    found = {(r.page_id, r.revision_id): (r.text, r.text_error) for r in decoded.collect()}
+    want = {(r.page_id, r.revision_id): r.text for r in source.collect()}
+    assert all(found[k] == ((None, True) if k[0] == 1 and k[1] < 101 else (want[k], False)) for k in found) and len(found) == len(want) - 2
+    assert C.decode_history(C.compress_history(source)).select(source.columns).exceptAll(source).count() == 0
+
+
+def test_rendered_chains(spark):
+    rows = [(1, r, r, None if r == 4 else f"<p>{r}</p>") for r in range(1, 8)]
+    stored = C.compress_rendered(spark.createDataFrame(rows, "page_id long, revision_id long, ts long, html string"), interval=3).cache()
+    assert {r.revision_id: (r.codec, r.html_error) for r in stored.collect()} == {1: ("BZIP2", False), 2: (C.DELTA, False), 3: (C.DELTA, False), 4: (None, True), 5: ("BZIP2", False), 6: (C.DELTA, False), 7: ("BZIP2", False)}
+    assert {r.revision_id: r.html for r in C.decode_history(stored, "html").collect()} == {r[1]: r[3] for r in rows}
+
+
+def test_tier_attributes(spark):
+    from palimpsest.operators import tiers
+    from palimpsest.storage import materialise
+
+    values = spark.createDataFrame([(p, t, f"page {p} at {t}") for p in (1, 2) for t in range(6)], "page_id long, t long, value string").select("page_id", F.timestamp_seconds("t").alias("ts"), "value")
+    stored = materialise(tiers.encoded(values, C.DELTA), "test")
+    new = values.where("page_id = 1 and unix_seconds(ts) in (2, 3)").withColumn("value", F.when(F.unix_seconds("ts") == 2, "other"))
+    for codec in (C.DELTA, "GZIP"):
+        after = materialise(tiers.set_attribute(stored, new, codec), "test")
+        got = {(r.page_id, r.ts.second): (r.value, r.value_error) for r in tiers.attribute(after).collect()}
+        want = {(p, t): (f"page {p} at {t}", False) for p in (1, 2) for t in range(6) if (p, t) != (1, 3)} | {(1, 2): ("other", False)}
+        assert got == want
+    assert [r.ts.second for r in tiers.ordered_tiers(stored).where("page_id = 2").collect()] == list(range(6))
+    assert stored.where(tiers.has_attribute(F.col("data"))).count() == 12

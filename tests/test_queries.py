@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import ORACLE_SQL, QUERIES
+from palimpsest.plans import imports, navigation, queries  # noqa: F401
+from palimpsest.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,4 +1,5 @@
 import datetime
+import random
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -11,7 +12,7 @@ from palimpsest.operators import evaluation, history, rendering
 from palimpsest.operators.numbering import numbered
 from palimpsest.sources import exports
 from palimpsest.sources.catalog import Catalog
-from palimpsest.streaming.incremental import import_dumps, import_files
+from palimpsest.streaming.incremental import compress_files, import_dumps, import_files
 
 DUMP = Path(__file__).parent / "data" / "mini-wiki.xml"
 
@@ -58,7 +59,7 @@ def test_tei():
     html = '<html><head><title>x</title></head><body>bare <b>t</b><h2>H</h2><p>a<br>b <a href="/w">l</a></p><ul><li>i</ul><div id="catlinks">KATZE</div></body></html>'
     tei = M.html_to_tei(html, "Ti<", {"pageID": "7"})
     ElementTree.fromstring(tei)
-    assert "<title>Ti&lt;</title>" in tei and '<idno type="pageID">7</idno>' in tei and '<p>bare <hi rend="bold">t</hi></p><head>H</head>' in tei and '<ref target="/w">l</ref>' in tei and "KATZE" not in tei
+    assert "<title>Ti&lt;</title>" in tei and '<idno type="pageID">7</idno>' in tei and '<p>bare <hi rend="bold">t</hi></p><head>H</head>' in tei and '<link target="/w">l</link>' in tei and "KATZE" not in tei
     assert "KATZE" in M.html_to_tei(html, drop_categories=False)
     flat = M.html_to_tei(html, flat=True)
     assert ElementTree.fromstring(flat) is not None and "<hi" not in flat
@@ -86,22 +87,76 @@ def test_numbering(spark):
 
 def graph_tables(spark):
     t = datetime.datetime(2004, 1, 1)
-    tiers = spark.createDataFrame([(1, t, "", "A [x]"), (2, t, "Category", "B&"), (3, t, "", "C")], "page_id long, ts timestamp, namespace string, title string")
-    edges = spark.createDataFrame([(1, 2, "CATEGORIZATION", t), (1, 3, "ARTICLE", t), (1, 9, "ARTICLE", t), (3, 1, "ARTICLE", datetime.datetime(2005, 1, 1))], "source_id long, target_id long, link_type string, ts timestamp")
+    tiers = spark.createDataFrame([(1, t, 0, "A [x]"), (2, t, 14, "B&"), (3, t, 0, "C")], "page_id long, ts timestamp, ns_id int, title string")
+    edges = spark.createDataFrame([(1, 2, "CATEGORIZATION", t), (1, 3, "ARTICLE", t), (1, 9, "ARTICLE", t), (3, 1, "ARTICLE", datetime.datetime(2005, 1, 1)), (3, 2, "ARTICLE", t)], "source_id long, target_id long, link_type string, ts timestamp")
     return tiers, edges
 
 
+GRAPHML = """<?xml version="1.0" encoding="utf-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">
+<key id="d0" for="node" attr.name="title" attr.type="string"/>
+<key id="d1" for="node" attr.name="ns" attr.type="integer"/>
+<key id="d2" for="node" attr.name="articleID" attr.type="integer"/>
+<key id="d3" for="node" attr.name="timestamp" attr.type="string"/>
+<key id="d4" for="edge" attr.name="type" attr.type="string"/>
+<node id="n1">
+<data key="d0">A [x]</data>
+<data key="d1">0</data>
+<data key="d2">1</data>
+<data key="d3">2004-01-01T00:00:00Z[UTC]</data>
+</node>
+<node id="n2">
+<data key="d0">B&amp;</data>
+<data key="d1">14</data>
+<data key="d2">2</data>
+<data key="d3">2004-01-01T00:00:00Z[UTC]</data>
+</node>
+<node id="n3">
+<data key="d0">C</data>
+<data key="d1">0</data>
+<data key="d2">3</data>
+<data key="d3">2004-01-01T00:00:00Z[UTC]</data>
+</node>
+<edge id="e1" source="n1" target="n2">
+<data key="d4">CATEGORIZATION</data>
+</edge>
+<edge id="e2" source="n1" target="n3">
+<data key="d4">ARTICLE</data>
+</edge>
+<edge id="e4" source="n3" target="n2">
+<data key="d4">ARTICLE</data>
+</edge>
+</graphml>
+"""
+GRAPH_TEXT = """directed
+SimilarityGraph
+Vertex Attributes:[Title¤String];[NSID¤Integer];[Timestamp¤String];
+Edge Attributes:[Type¤String];
+ProbabilityMassOfGraph: 0
+Vertices:
+n1¤[Title¤A (x)¤]¤[NSID¤0¤]¤[Timestamp¤2004-01-01T00:00:00Z(UTC)¤]¤
+n2¤[Title¤B&¤]¤[NSID¤14¤]¤[Timestamp¤2004-01-01T00:00:00Z(UTC)¤]¤
+n3¤[Title¤C¤]¤[NSID¤0¤]¤[Timestamp¤2004-01-01T00:00:00Z(UTC)¤]¤
+Edges:
+n1¤n3¤1.0¤[Type¤ARTICLE¤]¤
+n3¤n2¤1.0¤[Type¤ARTICLE¤]¤
+"""
+
+
+def written(lines, path):
+    exports.write_lines(lines, str(path))
+    return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+
 def test_exports(spark, tmp_path):
     tiers, edges = graph_tables(spark)
-    exports.write_lines(exports.graphml(tiers, edges, ("ARTICLE", "CATEGORIZATION")), str(tmp_path / "g"))
-    document = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
-    root = ElementTree.fromstring(document.encode())
-    assert len(root.findall(".//{*}node")) == 3 and {(e.get("source"), e.get("target")) for e in root.findall(".//{*}edge")} == {("n1", "n2"), ("n1", "n3")}
-    assert "2004-01-01T00:00:00Z" in document
+    assert written(exports.graphml(tiers, edges, ("ARTICLE", "CATEGORIZATION")), tmp_path / "g") == GRAPHML
     assert exports.graphml(tiers, edges).where("value like '<edge %'").count() == 0
-    lines = [r.value for r in exports.tier_graph_text(tiers, edges, ("ARTICLE",)).collect()]
-    assert "1¤[title¤A (x)]¤[namespace¤]¤[timestamp¤2004-01-01T00:00:00]¤" in lines and "1¤3¤1.0¤[type¤ARTICLE]¤" in lines and lines.index("Vertices:") == 6
-    html = tiers.withColumn("html", F.lit("<body><p>x</p></body>"))
+    assert written(exports.tier_graph_text(tiers, edges, ("ARTICLE",)), tmp_path / "t") == GRAPH_TEXT
+    fine = spark.createDataFrame([(datetime.datetime(2004, 1, 1, 1, 2, 3, 450000),)], "ts timestamp")
+    assert fine.select(X.zoned_instant(F.col("ts")).alias("x")).first().x == "2004-01-01T01:02:03.45Z[UTC]"
+    named = tiers.withColumn("namespace", F.when(F.col("ns_id") == 14, "Category").otherwise(""))
+    html = named.withColumn("html", F.lit("<body><p>x</p></body>"))
     corpus = "\n".join(r.value for r in exports.tei_corpus(html, ["page_id"]).collect())
     assert len(ElementTree.fromstring(corpus.encode()).findall("{*}TEI")) == 3 and "Category:B&amp;" in corpus
 
@@ -121,7 +176,7 @@ def test_snapshot_and_current_graph(spark, tmp_path):
     named = pages.join(catalog.read("namespace").select("ns_id", F.col("name").alias("namespace")), "ns_id")
     links = spark.createDataFrame([(4, 1, "REDIRECT")], "source_id long, target_id long, link_type string").withColumn("ts", F.lit("3000-01-01").cast("timestamp"))
     lines = [r.value for r in exports.current_graph_text(named, revisions, links).collect()]
-    assert "4_40¤1_14¤1.0¤[type¤REDIRECT]¤" in lines
+    assert "4_40¤1_14¤1.0¤[Type¤REDIRECT¤]¤" in lines
     (tmp_path / "json").mkdir()
     (tmp_path / "json" / "a.json").write_text('{"db_name":"miniwiki","page_id":77,"ns_id":0,"title":"New"}\n{"db_name":"miniwiki","page_id":1,"ns_id":0,"title":"Spring"}\n')
     seen = []
@@ -150,3 +205,64 @@ def test_intervals_and_sequences(spark):
     assert {(r.page_id, r.revision_id) for r in history.snapshots(rows, many).collect()} == {(1, 2), (2, 9)}
     assert {r.page_id for r in history.new_tiers(rows, rows, "2020-01-02").collect()} == set()
     assert {r.page_id for r in history.new_tiers(rows, rows, "2020-01-03").collect()} == {2}
+
+
+def test_crowded_pages_give_the_same(spark, monkeypatch):
+    r = random.Random(1)
+    rows = [(p, p * 1000 + i, datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=r.randrange(40)), f"x{i}") for p, n in ((1, 90), (2, 1), (3, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, revision_id long, ts timestamp, text string").repartition(5)
+    starts = spark.createDataFrame([(1, 1005), (3, 3003), (2, 77)], "page_id long, revision_id long")
+
+    def all_of():
+        found = history.positions(df), history.neighbours(df), history.intervals(df), history.key_frames(df, 10), history.sequence_from(df, starts)
+        return [sorted(map(str, x.select(*sorted(x.columns)).collect())) for x in found]
+
+    want = all_of()
+    monkeypatch.setattr(history, "WINDOW_ROWS", 5)
+    assert history.crowded(df) and all_of() == want
+    assert history.positions(df.limit(0)).count() == 0
+
+
+def test_snapshots_by_brute_force(spark):
+    r = random.Random(2)
+    day = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = [(r.randrange(6), i, day(r.randrange(20))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, revision_id long, ts timestamp").repartition(4)
+    asked = [day(-3), day(4), day(4), day(11), day(40)]
+    got = {(x["at"], x.page_id, x.revision_id) for x in history.snapshots(df, spark.createDataFrame([(a,) for a in asked], "at timestamp")).collect()}
+    want = set()
+    for at in asked:
+        for page in range(6):
+            held = [(ts, i) for p, i, ts in rows if p == page and ts <= at]
+            if held:
+                want.add((at, page, max(held)[1]))
+    assert got == want and history.snapshots(df, spark.createDataFrame([], "at timestamp")).count() == 0
+    many = spark.range(history.MAX_INSTANTS + 1).select(F.timestamp_seconds("id").alias("at"))
+    with pytest.raises(ValueError):
+        history.snapshots(df, many)
+
+
+def test_common_substring():
+    r = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(r.choices("abc", k=r.randrange(14))) for _ in range(2))
+        runs = [(-n, i) for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) if a[i : i + n] in b]
+        n, i = min(runs, default=(0, 0))
+        assert X.common_substring(a, b) == a[i : i - n]
+    assert len(X.common_substring("ab" * 50_000, "ba" * 50_000)) == 99_999
+
+
+def test_compression_events(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"db_name":"w","page_id":1,"revision_id":5,"text":"aaaa"}\n{"db_name":"w","page_id":1,"revision_id":6}\n')
+    told = []
+    for _ in range(2):  # the second run finds nothing new
+        compress_files(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "GZIP", lambda n, done: told.extend(map(tuple, done.sort("revision_id").select("revision_id", "codec", "raw_bytes", F.col("stored_bytes") > 4).collect())), once=True).awaitTermination(120)
+    assert told == [(5, "GZIP", 4, True), (6, "GZIP", None, None)]
+
+
+def test_templates_as_deep_as_texts_go(spark):
+    texts = spark.createDataFrame([(1, "{{t0}}"), (2, "none"), (3, "{{loop}}")], "page_id long, text string")
+    bodies = spark.createDataFrame([(f"T{k}", f"{{{{t{k + 1}}}}}") for k in range(8)] + [("T8", "end"), ("Loop", "{{loop}} {{t8}}")], "title string, body string")
+    got = {r.page_id: r.templates for r in rendering.with_templates(texts, bodies).collect()}
+    assert set(got[1]) == {f"T{k}" for k in range(9)} and got[2] is None and set(got[3]) == {"Loop", "T8"}

@@ -35,7 +35,7 @@ def test_network_at_an_instant(spark, folder, capsys):
     assert "ARTICLE" in shown and "|5 " in shown
     main([tables, "export", "miniwiki", AT, f"{folder}/graph"])
     text = "".join(p.read_text() for p in sorted((folder / "graph").glob("part-*")))
-    assert "4¤1¤1.0¤[type¤REDIRECT]¤" in text
+    assert "n4¤n1¤1.0¤[Type¤REDIRECT¤]¤" in text
 
 
 def test_lookups(spark, folder):
@@ -51,6 +51,12 @@ def test_lookups(spark, folder):
     found = {r.target: r.page_id for r in lookups.pages_by_qualified_titles(pages, names, titles).collect()}
     assert found == {"Spring": 1, "Category:Seasons": 2, "Time: a story": 4, "Gadget:clock": 3, "Gadget:Clock": None, "Nope": None}
     assert lookups.revisions_by_id(catalog.read("revision"), [10, 12]).count() == 2 and lookups.contributors_named(catalog.read("contributor"), "Ben").first().contributor_id == 6
+    tables = {"page": pages, "contributor": catalog.read("contributor"), "namespace": names}
+    assert ids(lookups.by_unique_id(tables, "page:miniwiki:2")) == [2] and lookups.by_unique_id(tables, "contributor:miniwiki:6").first().name == "Ben"
+    assert lookups.by_unique_id(tables, "namespace:miniwiki:Category").first().ns_id == 14 and lookups.by_unique_id(tables, "page:other:2").count() == 0
+    for bad in ("wiki:x", "page:miniwiki"):
+        with pytest.raises(ValueError):
+            lookups.by_unique_id(tables, bad)
     rows = spark.createDataFrame([(1, " a b  a"), (2, "")], "page_id long, text string")
     assert [(r.page_id, r.terms) for r in lookups.term_counts(rows, ["page_id"]).collect()] == [(1, {"a": 2, "b": 1})]
     assert lookups.namespace_names(names).count() == names.count() and lookups.entities(catalog.read("entity_usage")).count() == 0
