@@ -7,12 +7,13 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import markup
 from palimpsest.functions.text import xml_escape
 from palimpsest.operators import evaluation, history, links, rendering
 from palimpsest.plans.adapters import table
 from palimpsest.plans.navigation import CASE_NS, ITEMS_SQL, distinct_items, item_revisions, namespaces, part_namespace
 from palimpsest.plans.registry import query
-from palimpsest.sources import sql_dump, xml_dump
+from palimpsest.sources import exports, sql_dump, xml_dump
 from palimpsest.sources.catalog import Catalog
 from palimpsest.storage import scratch
 from palimpsest.streaming import incremental
@@ -333,3 +334,94 @@ def ag8_statistics(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("raw_bytes"), F.col("l_quantity").alias("stored_bytes"), codec.alias("codec"))
     found = evaluation.compression_statistics(rows)
     return found.select(F.round("ratio_percent", 6).alias("ratio_percent"), F.round("diff_share", 6).alias("diff_share"))
+
+
+# Markup of known shape
+
+
+@query(
+    "txt3_xmi_to_tei",
+    """SELECT c_custkey, '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><p><s><w lemma="' || lower(c_mktsegment) || '" type="NN" number="sg">' || c_mktsegment || '</w><w>buys</w><c type="PUNCT">.</c></s></p></div></body></text></TEI>' AS tei FROM customer""",
+)
+def txt3(spark, d):
+    """XMI with nested spans, a token with lemma, part of speech and morphology, one without, and a mark."""
+    segment, n = F.col("c_mktsegment"), F.length("c_mktsegment")
+    span = lambda name, end: F.concat(F.lit(f'<t:{name} begin="0" end="'), end, F.lit('"/>'))
+    token = lambda i, begin, end, rest: F.concat(F.lit(f'<t:Token xmi:id="{i}" begin="'), begin, F.lit('" end="'), end, F.lit(f'" {rest}/>'))
+    xmi = F.concat(
+        F.lit('<xmi:XMI xmlns:xmi="http://www.omg.org/XMI" xmlns:cas="c" xmlns:t="http:///type.ecore" xmlns:pos="http:///x/pos.ecore"><cas:Sofa xmi:id="1" sofaString="'), segment, F.lit(' buys."/>'),
+        span("Sentence", n + 6), span("Paragraph", n + 6), span("Div", n + 6), F.lit('<t:NamedEntity begin="0" end="1"/><t:Lemma xmi:id="3" value="'), F.lower(segment), F.lit('"/><pos:N xmi:id="4" PosValue="pos=NN"/><pos:P xmi:id="9" PosValue="PUNCT"/>'),
+        F.lit('<t:MorphologicalFeatures xmi:id="5" value="number=sg"/>'), token(8, n + 5, n + 6, 'lemma="3" pos="9"'), token(6, F.lit(0), n, 'lemma="3" pos="4" morph="5"'), token(7, n + 1, n + 5, ""), F.lit("</xmi:XMI>"),
+    )
+    return table(spark, d, "customer").select("c_custkey", markup.xmi_tei(xmi).alias("tei"))
+
+
+@query(
+    "html3_render_parts",
+    """SELECT p_partkey, '<h1>P' || p_partkey || '</h1>' || chr(10) || CASE WHEN p_size % 3 = 0 THEN '<div class="redirectMsg"><p>Redirect to: <a href="/wiki/' || replace(p_name, ' ', '_') || '">' || p_name || '</a></p></div>' || chr(10)
+      ELSE '<h2>About</h2>' || chr(10) || '<p><b>' || p_name || '</b> is <i>made</i> by <a href="/wiki/' || p_brand || '">' || lower(p_brand) || '</a> (' || p_type || ')</p>' || chr(10) || '<ul>' || chr(10) || '<li>' || p_size || '</li>' || chr(10) || '</ul>' || chr(10)
+        || '<div id="catlinks"><a href="/wiki/Category:' || p_type || '">Category:' || p_type || '</a></div>' || chr(10) END AS html FROM part""".replace("p_brand || '\">'", "replace(p_brand, '#', '') || '\">'"),
+)
+def html3_parts(spark, d):
+    """Headings, emphasis, links, a template with an argument, a list, a category, redirects."""
+    name, brand = F.col("p_name"), F.translate("p_brand", "#", "")
+    body = F.concat(F.lit("== About ==\n'''"), name, F.lit("''' is ''made'' by [["), brand, F.lit("|"), F.lower("p_brand"), F.lit("]] {{kind|"), F.col("p_type"), F.lit("}}\n* "), F.col("p_size"), F.lit("\n[[Category:"), F.col("p_type"), F.lit("]]<!-- gone -->"))
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("#REDIRECT [["), name, F.lit("]]"))).otherwise(body)
+    templates = F.create_map(F.lit("Kind"), F.lit("({{{1}}})"))
+    return table(spark, d, "part").select("p_partkey", markup.rendered(F.concat(F.lit("P"), "p_partkey"), text, templates).alias("html"))
+
+
+TEI_HEAD = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'
+
+
+def _tei_source(spark, d):
+    part = table(spark, d, "part")
+    html = F.concat(
+        F.lit("<html><head><title>x</title></head><body>"), F.col("p_type"), F.lit(" <b>&amp;</b><h2>"), F.col("p_name"), F.lit('</h2><p>a<br>b <a href="/w?a=1">'), F.col("p_brand"),
+        F.lit('</a> <span>kept</span></p><ul><li><em>i</em></li></ul><table><tr><td>c</td></tr></table><div id="catlinks">no</div></body></html>'),
+    )
+    return part.select("p_partkey", html.alias("html"), F.create_map(F.lit("pageID"), F.col("p_partkey").cast("string")).alias("ids"), F.concat(F.lit("T&"), "p_name").alias("title"))
+
+
+@query(
+    "txt1_tei_parts",
+    f"""SELECT p_partkey, '{TEI_HEAD}T&amp;' || p_name || '</title></titleStmt><publicationStmt><idno type="pageID">' || p_partkey || '</idno></publicationStmt></fileDesc></teiHeader><text><body><p>' || p_type || ' <hi rend="bold">&amp;</hi></p><head>' || p_name
+      || '</head><p>a<lb/>b <link target="/w?a=1">' || p_brand || '</link> kept</p><list><item><emph>i</emph></item></list><table><row><cell>c</cell></row></table></body></text></TEI>' AS tei FROM part""",
+)
+def txt1_parts(spark, d):
+    return _tei_source(spark, d).select("p_partkey", markup.tei(F.col("html"), F.col("title"), F.col("ids")).alias("tei"))
+
+
+@query(
+    "txt2_tei_flat_parts",
+    f"""SELECT p_partkey, '{TEI_HEAD}T&amp;' || p_name || '</title></titleStmt><publicationStmt><idno type="pageID">' || p_partkey || '</idno></publicationStmt></fileDesc></teiHeader><text><body><div><p>' || p_type || ' &amp;' || p_name || 'ab ' || p_brand || ' keptic</p></div></body></text></TEI>' AS tei FROM part""",
+)
+def txt2_parts(spark, d):
+    return _tei_source(spark, d).select("p_partkey", markup.tei(F.col("html"), F.col("title"), F.col("ids"), flat=True).alias("tei"))
+
+
+@query(
+    "snk5_tei_corpus_parts",
+    f"""SELECT '<?xml version="1.0" encoding="utf-8"?>' AS value UNION ALL SELECT '<teiCorpus>' UNION ALL SELECT '</teiCorpus>' UNION ALL
+    SELECT '{TEI_HEAD}' || CASE WHEN p_size % 2 = 0 THEN 'Category:' ELSE '' END || p_name || '</title></titleStmt><publicationStmt><idno type="p_partkey">' || p_partkey || '</idno></publicationStmt></fileDesc></teiHeader><text><body><p>' || p_type || '</p></body></text></TEI>' FROM part""",
+)
+def snk5_parts(spark, d):
+    part = table(spark, d, "part")
+    html = F.concat(F.lit("<html><head><title>x</title></head><body><p>"), "p_type", F.lit("</p></body></html>"))
+    rows = part.select("p_partkey", html.alias("html"), F.when(F.col("p_size") % 2 == 0, "Category").otherwise("").alias("namespace"), F.col("p_name").alias("title"))
+    return exports.tei_corpus(rows, ["p_partkey"])
+
+
+@query(
+    "gr8_network_graph",
+    f"""WITH n AS (SELECT p_partkey AS page_id, row_number() OVER (ORDER BY p_partkey) AS number, p_size, {CASE_NS} AS ns_id FROM part WHERE p_size % 2 = 0),
+    l AS (SELECT source_id, target_id, link_type FROM ({EXTRACTED}) WHERE link_type <> 'ARTICLE')
+    {" UNION ALL ".join(f"SELECT '{x}' AS value" for x in (*exports.GRAPH_TEXT_HEAD, "Edges:"))}
+    UNION ALL SELECT 'n' || number || '¤[Title¤Part ' || page_id || '¤]¤[NSID¤' || ns_id || '¤]¤[Timestamp¤1996-01-01T00:00:00Z(UTC)¤]¤' FROM n
+    UNION ALL SELECT 'n' || a.number || '¤n' || b.number || '¤1.0¤[Type¤' || link_type || '¤]¤' FROM l JOIN n a ON a.page_id = source_id JOIN n b ON b.page_id = target_id""",
+)
+def gr8(spark, d):
+    """The network at an instant: half of the pages as tiers, and the extracted links of two types between them."""
+    even = table(spark, d, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("page_id"))
+    tiers = parts(spark, d).join(even, "page_id", "left_semi").select("page_id", F.lit(AT).cast("timestamp").alias("ts"), "ns_id", "title")
+    return exports.tier_graph_text(tiers, extracted(spark, d), ("REDIRECT", "CATEGORIZATION"))

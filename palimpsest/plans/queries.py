@@ -359,7 +359,14 @@ def html3(spark, d):
     return docs.select("doc_id", markup.rendered(F.concat(F.lit("Document "), F.col("doc_id")), F.col("text"), F.lit(None).cast("map<string,string>")).alias("html"))
 
 
-@query("html6_plain_text")
+#: Entities that the tables' pages use.
+ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+PLAIN_SQL = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _character in ENTITIES.items():
+    PLAIN_SQL = f"replace({PLAIN_SQL}, '{_entity}', '{_character}')"
+
+
+@query("html6_plain_text", f"SELECT page_id, trim(regexp_replace({PLAIN_SQL}, '\\s+', ' ', 'g')) AS text FROM pages")
 def html6(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
