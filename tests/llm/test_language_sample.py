@@ -22,3 +22,15 @@ def test_no_language_is_left_out(spark):
         language_id.sample(df)
     found = language_id.sample(df, max_languages=66)
     assert set(found) == {lang for lang, _ in rows} and 16_000 < len(found["long"][0].encode()) <= language_id.SAMPLE_BYTES
+
+
+def test_ties_and_long_texts(spark):
+    """Equal code lengths go to the first language by name; a long text counts whole and its score stays below 1."""
+    same = [("b", "one two three four five"), ("a", "one two three four five"), ("c", "eins zwei drei vier fünf")]
+    model = language_id.train({lang: [text] for lang, text in same})
+    long = "eins zwei drei " * 100_000 + "one two three four five " * 150_000
+    rows = [(1, "two one"), (2, "drei vier"), (3, long), (4, None), (5, "123 !"), (1, "two one")]
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert [(i, lang) for i, lang, _ in got] == [(1, "a"), (1, "a"), (2, "c"), (3, "a"), (4, "und"), (5, "und")]
+    scores = {i: score for i, _, score in got}
+    assert scores[1] == pytest.approx(0.5, abs=0.01) and 0.3 < scores[3] <= 0.5 and scores[4] == 0

@@ -61,3 +61,17 @@ def test_run(spark, corpus):
     rows = corpus_pipeline.run(spark, folder).collect()
     counts = collections.Counter(r.doc_id for r in rows)
     assert rows and max(counts.values()) == 1 and all(len(r.ids) == r.length for r in rows)
+
+
+def test_hard_tables(spark, corpus, tmp_path):
+    """An empty table, and one with null and repeated ids and columns whose names the stages use themselves."""
+    folder, texts = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    odd = docs.unionByName(docs.limit(3)).unionByName(docs.where("length(text) > 500").limit(1).selectExpr("cast(null as bigint) as doc_id", "concat('x ', text) as text", "lang", "source", "n_chars"))
+    for name in ("_key", "key", "row", "_row", "norm", "digest", "kept", "id", "part", "length"):
+        odd = odd.withColumn(name, odd["doc_id"] % 2)
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    plain, rows = (corpus_pipeline.run(spark, path).collect() for path in (folder, f"{tmp_path}/odd"))
+    assert sorted((r.doc_id, r.ids_crc32) for r in rows if r.doc_id is not None) == sorted((r.doc_id, r.ids_crc32) for r in plain)
