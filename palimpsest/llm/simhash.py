@@ -152,28 +152,36 @@ SEARCH_RADIUS = 10
 SEARCH_BALLS = (1, 1, 1)
 #: Rounds that thin out large groups before the remaining pairs are listed.
 THINNING_ROUNDS = 3
+#: Keys of the documents in a round's pairs, eight bytes each, are sent to all executors up to so many; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``a, b`` of doc_ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``."""
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def shingle_sets(docs: DataFrame, words: int = SIMILAR_WORDS) -> DataFrame:
+    """``doc_id, shingles``: the distinct hashes of every text's shingles, ascending."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = None, np.empty(0, dtype="<u8")
-        for batch in batches:
-            keep = []
-            for b, text_a, text_b in zip(batch["b"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
-                if b is None or b != last_id:
-                    last_id, last = b, np.unique(hashes(text_b.as_py(), words))
-                own = np.unique(hashes(text_a.as_py(), words))
-                common = len(np.intersect1d(own, last, assume_unique=True))
-                keep.append(common >= similarity * (len(own) + len(last) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
+            found = [np.unique(hashes(text.as_py(), words)).view("<i8") for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs ``a, b`` of doc_ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+
+    Only the texts of documents in a pair are hashed, once, and their sets are what is joined.
+    """
+    pairs = materialise(pairs.select("a", "b"), "near-pairs")
+    key = F.xxhash64("doc_id")
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).select(key.alias("_key")).distinct(), "near-wanted")
+    few = wanted.count() <= BROADCAST_KEYS
+    chosen = docs.withColumn("_key", key).join(F.broadcast(wanted) if few else wanted, "_key", "left_semi")
+    sets = materialise(shingle_sets(chosen, words), "near-sets")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    counted = both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+    return counted.where(F.col("common") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def near_nodes(docs: DataFrame) -> DataFrame:
@@ -193,8 +201,8 @@ def near_nodes(docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` of the rows to drop so that of each group of near copies the first one stays.
 
-    ``docs`` has distinct and ordered ``doc_id`` (of any type, without nulls) and ``text``. Groups are the components of all pairs of similar documents. Most links of large groups
-    are found by fingerprints, without listing their pairs: the first document of
+    ``docs`` has distinct and ordered ``doc_id`` (of any type, without nulls) and ``text``. Groups are the components
+    of all pairs of similar documents. Most links of large groups are found by fingerprints, without listing their pairs: the first document of
     each segment value leads it, and in each thinning round a document is compared with one
     leader in its balls, the closest or the first by turns, and needs no other leader if they are similar.
     Then all documents take part in a search by rare shingles, which loses no similar pair; only
@@ -237,12 +245,14 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     repeat both leave one. A row without a doc_id counts as the last of its group. Texts without words are
     copies of each other; an empty table gives an empty result.
     """
-    own = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    tie = F.lit(0).cast("long") if own else F.xxhash64("text")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tie.alias("tie"))
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    key, unique = F.col("doc_id"), odd.isEmpty()
+    if not unique:
+        key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
     texts = docs.select(key.alias("doc_id"), "text")
     rows = docs.select(carried(docs), key.alias("_key"))
-    if not own:
+    if not unique:
         texts, rows = texts.dropDuplicates(["doc_id"]), rows.dropDuplicates(["_key"])
-    gone = near_copies(texts, similarity).withColumnRenamed("doc_id", "_gone")
-    return restored(rows.join(gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)
+    gone = materialise(near_copies(texts, similarity).withColumnRenamed("doc_id", "_gone"), "near-copies")
+    few = gone.count() <= BROADCAST_KEYS
+    return restored(rows.join(F.broadcast(gone) if few else gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)
