@@ -33,6 +33,8 @@ from palimpsest.llm.word_tokens import word_encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Numbers of the first ranks, one for each partition and length, that are sent to all executors up to so many; beyond, they are joined by shuffle.
+BROADCAST_RANKS = 8_000_000
 #: Texts whose pieces are handed on together.
 GROUP = 512
 
@@ -180,7 +182,12 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     per_part = materialise(per_part.select("part", "length", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     segments = plan(histogram, capacity)
-    numbered = pieces.join(per_part.select("part", "length", "before"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("part_rank"))
+    known = F.map_from_entries(F.collect_list(F.struct("length", "before")))  # at most ``capacity`` entries
+    lengths = F.sequence(F.lit(1), F.lit(capacity)).cast("array<long>")
+    firsts = per_part.groupBy("part").agg(known.alias("known")).select("part", F.transform(lengths, lambda n: F.try_element_at("known", n)).alias("before"))
+    firsts = materialise(firsts, "packing-ranks")
+    few = firsts.count() * capacity <= BROADCAST_RANKS
+    numbered = pieces.join(F.broadcast(firsts) if few else firsts.hint("merge"), "part").withColumn("rank", F.element_at("before", F.col("length").cast("int")) + F.col("part_rank")).drop("before")
     return _placed(spark, numbered, segments, keep_ids)
 
 
