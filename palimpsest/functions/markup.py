@@ -26,6 +26,13 @@ _comment = re.compile(r"<!--.*?-->", re.S)
 _link = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
 _external = re.compile(r"\[(https?://[^\s\]]+)(?:\s+([^\]]*))?\]")
 _heading = re.compile(r"(={1,6})\s*(.+?)\s*\1\s*$")
+_verbatim = re.compile(r"<(nowiki|pre)>(.*?)</\1\s*>|<nowiki\s*/>", re.S | re.I)
+_reference = re.compile(r"<ref(?:\s+name\s*=\s*\"?([^\"/>]*)\"?)?\s*(?:/>|>(.*?)</ref\s*>)", re.S | re.I)
+_notes = re.compile(r"<references\s*/>", re.I)
+_switch = re.compile(r"__[A-Z]+__")
+_kept = re.compile("\x7f([0-9]+)\x7f")
+#: Stands for HTML that is put back at the end, with its number between two of these, or for the notes.
+MARK = "\x7f"
 _redirect = re.compile(r"#redirect\s*:?\s*\[\[([^\]|]+)[^\]]*\]\]", re.I)
 
 
@@ -82,7 +89,8 @@ def _cells(line: str, mark: str) -> list[str]:
 
 
 def render(title: str | None, text: str | None, templates: dict[str, str] | None = None, category_names=frozenset({"Category"})) -> str | None:
-    """HTML of a subset of wikitext: headings, emphasis, links, lists, tables, templates, categories, redirects.
+    """HTML of a subset of wikitext: headings, emphasis, links, lists, nested tables, templates, categories, redirects, notes,
+    literal and preformatted text, rules, page names; behaviour switches go.
 
     It begins with the title as a heading; categories come last, in the box that link
     extraction looks for. Markup outside the subset stays as text. Null text gives null.
@@ -90,12 +98,35 @@ def render(title: str | None, text: str | None, templates: dict[str, str] | None
     if text is None:
         return None
     out = [f"<h1>{escape(title or '')}</h1>\n"]
-    text = transclude(_comment.sub("", text), templates or {})
+    kept: list[str] = []
+    notes: list[str] = []
+    named: dict[str, int] = {}
+
+    def keep(html: str) -> str:
+        kept.append(html)
+        return f"{MARK}{len(kept) - 1}{MARK}"
+
+    def noted(m: re.Match) -> str:
+        name, body = (m[1] or "").strip(), m[2] or ""
+        number = named.get(name)
+        if number is None:
+            notes.append(body)
+            number = len(notes)
+            if name:
+                named[name] = number
+        elif not notes[number - 1]:
+            notes[number - 1] = body
+        return keep(f'<sup><a href="#note-{number}">[{number}]</a></sup>')
+
+    text = _verbatim.sub(lambda m: "" if m[1] is None else keep(escape(m[2]) if m[1].lower() == "nowiki" else f"<pre>{escape(m[2])}</pre>"), text.replace(MARK, ""))
+    text = _comment.sub("", text).replace("{{PAGENAME}}", title or "").replace("{{FULLPAGENAME}}", title or "")
+    text = _reference.sub(noted, _switch.sub("", transclude(text, templates or {})))
+    text = _notes.sub(f"\n{MARK}\n", text) if _notes.search(text) or not notes else f"{text}\n{MARK}"
     categories: list[str] = []
     if m := _redirect.match(text.lstrip()):
         out.append(f'<div class="redirectMsg"><p>Redirect to: <a href={quoteattr(_href(m[1]))}>{escape(m[1].strip())}</a></p></div>\n')
         text = text.lstrip()[m.end() :]
-    lists, paragraph, table = "", [], False
+    lists, paragraph, table = "", [], 0
     names = {"*": ("ul", "li"), "#": ("ol", "li"), ";": ("dl", "dt"), ":": ("dl", "dd")}
 
     def end_paragraph() -> None:
@@ -125,13 +156,24 @@ def render(title: str | None, text: str | None, templates: dict[str, str] | None
             end_paragraph()
             n = len(m[1])
             out.append(f"<h{n}>{_inline(m[2], categories, category_names)}</h{n}>\n")
+        elif line.strip() == MARK:
+            end_paragraph()
+            if notes:
+                items = "".join(f'<li id="note-{i}">{_inline(note.strip(), categories, category_names)}</li>\n' for i, note in enumerate(notes, 1))
+                out.append(f'<ol class="references">\n{items}</ol>\n')
+        elif (m := _kept.fullmatch(line.strip())) and kept[int(m[1])].startswith("<pre>"):
+            end_paragraph()
+            out.append(f"{line.strip()}\n")
+        elif line.startswith("----"):
+            end_paragraph()
+            out.append("<hr/>\n")
         elif line.startswith("{|"):
             end_paragraph()
-            out.append("<table>\n<tr>")
-            table = True
+            out.append("<td><table>\n<tr>" if table else "<table>\n<tr>")
+            table += 1
         elif table and line.startswith("|}"):
-            out.append("</tr>\n</table>\n")
-            table = False
+            table -= 1
+            out.append("</tr>\n</table></td>" if table else "</tr>\n</table>\n")
         elif table and line.startswith("|-"):
             out.append("</tr>\n<tr>")
         elif table and line[:1] in ("|", "!"):
@@ -143,11 +185,10 @@ def render(title: str | None, text: str | None, templates: dict[str, str] | None
             end_paragraph()
     end_paragraph()
     set_lists("")
-    if table:
-        out.append("</tr>\n</table>\n")
+    out += ["</tr>\n</table>\n"] * table
     if categories:
         out.append('<div id="catlinks">' + " ".join(f"<a href={quoteattr(_href(c))}>{escape(c)}</a>" for c in dict.fromkeys(categories)) + "</div>\n")
-    return "".join(out)
+    return _kept.sub(lambda m: kept[int(m[1])], "".join(out))
 
 
 def rendered(title: Column, text: Column, templates: Column, category_names=("Category",)) -> Column:

@@ -55,6 +55,22 @@ def test_render():
     assert M.render("T", "{{loop}}", {"Loop": "{{loop}}"}) == "<h1>T</h1>\n" and M.render("T", None) is None
 
 
+def test_render_literal_text_notes_and_nesting():
+    text = (
+        '__NOTOC__ {{PAGENAME}} has<ref>First [[a]]</ref> and<ref name="n">Second</ref> again<ref name="n"/> <nowiki>\'\'\'[[x]]\'\'\' <b></nowiki>\n<pre>\n* no list\n</pre>\n----\n'
+        "{|\n| a\n{|\n| b\n|}\n|-\n| c\n|}\n<references/>\nend"
+    )
+    html = M.render("T", text)
+    for part in (
+        "T has<sup>", '[2]</a></sup> again<sup><a href="#note-2">[2]', "'''[[x]]''' &lt;b&gt;", "<pre>\n* no list\n</pre>\n<hr/>\n",
+        "<table>\n<tr><td>a</td><td><table>\n<tr><td>b</td></tr>\n</table></td></tr>\n<tr><td>c</td></tr>\n</table>\n",
+        '<ol class="references">\n<li id="note-1">First <a href="/wiki/a">a</a></li>\n<li id="note-2">Second</li>\n</ol>\n<p>end</p>',
+    ):
+        assert part in html, part
+    assert "NOTOC" not in html and "\x7f" not in html and M.render("T", "x<ref>y</ref>").endswith('<ol class="references">\n<li id="note-1">y</li>\n</ol>\n')
+    assert M.render("T", "a \x7f0\x7f b") == "<h1>T</h1>\n<p>a 0 b</p>\n"
+
+
 def test_tei():
     html = '<html><head><title>x</title></head><body>bare <b>t</b><h2>H</h2><p>a<br>b <a href="/w">l</a></p><ul><li>i</ul><div id="catlinks">KATZE</div></body></html>'
     tei = M.html_to_tei(html, "Ti<", {"pageID": "7"})
