@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ CONFIDENCE = 0.9
 LONG_WORD = 40
 #: Groups of digits that a window over a long run of numbers has at most (a phone number's parts).
 WINDOW = 6
+#: Texts scanned together.
+GROUP = 256
 #: Tables of patterns, values and rows are sent to all executors up to so many rows; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -192,10 +195,9 @@ SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32(
 INSTANCE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
 
 
-def scanned(docs: DataFrame, carry: Column) -> DataFrame:
-    """``carry`` of every row, ``_row`` (a number of its own), ``_base`` spans and ``_instances``."""
-    text = F.coalesce(F.col("text"), F.lit("")).alias("_text")
-    rows = docs.select(carry.alias(ROW), F.monotonically_increasing_id().alias("_row"), text)
+def scanned(docs: DataFrame, carry: Column, held: bool = False) -> DataFrame:
+    """``carry`` of every row, ``_row`` (a number of its own), ``_base`` spans and ``_instances``; ``held``: the text is a field of ``carry``."""
+    rows = docs.select(carry.alias(ROW), F.monotonically_increasing_id().alias("_row"), *([] if held else [F.col("text").alias("_text")]))
     span = [T.StructField(name, T.IntegerType()) for name in ("kind", "start", "end")]
     instance = [*span, T.StructField("seed", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))]
     schema = T.StructType(
@@ -203,9 +205,10 @@ def scanned(docs: DataFrame, carry: Column) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
             base, instances = [], []
-            for text in batch["_text"].to_pylist():
+            for text in (pc.struct_field(batch[ROW], "text") if held else batch["_text"]).to_pylist():
+                text = text or ""
                 seeds = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in seeds])
                 spans = [*seeds, *loose_spans(text, seeds)]
@@ -216,7 +219,7 @@ def scanned(docs: DataFrame, carry: Column) -> DataFrame:
                         for i, (k, a, b) in enumerate(spans)
                     ]
                 )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, pa.list_(SPAN)), pa.array(instances, pa.list_(INSTANCE))], names=[*batch.schema.names[:-1], "_base", "_instances"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(base, pa.list_(SPAN)), pa.array(instances, pa.list_(INSTANCE))], names=[*batch.schema.names[:2], "_base", "_instances"])
 
     return rows.mapInArrow(run, schema)
 
@@ -259,9 +262,9 @@ def _apart(found: list) -> list[dict]:
     return kept
 
 
-def found_spans(docs: DataFrame, carry: Column, rounds: int = ROUNDS, support: dict[str, int] = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``carry``, ``_base`` and ``_added``: arrays of (kind, start, end), for every row of ``docs``."""
-    rows = materialise(scanned(docs, carry), "pii")
+def found_spans(docs: DataFrame, carry: Column, rounds: int = ROUNDS, support: dict[str, int] = SUPPORT, confidence: float = CONFIDENCE, held: bool = False) -> DataFrame:
+    """``carry``, ``_base`` and ``_added``: arrays of (kind, start, end), for every row of ``docs``; ``held``: the text is a field of ``carry``."""
+    rows = materialise(scanned(docs, carry, held), "pii")
     instances = rows.select("_row", F.inline("_instances"))
     pairs = instances.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
     sure = materialise(scored(pairs, rounds, support, confidence), "pii-found")
@@ -321,7 +324,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if text is None else redacted(text, [(s["kind"], s["start"], s["end"]) for s in found]) for text, found in zip(texts, spans, strict=True)], dtype=object)
 
-    found = found_spans(docs, carried(docs))
+    found = found_spans(docs, carried(docs), held=True)
     spans, text = F.concat("_base", "_added"), F.col(f"{ROW}.text")
     cleaned = found.select(ROW, F.when(F.size(spans) == 0, text).otherwise(replaced(text, spans)).alias("_clean"))
     new = {"text": F.col("_clean")}
