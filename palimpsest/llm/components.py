@@ -20,15 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path. Self links and repeats do no harm.
     """
     stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = _summary(stars)
     for _ in range(MAX_ROUNDS):
-        large = _large_star(stars)
-        small = materialise(_small_star(large), "stars")
-        before, after = _summary(stars), _summary(small)
-        stars = small
+        stars = materialise(_small_star(_large_star(stars)), "stars")
+        after = _summary(stars)
         if before == after:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
+        before = after
     raise RuntimeError("the components did not settle")
 
 
