@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from palimpsest.llm import byte_bpe, exact_dedup, feistel_sharding, html_extraction, language_id, packing, pii, quality_rules, simhash, token_counts
+from palimpsest.llm import byte_bpe, decontamination, exact_dedup, feistel_sharding, filter_audit, html_extraction, language_id, packing, pii, quality_rules, simhash, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,10 +57,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     numbered = (op1_best_fit_packing, op2_exact_dedup, op3_ppm_language_id, op4_byte_bpe, op5_pii, op6_token_counts, op7_simhash_near_dedup, op8_quality_rules, op9_feistel_sharding, op10_html_extraction)
-    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
+    audits = (op11_filter_audit, op12_decontamination, op13_whitening)
+    return {f.__name__: f for f in (*numbered, *audits)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.sql()}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.sql(), "op11_filter_audit": filter_audit.SQL, "op12_decontamination": decontamination.SQL}
