@@ -41,6 +41,24 @@ def tt12_many(spark, d):
     return history.snapshots(revisions(spark, d).select("page_id", "revision_id", "ts"), instants).select("page_id", "revision_id", "at")
 
 
+@query(
+    "jn9_as_of_requests",
+    f"""WITH q AS (SELECT event_id, (user_id * 7 + event_id) % (SELECT max(user_id) + 5 FROM events) AS page_id, ts - INTERVAL 3 HOUR AS "at" FROM events
+      UNION ALL SELECT -event_id, (SELECT min(user_id) FROM events), ts FROM events)
+    SELECT q.event_id AS request, q.page_id, max_by(e.event_id, (e.ts, e.event_id)) AS revision_id, max_by(e.event_type, (e.ts, e.event_id)) AS author, max(e.ts) AS ts
+    FROM q LEFT JOIN events e ON e.user_id = q.page_id AND e.ts <= "at" GROUP BY 1, 2""",
+)
+def jn9(spark, d):
+    """Every event asks about a page three hours before, and about the first page at its own time; that page has half of all requests."""
+    events = table(spark, d, "events")
+    bounds = events.agg((F.max("user_id") + 5).alias("n"), F.min("user_id").alias("first"))  # one row
+    asked = events.join(F.broadcast(bounds), F.lit(True)).select("event_id", "user_id", "ts", "n", "first")
+    spread = asked.select(F.col("event_id").alias("request"), ((F.col("user_id") * 7 + F.col("event_id")) % F.col("n")).alias("page_id"), (F.col("ts") - F.expr("INTERVAL 3 HOURS")).alias("at"))
+    hot = asked.select((-F.col("event_id")).alias("request"), F.col("first").alias("page_id"), F.col("ts").alias("at"))
+    found = history.revision_as_of(spread.unionByName(hot), revisions(spark, d), columns=("revision_id", "author", "ts"))
+    return found.select("request", "page_id", "revision_id", "author", "ts")
+
+
 @query("tt2_first_revision", "SELECT user_id AS page_id, min_by(event_id, (ts, event_id)) AS revision_id FROM events GROUP BY user_id")
 def tt2(spark, d):
     return history.first_revision(revisions(spark, d).select("page_id", "revision_id", "ts")).select("page_id", "revision_id")
