@@ -1,12 +1,19 @@
 """MediaWiki XML dumps as tables (SRC1-8, SRC16 of the survey).
 
-Spark's own XML source cuts the file at ``<page>``; gzip and bzip2 files are read as they
-are. A 7z archive has to be unpacked first. Everything after the scan is projections,
-one explode, and removal of repeats by key.
+A dump is read as text that is cut behind every ``</revision>``, so a row is one revision, however long the
+history of its page, and Spark splits plain and bzip2 files wherever it likes; gzip files are read whole by one task each. A 7z archive
+has to be unpacked first. The head of a page (title, namespace, id) stands before its first revision only. Each task
+carries the last head on to the revisions behind it; those at the beginning of a split get the last head of
+the splits before it in their file, of which there is one a split. Everything after that is projections
+and removal of repeats by key.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +31,7 @@ _revision = T.StructType(
         T.StructField("text", _text), T.StructField("sha1", T.StringType()),
     ]
 )
-PAGE_ELEMENT = T.StructType([T.StructField("title", T.StringType()), T.StructField("ns", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("revision", T.ArrayType(_revision))])
+PAGE_HEAD = T.StructType([T.StructField("title", T.StringType()), T.StructField("ns", T.IntegerType()), T.StructField("id", T.LongType())])
 _namespace = T.StructType([T.StructField("_key", T.IntegerType()), T.StructField("_case", T.StringType()), T.StructField("_VALUE", T.StringType())])
 SITE_ELEMENT = T.StructType(
     [
@@ -39,6 +46,62 @@ def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> Dat
     return spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
 
 
+REVISION_END = "</revision>"
+#: The head of a page: what stands between its tag and its first revision or its end.
+HEAD = re.compile(r"<page>(.*?)(?=<revision>|</page>|\Z)", re.DOTALL)
+_LOCATED = "file string, split long, place long, heads array<string>, head string, value string"
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``file, split, place, heads, head, value``: pieces of the dump up to each end of a revision, in order of ``place`` within their split.
+
+    ``heads`` are those of the pages that begin in the piece; ``head`` is that of the page of its revision, null where it stands in an earlier split.
+    """
+    lines = spark.read.option("lineSep", REVISION_END).text(path)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place, head = None, 0, None
+        for batch in batches:
+            places, heads, own = [], [], []
+            for file, split, value in zip(batch["file"].to_pylist(), batch["split"].to_pylist(), batch["value"], strict=True):
+                if (file, split) != at:
+                    at, place, head = (file, split), 0, None
+                text = value.as_py()
+                found = HEAD.findall(text) if "<page>" in text else []
+                head = found[-1] if found else head
+                places.append(place)
+                heads.append(found)
+                own.append(head)
+                place += 1
+            yield pa.RecordBatch.from_arrays([batch["file"], batch["split"], pa.array(places, pa.int64()), pa.array(heads, pa.list_(pa.string())), pa.array(own, pa.string()), batch["value"]], names=["file", "split", "place", "heads", "head", "value"])
+
+    return placed.mapInArrow(run, _LOCATED)
+
+
+def _headed(records: DataFrame) -> DataFrame:
+    """``records`` with the heads that their splits inherit: of a file's splits, in order, the last that has one."""
+    tails = records.groupBy("file", "split").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("_tail"))  # one row a split
+    inherited = tails.select("file", "split", F.last("_tail", ignorenulls=True).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("_inherited")).where("_inherited IS NOT NULL")
+    known, lacking = records.where("head IS NOT NULL"), records.where("head IS NULL")
+    return known.unionByName(lacking.join(inherited, ["file", "split"]).withColumn("head", F.col("_inherited")).drop("_inherited"))
+
+
+def _element(name: str, inside: Column, schema: T.StructType) -> Column:
+    return F.from_xml(F.concat(F.lit(f"<{name}>"), inside, F.lit(f"</{name}>")), schema.simpleString(), {"ignoreSurroundingSpaces": "false", "rowTag": name})
+
+
+def _pages(records: DataFrame) -> DataFrame:
+    """``id, ns, title`` of every ``<page>``, those without revisions included."""
+    return records.select(F.explode("heads").alias("head")).select(_element("page", F.col("head"), PAGE_HEAD).alias("p")).select("p.*")
+
+
+def _revisions(records: DataFrame) -> DataFrame:
+    """``id, ns, title`` of the page and ``value``, the text of the element, of every revision."""
+    complete = _headed(records.where(F.col("value").contains("<revision>")))
+    return complete.select(_element("page", F.col("head"), PAGE_HEAD).alias("p"), F.substr("value", F.locate("<revision>", F.col("value")) + len("<revision>")).alias("value")).select("p.*", "value")
+
+
 def in_namespaces(ids=()) -> Column:
     """SRC7: an import filter; no ids accepts all."""
     return F.col("ns").isin(*ids) if ids else F.lit(True)
@@ -47,18 +110,18 @@ def in_namespaces(ids=()) -> Column:
 def read_dump(spark: SparkSession, path: str, accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> dict[str, DataFrame]:
     """The tables ``wiki, namespace, page, revision, contributor`` of one wiki's dump files.
 
-    ``accept`` is a condition on ``id, ns, title`` that is tested before texts are unnested (SRC6).
+    ``accept`` is a condition on ``id, ns, title`` that is tested before revisions are parsed (SRC6).
     A page may be continued in a later element; repeated revisions count once, as does
     a contributor, by the name of its first revision. ``aliases`` are further namespace
     names by id, which dumps lack. ``staged`` parses the dump once into Parquet in the shared
-    folder, from which the tables then read only their columns; otherwise each table
-    that is used scans the XML.
+    folder, from which the tables then read; otherwise each table that is used scans the XML.
     """
-    site, pages = _read(spark, path, "siteinfo", SITE_ELEMENT), _read(spark, path, "page", PAGE_ELEMENT)
-    if accept is not None:
-        pages = pages.where(accept)
+    site, records = _read(spark, path, "siteinfo", SITE_ELEMENT), _records(spark, path)
     if staged:
-        site, pages = materialise(site, "site"), materialise(pages, "dump")
+        site, records = materialise(site, "site"), materialise(records, "dump")
+    pages, held = _pages(records), _revisions(records)
+    if accept is not None:
+        pages, held = pages.where(accept), held.where(accept)
     wiki = site.select(
         F.col("dbname").alias("db_name"), F.col("sitename").alias("site_name"), "base", "generator",
         F.when(F.col("base").contains("/wiki/"), F.concat(F.substring_index("base", "/wiki/", 1), F.lit("/w/api.php")))
@@ -78,7 +141,7 @@ def read_dump(spark: SparkSession, path: str, accept: Column | None = None, alia
         .select("db_name", "page_id", "ns_id", normal_title(F.col("title"), F.col("_case")).alias("title"))
     )
 
-    rows = pages.select(F.col("id").alias("page_id"), F.explode("revision").alias("r"))
+    rows = held.select(F.col("id").alias("page_id"), _element("revision", F.col("value"), _revision).alias("r")).where("r.id IS NOT NULL")  # a file may be cut off
     author = F.col("r.contributor")
     revision = rows.select(
         F.col("r.id").alias("revision_id"), "page_id", F.nullif(F.col("r.parentid"), F.lit(-1)).alias("parent_id"),
