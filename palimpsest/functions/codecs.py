@@ -4,6 +4,9 @@ Plain codecs are Arrow UDFs on whole columns. A delta chain stores the first of
 every 50 revisions of a page, and its last, in full, and the others as edits of the
 revision before; chains are cut at the full ones. Sequences are made from keys without texts, and
 texts meet by revision or by chain, so that a page with a huge history is coded in pieces by many tasks.
+
+A stored revision names its ``chain``, by the id of the full revision it begins with, and its ``place`` in it, from 0. So a text
+needs only the rows of its chain up to its own place.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import bz2
 import gzip
 import json
 import lzma
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -24,8 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.operators.history import ORDER, PAGE_KEY, chronology, crowded, sequenced
-from palimpsest.operators.numbering import numbered
+from palimpsest.operators.history import ORDER, PAGE_KEY, at_of, chronology, content_hash, crowded, distinct_revisions, sequenced
 from palimpsest.schemas import KEY_FRAME_INTERVAL
 
 LZMA_PRESET = 6
@@ -37,8 +40,11 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "LZMA2": (lambda x: lzma.compress(x, preset=LZMA_PRESET), lzma.decompress),
 }
 DELTA = "DIFFBZIP2"
-#: Texts longer than this are compared by lines only.
-FINE_LENGTH = 2_000
+#: Texts up to this length are compared by character at once, longer ones piece by piece, and then gaps up to FINE_GAP.
+FINE_LENGTH, FINE_GAP = 2_000, 200
+#: Pieces that a text is cut into, coarse to fine: lines, words, and stretches that end by their content, for scripts without spaces.
+CUTS = (re.compile(r"[^\n]*\n|[^\n]+"), re.compile(r"\S*\s+|\S+"), re.compile(r"[^aeo、。的のは이]{0,63}.", re.DOTALL))
+STORED = ("codec", "data", "base_id", "chain", "place")
 
 
 def packed(text: str, codec: str) -> bytes:
@@ -78,13 +84,14 @@ def edits(old: str, new: str) -> bytes:
     """What turns ``old`` into ``new``: ranges of ``old`` to copy, and strings to insert.
 
     What both begin and end with is copied; between, short texts are compared by character, others by those lines that
-    occur once in each, so that many equal lines cost no time.
+    occur once in each, so that many equal lines cost no time; what differs between lines is compared by words in the same way,
+    then by shorter stretches, and what is short then by character. So a changed word in a long line costs a word.
     """
     head = _common(old, new)
     tail = _common(old[head:][::-1], new[head:][::-1])
     a, b = old[head : len(old) - tail], new[head : len(new) - tail]
     steps: list = [[0, head]] if head else []
-    matched = _characters(a, b) if max(len(a), len(b)) <= FINE_LENGTH else _lines(a, b)
+    matched = _characters(a, b) if max(len(a), len(b)) <= FINE_LENGTH else _matched(a, b, CUTS)
     at = 0
     for start, place, length in [*matched, (len(a), len(b), 0)]:
         if at < place:
@@ -110,9 +117,25 @@ def _characters(a: str, b: str) -> list[tuple[int, int, int]]:
     return [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
 
 
-def _lines(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Common stretches (place in ``a``, place in ``b``, length) around lines that each has once, in the order of both."""
-    left, right = a.splitlines(True), b.splitlines(True)
+def _matched(a: str, b: str, cuts: tuple[re.Pattern, ...]) -> list[tuple[int, int, int]]:
+    """Common stretches, by the coarsest pieces first; what lies between is matched by finer ones."""
+    if not a or not b:
+        return []
+    if max(len(a), len(b)) <= FINE_GAP:
+        return _characters(a, b)
+    if not cuts:
+        return []
+    found, at, to = [], 0, 0
+    for start, place, length in [*_pieces(cuts[0].findall(a), cuts[0].findall(b)), (len(a), len(b), 0)]:
+        found += [(at + i, to + j, n) for i, j, n in _matched(a[at:start], b[to:place], cuts[1:])]
+        if length:
+            found.append((start, place, length))
+        at, to = start + length, place + length
+    return found
+
+
+def _pieces(left: list[str], right: list[str]) -> list[tuple[int, int, int]]:
+    """Common stretches (place in the first text, place in the second, length) around pieces that each has once, in the order of both."""
     once_left, once_right = Counter(left), Counter(right)
     where = {line: i for i, line in enumerate(left) if once_left[line] == 1}
     pairs = [(where[line], j) for j, line in enumerate(right) if once_right[line] == 1 and line in where]
@@ -154,47 +177,48 @@ def edited(old: str, delta: bytes) -> str:
     return "".join(x if isinstance(x, str) else old[x[0] : x[1]] for x in json.loads(bz2.decompress(delta)))
 
 
-def sequence_columns(rows: DataFrame, key, is_start: Column) -> DataFrame:
-    """``key, revision_id, rn, cnt, previous_id, previous_start, chain`` of rows without texts.
+def frames(revisions: DataFrame, text: str, key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL, last_full: bool = True) -> DataFrame:
+    """``key, _at, base, full, chain, place`` of every revision, once: ``base`` is the one before, which a delta is against, else null.
 
-    ``chain`` tells the revisions of a page apart by the last ``is_start`` up to each; those before the first have 0.
+    Full are the first of every ``interval``, the last if ``last_full`` says so, and those behind one without a text. Rows have no texts; a chain
+    is within an interval, so a page's intervals are tasks of their own.
     """
-    narrow = rows.select(*key, *ORDER, is_start.alias("start"))
-    if crowded(narrow, key):
-        placed = sequenced(narrow, key, ("start",))
-        starts = numbered(placed.where("start").select(*key, "rn", "cnt"), [*key, "rn"], "_k")
-        after = starts.select(*key, (F.col("_k") - 1).alias("_k"), F.col("rn").alias("_to"))
-        spans = starts.join(after, [*key, "_k"], "left").select(*key, F.col("rn").alias("chain"), F.explode(F.sequence("rn", F.coalesce("_to", F.col("cnt") + 1) - 1)).alias("rn"))
-        return placed.join(spans, [*key, "rn"], "left").select(
-            *key, "revision_id", "rn", "cnt", F.col("previous.revision_id").alias("previous_id"), F.col("previous.start").alias("previous_start"), F.coalesce("chain", F.lit(0)).alias("chain")
+    start = F.col(text).isNull().alias("start")
+    if crowded(revisions, key):
+        narrow = sequenced(revisions.withColumn("start", start), key, ("start",))
+        previous = F.struct(*[F.col(f"previous.{c}") for c in ORDER])
+        placed = narrow.select(*key, *ORDER, "rn", "cnt", F.when(F.col("previous").isNotNull(), previous).alias("previous"), F.col("previous.start").alias("no_base"))
+    else:
+        order = chronology(key)
+        narrow = revisions.groupBy(*key, *ORDER).agg(F.min_by(start, content_hash(revisions, key)).alias("start"))
+        placed = narrow.select(
+            *key, *ORDER, F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(W.partitionBy(*key)).alias("cnt"), F.lag(at_of()).over(order).alias("previous"), F.lag("start").over(order).alias("no_base")
         )
-    order = chronology(key)
-    return narrow.select(
-        *key, "revision_id", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(W.partitionBy(*key)).alias("cnt"), F.lag("revision_id").over(order).alias("previous_id"),
-        F.lag("start").over(order).alias("previous_start"), F.sum(F.col("start").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("chain"),
-    )
+    full = ((F.col("rn") - 1) % interval == 0) | (F.lit(last_full) & (F.col("rn") == F.col("cnt"))) | F.coalesce("no_base", F.lit(True))
+    block = W.partitionBy(*key, F.floor((F.col("rn") - 1) / interval)).orderBy("rn")
+    begun = F.max(F.when(F.col("full"), F.struct("rn", "revision_id"))).over(block)
+    found = placed.withColumn("full", full).withColumn("_begun", begun)
+    return found.select(*key, at_of().alias("_at"), F.when(~F.col("full"), F.col("previous")).alias("base"), "full", F.col("_begun.revision_id").alias("chain"), (F.col("rn") - F.col("_begun.rn")).cast("int").alias("place"))
 
 
 def compress_history(revisions: DataFrame, text: str = "text", key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL, last_full: bool = True) -> DataFrame:
-    """CMP5: the revisions with ``codec``, ``data`` and ``base_id`` (what a delta is against) in place of the text.
+    """CMP5: the revisions, each once, with ``codec``, ``data``, ``base_id`` (what a delta is against), ``chain`` and ``place`` in place of the text.
 
     Only keys are put in sequence; the text that a delta is against joins by its revision. Revisions without text have
     neither codec nor data, and the one behind them is stored in full.
     """
-    places = sequence_columns(revisions, key, F.col(text).isNull()).withColumnRenamed("previous_start", "_no_base")
-    full = ((F.col("rn") - 1) % interval == 0) | (F.lit(last_full) & (F.col("rn") == F.col("cnt"))) | F.coalesce("_no_base", F.lit(True))
-    frames = places.select(*key, "revision_id", full.alias("_full"), F.when(~full, F.col("previous_id")).alias("base_id"))
-    rows = revisions.join(frames, [*key, "revision_id"])
-    bases = revisions.select(*key, F.col("revision_id").alias("base_id"), F.col(text).alias("_old"))
-    paired = rows.where("base_id IS NOT NULL").join(bases, [*key, "base_id"]).unionByName(rows.where("base_id IS NULL").withColumn("_old", F.lit(None).cast("string")))
+    once = distinct_revisions(revisions, key)
+    rows = once.join(frames(revisions, text, key, interval, last_full), [*key, "_at"])
+    bases = once.select(*key, F.col("_at").alias("base"), F.col(text).alias("_old"))
+    paired = rows.where("base IS NOT NULL").join(bases, [*key, "base"]).unionByName(rows.where("base IS NULL").withColumn("_old", F.lit(None).cast("string")))
 
     @F.pandas_udf(T.BinaryType())
     def stored(full: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([None if n is None else packed(n, "BZIP2") if f else edits(o, n) for f, o, n in zip(full, old, new, strict=True)], dtype=object)
 
-    codec = F.when(F.col(text).isNull(), F.lit(None)).when(F.col("_full"), "BZIP2").otherwise(DELTA)
+    codec = F.when(F.col(text).isNull(), F.lit(None)).when(F.col("full"), "BZIP2").otherwise(DELTA)
     kept = [c for c in revisions.columns if c != text]
-    return paired.select(*kept, codec.alias("codec"), stored("_full", "_old", text).alias("data"), F.when(codec == DELTA, F.col("base_id")).alias("base_id"))
+    return paired.select(*kept, codec.alias("codec"), stored("full", "_old", text).alias("data"), F.when(codec == DELTA, F.col("base.revision_id")).alias("base_id"), "chain", "place")
 
 
 def compress_rendered(revisions: DataFrame, key=PAGE_KEY, interval: int = KEY_FRAME_INTERVAL) -> DataFrame:
@@ -208,18 +232,16 @@ def compress_rendered(revisions: DataFrame, key=PAGE_KEY, interval: int = KEY_FR
 def decode_history(stored: DataFrame, text: str = "text", key=PAGE_KEY) -> DataFrame:
     """CMP6: the revisions with their text; ``text_error`` is true where a delta has lost its base.
 
-    A chain starts at each revision that is not a delta; chains are decoded one by one.
+    Chains are decoded one by one. Parts of a chain will do, if they begin with its first row.
     """
-    chains = sequence_columns(stored, key, F.coalesce(F.col("codec") != DELTA, F.lit(True))).select(*key, "revision_id", F.col("chain").alias("_chain"))
-    rows = stored.join(chains, [*key, "revision_id"])
-    names = [c for c in stored.columns if c not in ("codec", "data", "base_id")]
+    names = [c for c in stored.columns if c not in STORED]
     schema = T.StructType([*[stored.schema[c] for c in names], T.StructField(text, T.StringType()), T.StructField("text_error", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, old, old_id = None, None, None
         for batch in batches:
             texts, errors = [], []
-            for *at, own_id, codec, data, base_id in batch[[*key, "_chain", "revision_id", "codec", "data", "base_id"]].itertuples(index=False):
+            for *at, own_id, codec, data, base_id in batch[[*key, "chain", "revision_id", "codec", "data", "base_id"]].itertuples(index=False):
                 if at != chain:
                     chain, old = at, None
                 lost = codec == DELTA and (old is None or base_id != old_id)
@@ -231,5 +253,4 @@ def decode_history(stored: DataFrame, text: str = "text", key=PAGE_KEY) -> DataF
             out[text], out["text_error"] = texts, errors
             yield out[[f.name for f in schema.fields]]
 
-    whole = rows.repartition(*key, "_chain").sortWithinPartitions(*key, "_chain", *ORDER)
-    return whole.mapInPandas(run, schema)
+    return stored.repartition(*key, "chain").sortWithinPartitions(*key, "chain", "place").mapInPandas(run, schema)

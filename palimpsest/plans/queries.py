@@ -9,7 +9,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators import evaluation, graph, history, links, lookups, numbering
 from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, CATEGORY_LINKS_SQL, article_links, category_links, revisions, table, turns
 from palimpsest.plans.registry import query
-from palimpsest.sources import exports
+from palimpsest.sources import delta_store, exports
+from palimpsest.storage import scratch
 
 AT = "2024-01-15 00:00:00"
 MANY = ("2024-01-05 00:00:00", "2024-01-15 00:00:00", "2024-01-25 12:00:00")
@@ -364,6 +365,32 @@ def cmp5(spark, d):
     return codecs.decode_history(stored).select("page_id", "revision_id", "text", "text_error")
 
 
+@query("cmp6_chosen_revisions", "SELECT conv_id AS page_id, turn AS revision_id, text, false AS text_error FROM conversations WHERE (conv_id + turn) % 3 = 0")
+def cmp6(spark, d):
+    """A stored history of which some revisions of every page are read."""
+    rows, folder = turns(spark, d), scratch(spark, "delta-store")
+    delta_store.write(rows, folder, interval=4)
+    wanted = rows.where((F.col("page_id") + F.col("revision_id")) % 3 == 0)
+    return delta_store.read(spark, folder, wanted).select("page_id", "revision_id", "text", "text_error")
+
+
+@query(
+    "cmp5_delta_sizes",
+    """SELECT conv_id AS page_id, count(*) FILTER (rn % 4 <> 1 AND rn < cnt) AS deltas, count(*) FILTER (rn % 4 = 1 OR rn = cnt) AS full_texts, true AS deltas_small
+    FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS cnt FROM conversations) GROUP BY 1""",
+)
+def cmp5_sizes(spark, d):
+    """Revisions that each add a turn to a long line: how many are deltas, and that each is smaller than its turn and a margin."""
+    rows = turns(spark, d)
+    line = F.repeat(F.concat(F.lit("common words of page "), F.col("page_id"), F.lit(" ")), 200)
+    grown = rows.withColumn("size", F.octet_length("text")).withColumn("text", F.concat(line, F.col("text"), F.lit(" "), line))
+    stored = codecs.compress_history(grown, interval=4)
+    delta = F.col("codec") == codecs.DELTA
+    before = F.coalesce(F.max("size").over(history.chronology().rowsBetween(-1, 0)), F.lit(0))
+    sized = stored.withColumn("most", before)
+    return sized.groupBy("page_id").agg(F.count_if(delta).alias("deltas"), F.count_if(~delta).alias("full_texts"), F.coalesce(F.every(F.when(delta, F.octet_length("data") < 2 * F.col("most") + 400)), F.lit(True)).alias("deltas_small"))
+
+
 @query("ag8_compression_statistics")
 def ag8(spark, d):
     rows = turns(spark, d)
