@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import markup
 from palimpsest.functions.text import xml_escape
 from palimpsest.operators import evaluation, history, links, rendering
-from palimpsest.plans.adapters import table
+from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, article_links, table
 from palimpsest.plans.navigation import CASE_NS, ITEMS_SQL, distinct_items, item_revisions, namespaces, part_namespace
 from palimpsest.plans.registry import query
 from palimpsest.sources import exports, sql_dump, xml_dump
@@ -328,6 +328,31 @@ def snk9(spark, d):
     return catalog.read("page").groupBy("ns_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_id").alias("ids"))
 
 
+LINKS_READ = "1996-03-01 00:00:00"
+
+
+@query("snk9_pruned_reads", f"SELECT DISTINCT * FROM ({ARTICLE_LINKS_SQL}) WHERE ts = TIMESTAMP '{LINKS_READ}' AND source_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)")
+def snk9_pruned(spark, d):
+    """Links in a catalog, of which one layer is read for chosen pages: folders of other layers and buckets stay closed."""
+    catalog = Catalog(spark, scratch(spark, "catalog"), buckets=4)
+    catalog.add("link", article_links(spark, d).withColumn("db_name", F.lit("orders")))
+    wanted = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("page_id"))
+    return links.links_out(catalog.read("link", layer=LINKS_READ), wanted, LINKS_READ).drop("db_name").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    "src13_repeated_usage",
+    "SELECT l_partkey AS page_id, 'Q' || l_suppkey AS entity_id, l_returnflag AS aspect, count(*) AS n FROM lineitem GROUP BY ALL",
+)
+def src13_repeated(spark, d):
+    """Entity usage, whose rows may repeat, imported in halves that overlap and then whole: every row as often as the table has it."""
+    catalog = Catalog(spark, scratch(spark, "catalog"))
+    rows = table(spark, d, "lineitem").select(F.lit("parts").alias("db_name"), F.col("l_partkey").alias("page_id"), F.concat(F.lit("Q"), "l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("aspect"), "l_linenumber")
+    for part in (rows.where("l_linenumber < 5"), rows.where("l_linenumber > 2"), rows, rows):
+        catalog.add("entity_usage", part.drop("l_linenumber"))
+    return catalog.read("entity_usage").groupBy("page_id", "entity_id", "aspect").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ag8_statistics", "SELECT round(100.0 * sum(l_quantity) / sum(l_extendedprice), 6) AS ratio_percent, round(avg(CASE WHEN l_linenumber % 4 = 0 THEN 1.0 ELSE 0.0 END), 6) AS diff_share FROM lineitem")
 def ag8_statistics(spark, d):
     codec = F.when(F.col("l_linenumber") % 4 == 0, "DIFFBZIP2").otherwise("BZIP2")

@@ -41,8 +41,15 @@ TABLES = {
     "wiki": WIKI, "namespace": NAMESPACE, "page": PAGE, "revision": REVISION, "contributor": CONTRIBUTOR,
     "page_tier": TIER, "link": LINK, "entity_usage": ENTITY_USAGE,
 }
+#: Rows with equal keys are one; a table without a key may hold equal rows.
 KEYS = {
     "wiki": ["db_name"], "namespace": ["db_name", "name"], "page": ["db_name", "page_id"], "revision": ["db_name", "revision_id"],
     "contributor": ["db_name", "contributor_id"], "page_tier": ["db_name", "page_id", "ts"],
     "link": ["db_name", "source_id", "target_id", "link_type", "ts"], "entity_usage": None,
 }
+#: What the files of a table are split and sorted by; but for revisions it is part of the key.
+CLUSTERS = {
+    "wiki": ["db_name"], "namespace": ["name"], "page": ["page_id"], "revision": ["page_id"], "contributor": ["contributor_id"],
+    "page_tier": ["page_id"], "link": ["source_id"], "entity_usage": ["page_id"],
+}
+LAYERED = ("page_tier", "link")

@@ -41,7 +41,7 @@ SITE_ELEMENT = T.StructType(
 )
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], tag: str, schema: T.StructType) -> DataFrame:
     # White space in texts counts, so it isn't trimmed.
     return spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
 
@@ -52,7 +52,7 @@ HEAD = re.compile(r"<page>(.*?)(?=<revision>|</page>|\Z)", re.DOTALL)
 _LOCATED = "file string, split long, place long, heads array<string>, head string, value string"
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, split, place, heads, head, value``: pieces of the dump up to each end of a revision, in order of ``place`` within their split.
 
     ``heads`` are those of the pages that begin in the piece; ``head`` is that of the page of its revision, null where it stands in an earlier split.
@@ -102,12 +102,21 @@ def _revisions(records: DataFrame) -> DataFrame:
     return complete.select(_element("page", F.col("head"), PAGE_HEAD).alias("p"), F.substr("value", F.locate("<revision>", F.col("value")) + len("<revision>")).alias("value")).select("p.*", "value")
 
 
+def files_by_wiki(spark: SparkSession, paths: list[str]) -> dict[str | None, list[str]]:
+    """The dump files of each wiki, by what their heads say; one row a file comes to the driver."""
+    heads = _read(spark, paths, "siteinfo", SITE_ELEMENT).select(F.col("_metadata.file_path").alias("file"), F.col("dbname")) if paths else None
+    found: dict[str | None, list[str]] = {}
+    for r in heads.distinct().collect() if heads is not None else []:
+        found.setdefault(r["dbname"], []).append(r["file"])
+    return found
+
+
 def in_namespaces(ids=()) -> Column:
     """SRC7: an import filter; no ids accepts all."""
     return F.col("ns").isin(*ids) if ids else F.lit(True)
 
 
-def read_dump(spark: SparkSession, path: str, accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> dict[str, DataFrame]:
+def read_dump(spark: SparkSession, path: str | list[str], accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> dict[str, DataFrame]:
     """The tables ``wiki, namespace, page, revision, contributor`` of one wiki's dump files.
 
     ``accept`` is a condition on ``id, ns, title`` that is tested before revisions are parsed (SRC6).

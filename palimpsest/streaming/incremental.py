@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.functions.codecs import compress
 from palimpsest.schemas import TABLES
+from palimpsest.sources import xml_dump
 from palimpsest.sources.catalog import Catalog
 
 Listener = Callable[[str, DataFrame], None]
@@ -38,12 +39,13 @@ def import_files(catalog: Catalog, name: str, folder: str, checkpoint: str, list
 
 
 def import_dumps(catalog: Catalog, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Add whole XML dump files as they arrive, in any order; a wiki may come in many files."""
+    """Add whole XML dump files as they arrive, in any order; a wiki may come in many files, of which a batch's are read together."""
     files = catalog.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
 
     def add(batch: DataFrame, _: int) -> None:
-        for r in batch.distinct().toLocalIterator():  # names of the files of one batch
-            catalog.import_dump(r["path"])
+        paths = [r["path"] for r in batch.distinct().collect()]  # names of the files of one batch
+        for own in xml_dump.files_by_wiki(catalog.spark, paths).values():
+            catalog.import_dump(own)
 
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
