@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import codecs, markup
 from palimpsest.functions import text as X
-from palimpsest.operators import evaluation, graph, history, links, lookups, numbering
+from palimpsest.operators import evaluation, graph, history, layers, links, lookups, numbering
 from palimpsest.plans.adapters import ARTICLE_LINKS_SQL, CATEGORY_LINKS_SQL, article_links, category_links, revisions, table, turns
 from palimpsest.plans.registry import query
 from palimpsest.sources import delta_store, exports
-from palimpsest.storage import scratch
+from palimpsest.storage import materialise, scratch
 
 AT = "2024-01-15 00:00:00"
 MANY = ("2024-01-05 00:00:00", "2024-01-15 00:00:00", "2024-01-25 12:00:00")
@@ -216,6 +216,51 @@ def ag4(spark, d):
     return links.layers_of_edges(article_links(spark, d)).select("source_id", "target_id", "link_type", F.size("layers").cast("long").alias("n_layers"), F.element_at("layers", 1).alias("first_layer"))
 
 
+#: Suppliers' links to part sizes, by month: few edges, each in many layers.
+DENSE_SQL = """SELECT l_suppkey AS source_id, p_size::BIGINT AS target_id, CASE l_returnflag WHEN 'A' THEN 'REDIRECT' WHEN 'R' THEN 'CATEGORIZATION' ELSE 'ARTICLE' END AS link_type,
+      date_trunc('month', l_shipdate)::TIMESTAMP AS ts FROM lineitem JOIN part ON p_partkey = l_partkey"""
+
+
+def _dense_links(spark, d):
+    sizes = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("target_id"))
+    rows = table(spark, d, "lineitem").join(sizes, "l_partkey")
+    kind = F.when(F.col("l_returnflag") == "A", "REDIRECT").when(F.col("l_returnflag") == "R", "CATEGORIZATION").otherwise("ARTICLE")
+    return rows.select(F.col("l_suppkey").alias("source_id"), "target_id", kind.alias("link_type"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts"))
+
+
+RUNS_SQL = f"""WITH l AS (SELECT DISTINCT * FROM ({DENSE_SQL})), n AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k FROM (SELECT DISTINCT ts FROM l)),
+    g AS (SELECT l.*, k, k - row_number() OVER (PARTITION BY source_id, target_id, link_type ORDER BY k) AS island FROM l JOIN n USING (ts))
+    SELECT source_id, target_id, link_type, min(ts) AS first_layer, max(ts) AS last_layer, count(*) AS n_layers FROM g GROUP BY source_id, target_id, link_type, island"""
+
+
+@query("ag4_layer_runs", RUNS_SQL)
+def ag4_runs(spark, d):
+    return layers.runs(_dense_links(spark, d))
+
+
+@query("gr4_merged_runs", RUNS_SQL)
+def gr4_runs(spark, d):
+    """Runs over every third layer, into which the other layers are merged in two imports."""
+    rows = _dense_links(spark, d)
+    part = lambda k: rows.where(F.month("ts") % 3 == k)
+    known, stored = layers.layer_list(part(1)), layers.runs(part(1))
+    for k in (0, 2):
+        stored = materialise(layers.merged_runs(stored, known, part(k)), "runs")
+        known = known.unionByName(layers.layer_list(part(k)))
+    return stored
+
+
+@query("jn7_layer_of_runs", f"SELECT DISTINCT * FROM ({DENSE_SQL}) WHERE ts = TIMESTAMP '{LAYER}' AND link_type = 'ARTICLE'")
+def jn7_runs(spark, d):
+    return layers.edges_at(layers.runs(_dense_links(spark, d)), LAYER, ("ARTICLE",))
+
+
+@query("ag6_types_of_runs", f"SELECT DISTINCT link_type, ts FROM ({DENSE_SQL})")
+def ag6_runs(spark, d):
+    rows = _dense_links(spark, d)
+    return layers.layer_types(layers.runs(rows), layers.layer_list(rows))
+
+
 @query("ag5_layers_sorted", f"SELECT DISTINCT ts FROM ({ARTICLE_LINKS_SQL})")
 def ag5(spark, d):
     return links.layers(article_links(spark, d)).select("ts").distinct().orderBy("ts")
