@@ -12,8 +12,10 @@ pages each of its contents and of its styles occurs:
 With m pages, a content importance is one less the mean of log_m(pages) over the occurrences of contents, a
 style importance is the entropy of the styles to base m, and a home's importance mixes both by its number of children.
 What tags, roles and class names say (menu, footer, outside the article ...) is a prior; the more pages a host has,
-the less it counts beside the tree. What stays below ``THRESHOLD`` goes. Beside that, whole paths whose very texts
-the pages repeat go, and elements named as adverts or comments do, as their texts differ like the article's.
+the less it counts beside the tree. What stays below ``THRESHOLD`` goes; for elements named as adverts or comments, whose texts
+differ like the article's, below ``NAMED``. Beside that, whole paths whose very texts the pages repeat go, but for homes that also hold
+texts of their own and for articles; where they are nearly all that is left, the pages are versions of each other and nothing goes for that.
+Only for hosts without a tree, of a single page, does markup decide.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from palimpsest.storage import materialise
 #: Least importance that stays: of a home with its prior, and of a path's exact texts.
 THRESHOLD = 0.4
 REPEATED = 0.15
+#: The same for homes named as adverts or comments; what is said of others if nothing is; the share of a page's text that may go as repeated.
+NAMED = 0.7
+NEUTRAL = 0.6
+MOST_REPEATED = 0.8
 #: What the tree counts beside the prior with very many pages, and the further pages with which it counts half of that.
 TRUST = 0.85
 HALFWAY = 3
@@ -63,6 +69,8 @@ TEMPLATE_NAMES = frozenset(
     "newsletter subscribe subscription signup login register search pagination pager widget toolbar topbar footer masthead skip copyright legal disclaimer "
     "submenu dropdown sidenav aside".split()
 )
+#: Names that headings and chapters of an article have as well: on a section or a text element within one they say nothing.
+TOPIC_NAMES = frozenset("discussion feedback responses reactions respond reply replies legal disclaimer copyright notices related recommended recommendations".split())
 #: Names that say what an element is even as the first part of a longer one (``ad-slot``, but not ``legal-history``).
 PLAIN_NAMES = frozenset("ad ads advert adverts advertisement adsense comment comments disqus cookie cookies gdpr sidebar navbar nav newsletter sponsored".split())
 DEAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -107,7 +115,10 @@ def _said(label: str) -> set[str]:
 def _opened(tag: str, attributes: str, parent: _Element, depth: int, number: int) -> _Element:
     values = {k.lower(): (a or b or c).lower() for k, a, b, c in _attribute(attributes)} if attributes else {}
     label = f"{values.get('class', '')} {values.get('id', '')}".strip()
-    said = _said(label)
+    # The id of a text element is a place to jump to.
+    said = _said(values.get("class", "") if tag in TEXT_TAGS else label)
+    if parent.article and (tag == "section" or tag in TEXT_TAGS or "legal" in said):
+        said -= TOPIC_NAMES
     article = tag in ARTICLE_TAGS or values.get("role") == "main"
     named, dead = parent.named, parent.dead or tag in DEAD_TAGS or values.get("role") in DEAD_ROLES or (tag == "header" and not parent.article)
     if not (article or tag in PAGE_TAGS):
@@ -307,15 +318,18 @@ def importance(rows: DataFrame) -> DataFrame:
 def verdicts(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``host, key``: what the tree decides, a letter and a path.
 
-    ``k``: blocks of this home stay though markup speaks against them; ``g``: they go though it doesn't; ``r``: the
-    texts at this path are repeated by the host's pages.
+    ``g``: blocks of this home go, though markup says nothing against them; ``s``: they go if it does; ``c``: they go if it names them adverts or
+    comments; ``r``: the texts at this path are repeated by the host's pages. ``t`` alone: the host has a tree.
     """
     trust = TRUST * (F.col("m") - 1) / (F.col("m") - 1 + HALFWAY)
-    against, other = trust * F.col("importance"), trust * F.col("importance") + 1 - trust
+    against = trust * F.col("importance")
     inner = ~F.col("path").rlike("^>html[^>]*(>body[^>]*)?$|^>body[^>]*$")
-    homes = F.when(against >= threshold, "k").when((other < threshold) & inner, "g")
-    said = F.when(F.col("kind") == OUTLINE, homes).when((F.col("importance") < REPEATED) & inner, "r")
-    return tree.select("host", F.concat(said, "path").alias("key")).where(F.col("key").isNotNull())
+    letters = F.array(
+        F.when(F.col("kind") == TEXT, F.when((F.col("importance") < REPEATED) & inner, "r")).when((against + (1 - trust) * NEUTRAL < threshold) & inner, "g"),
+        F.when((F.col("kind") == OUTLINE) & (against < threshold), "s"), F.when((F.col("kind") == OUTLINE) & (against < threshold + NAMED - THRESHOLD), "c"),
+    )
+    said = tree.select("host", F.explode(F.filter(letters, lambda x: x.isNotNull())).alias("letter"), "path")
+    return said.select("host", F.concat("letter", "path").alias("key")).unionByName(tree.select("host", F.lit("t").alias("key")).distinct())
 
 
 def judged(rows: DataFrame, found: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -323,27 +337,40 @@ def judged(rows: DataFrame, found: DataFrame, broadcast_bytes: int = BROADCAST_B
     size = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("key") + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         return rows.join(F.broadcast(found.groupBy("host").agg(F.collect_set("key").alias("keys"))), "host", "left")
-    own = F.flatten(F.transform("blocks", lambda b: F.array(F.concat(F.lit("k"), b["home"]), F.concat(F.lit("g"), b["home"]), F.concat(F.lit("r"), b["path"]))))
+    own = F.flatten(F.transform("blocks", lambda b: F.array(*[F.concat(F.lit(x), b["home"]) for x in "gsc"], F.concat(F.lit("r"), b["path"]), F.lit("t"))))
     asked = rows.where(F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct(own)).alias("key"))
     return rows.join(asked.join(found, ["host", "key"]).groupBy("row").agg(F.collect_set("key").alias("keys")), "row", "left")
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES, markup: bool = True, tree: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     Null and empty html gives an empty text; pages without a host, or alone on theirs, are judged by
-    markup only. If nothing would be left of a page, the blocks that only the tree speaks against stay. Repeated
-    rows come back each; an empty table gives an empty result; other columns are ignored. Blocks are joined by two line ends.
+    markup only. The home with most of what other pages don't repeat goes only if its markup says so; if nothing would be left, the blocks
+    that only the tree speaks against stay. Repeated rows come back each; an empty table gives an empty result; other columns are ignored. Blocks are joined by two line ends.
+    Without ``markup`` all elements are judged as if nothing were said of them; without ``tree`` none of its verdicts holds.
     """
     rows = materialise(parsed(pages), "pages")
-    found = materialise(verdicts(importance(rows), threshold), "verdicts")
+    if not markup:
+        rows = rows.withColumn("blocks", F.transform("blocks", lambda b: b.withField("stance", F.lit(0))))
+    found = verdicts(importance(rows), threshold)
+    found = materialise(found if tree else found.where("key = 't'"), "verdicts")
     joined = judged(rows.drop("features"), found, broadcast_bytes).withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     said = lambda letter, path: F.array_contains("keys", F.concat(F.lit(letter), path))
-    repeated = lambda b: said("r", b["path"])
-    goes = lambda b: F.when(b["stance"] == 1, ~said("k", b["home"])).when(b["stance"] == 0, said("g", b["home"])).otherwise(b["stance"] == 2)
-    full = F.filter("blocks", lambda b: ~goes(b) & ~repeated(b))
-    fresh = F.filter("blocks", lambda b: (b["stance"] < 1) & ~repeated(b))
-    marked = F.filter("blocks", lambda b: b["stance"] < 1)
-    blocks = F.when(F.size(full) > 0, full).when(F.size(fresh) > 0, fresh).otherwise(marked)
+    treeless = ~F.array_contains("keys", F.lit("t"))
+    unsaid = F.filter("blocks", lambda b: b["stance"] < 1)
+    own = F.filter("blocks", lambda b: (b["stance"] < 1) & ~said("r", b["path"]))
+    homes = F.array_distinct(F.transform(own, lambda b: b["home"]))
+    length = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    sizes = F.transform(homes, lambda h: F.struct(length(F.filter(own, lambda b: b["home"] == h)).alias("size"), h.alias("home")))
+    main = F.array_max(sizes)["home"]
+    goes = lambda b: F.when(b["stance"] == 1, treeless | said("s", b["home"])).when(b["stance"] == 2, treeless | said("c", b["home"])).otherwise((b["stance"] == 0) & said("g", b["home"]) & ~b["home"].eqNullSafe(F.col("_main")))
+    judged_ = joined.withColumn("_main", main).withColumn("_left", F.filter("blocks", lambda b: ~goes(b)))
+    # Homes with texts of their own, beside those that the pages repeat.
+    fresh = judged_.withColumn("_fresh", F.array_distinct(F.transform(F.filter("_left", lambda b: ~said("r", b["path"])), lambda b: b["home"])))
+    repeated = lambda b: said("r", b["path"]) & (b["stance"] >= 0) & ~F.array_contains("_fresh", b["home"])
+    full = F.filter("_left", lambda b: ~repeated(b))
+    versions = length(full) < (1 - MOST_REPEATED) * length(F.col("_left"))
+    blocks = F.when(versions, F.col("_left")).when(F.size(full) > 0, full).otherwise(unsaid)
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return fresh.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
