@@ -40,8 +40,10 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "LZMA2": (lambda x: lzma.compress(x, preset=LZMA_PRESET), lzma.decompress),
 }
 DELTA = "DIFFBZIP2"
-#: Texts up to this length are compared by character at once, longer ones piece by piece, and then gaps up to FINE_GAP.
-FINE_LENGTH, FINE_GAP = 2_000, 200
+#: What differs up to this length is compared by character, which takes the square of it.
+FINE_GAP = 64
+#: Shorter stretches are inserted again, as that takes less than to say where they stand.
+LEAST_COPY = 12
 #: Pieces that a text is cut into, coarse to fine: lines, words, and stretches that end by their content, for scripts without spaces.
 CUTS = (re.compile(r"[^\n]*\n|[^\n]+"), re.compile(r"\S*\s+|\S+"), re.compile(r"[^aeo、。的のは이]{0,63}.", re.DOTALL))
 STORED = ("codec", "data", "base_id", "chain", "place")
@@ -83,15 +85,15 @@ def uncompress(data: Column, codec: Column) -> Column:
 def edits(old: str, new: str) -> bytes:
     """What turns ``old`` into ``new``: ranges of ``old`` to copy, and strings to insert.
 
-    What both begin and end with is copied; between, short texts are compared by character, others by those lines that
+    What both begin and end with is copied; between, texts are compared by those lines that
     occur once in each, so that many equal lines cost no time; what differs between lines is compared by words in the same way,
-    then by shorter stretches, and what is short then by character. So a changed word in a long line costs a word.
+    then by shorter stretches, and what is short by character. So a changed word in a long line costs a word.
     """
     head = _common(old, new)
     tail = _common(old[head:][::-1], new[head:][::-1])
     a, b = old[head : len(old) - tail], new[head : len(new) - tail]
     steps: list = [[0, head]] if head else []
-    matched = _characters(a, b) if max(len(a), len(b)) <= FINE_LENGTH else _matched(a, b, CUTS)
+    matched = [m for m in _matched(a, b, CUTS) if m[2] >= LEAST_COPY]
     at = 0
     for start, place, length in [*matched, (len(a), len(b), 0)]:
         if at < place:
