@@ -279,13 +279,13 @@ def html2(spark, d):
 
 @query(
     "gr3_revision_links",
-    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS revision_id, l_partkey AS source_id, l_orderkey % 2500 AS target, l_shipdate AS ts, l_linenumber % 2 = 0 AS category FROM ({ITEMS_SQL}) WHERE l_orderkey % 20 = 0),
-    born AS (SELECT l_partkey AS page_id, min(l_shipdate) AS ts FROM ({ITEMS_SQL}) WHERE l_orderkey % 20 = 0 GROUP BY 1)
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS revision_id, l_partkey AS source_id, l_orderkey % 2500 AS target, l_shipdate AS ts, l_linenumber % 2 = 0 AS category FROM ({ITEMS_SQL})),
+    born AS (SELECT l_partkey AS page_id, min(l_shipdate) AS ts FROM ({ITEMS_SQL}) GROUP BY 1)
     SELECT revision_id, source_id, p.page_id AS target_id, CASE WHEN category THEN 'CATEGORIZATION' ELSE 'ARTICLE' END AS link_type FROM r JOIN (SELECT p_partkey AS page_id, {CASE_NS} AS ns_id FROM part) p
       ON p.page_id = target AND p.ns_id = CASE WHEN category THEN 14 ELSE 0 END JOIN born ON born.page_id = p.page_id AND born.ts <= r.ts WHERE source_id IN (SELECT p_partkey FROM part)""",
 )
 def gr3(spark, d):
-    items = distinct_items(spark, d).where("l_orderkey % 20 = 0")
+    items = distinct_items(spark, d)
     link = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "see [[Category:part ").otherwise("see [[part "), F.col("l_orderkey") % 2500, F.lit("]] there"))
     rows = items.select(
         F.lit("parts").alias("db_name"), F.col("l_partkey").alias("page_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("revision_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), link.alias("text")
@@ -309,6 +309,22 @@ def st4(spark, d):
     return catalog.read("page").select("page_id", "title")
 
 
+@query(
+    "st5_interval_stream",
+    "SELECT user_id AS page_id, event_id AS revision_id, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '3000-01-01') AS valid_to FROM events",
+)
+def st5(spark, d):
+    """Revisions that arrive out of order in four batches, some twice; the stream keeps every page's intervals right as they come."""
+    source, target, checkpoint = scratch(spark, "stream"), scratch(spark, "intervals"), scratch(spark, "checkpoint")
+    events = table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("revision_id"), F.col("ts").cast("timestamp").alias("ts"))
+    for k in (2, 0, 3, 1):
+        part = F.pmod(F.xxhash64("revision_id"), F.lit(4))
+        events.where((part == k) | ((part == 2) & (F.lit(k) == 1))).write.mode("append").parquet(source)
+        incremental.stream_intervals(spark.readStream.schema(events.schema).parquet(source), target, checkpoint, once=True).awaitTermination()
+    found = incremental.intervals_of(spark, target)
+    return found.select("page_id", "revision_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to")])
+
+
 @query("st2_compression_events", "SELECT c_custkey AS revision_id, 'BZIP2' AS codec, strlen(c_name)::BIGINT AS raw_bytes, true AS stored FROM customer")
 def st2(spark, d):
     """Completed compressions, as the listener of the stream is told of them, batch by batch."""

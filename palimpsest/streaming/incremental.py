@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.functions.codecs import compress
+from palimpsest.operators.history import PAGE_KEY, distinct_revisions, intervals
 from palimpsest.schemas import TABLES
 from palimpsest.sources import xml_dump
 from palimpsest.sources.catalog import Catalog
@@ -69,3 +70,46 @@ def compress_files(catalog: Catalog, folder: str, target: str, checkpoint: str,
 
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def stream_intervals(revisions: DataFrame, target: str, checkpoint: str, key=PAGE_KEY, once: bool = False) -> StreamingQuery:
+    """ST5/TT8: the interval of every revision (``key, ts, revision_id``), corrected as revisions arrive in whatever order.
+
+    The state is the table below ``target``: each batch adds the intervals of its own revisions, and anew those of the revisions
+    before them in time, whose ends change. Which these are is found by joining the batch's pages with what is stored, each revision's newest row. A batch
+    that runs again after a failure replaces what it had written; revisions that arrive twice count once.
+    """
+    spark = revisions.sparkSession
+    names = [*key, "revision_id", "ts"]
+
+    def settle(batch: DataFrame, number: int) -> None:
+        path = f"{target.rstrip('/')}/batch={number}"
+        new = batch.select(*names).where(F.col("ts").isNotNull()).persist()
+        try:
+            known = intervals_of(spark, target, before=number, key=key)
+            rows = new if known is None else new.unionByName(known.join(new.select(*key).distinct(), list(key), "left_semi").select(*key, "revision_id", F.col("valid_from").alias("ts")))
+            now = intervals(distinct_revisions(rows, key).drop("_at"), key).select(*key, "revision_id", "valid_from", "valid_to")
+            if known is not None:  # only what is new or has another end
+                now = now.join(known, now.columns, "left_anti")
+            now.write.mode("overwrite").parquet(path)
+        finally:
+            new.unpersist()
+
+    writer = revisions.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def intervals_of(spark: SparkSession, target: str, before: int | None = None, key=PAGE_KEY) -> DataFrame | None:
+    """The newest interval of every revision in a table of ``stream_intervals``; None if nothing was written (before a batch)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    batches = [int(f.getPath().getName().removeprefix("batch=")) for f in files.listStatus(folder) if f.getPath().getName().startswith("batch=")]
+    kept = [n for n in batches if before is None or n < before]
+    if not kept:
+        return None
+    rows = spark.read.option("basePath", target).parquet(*[f"{target.rstrip('/')}/batch={n}" for n in kept])
+    # Of a revision that came with several times, each is one.
+    newest = rows.groupBy(*key, "revision_id", "valid_from").agg(F.max_by("valid_to", "batch").alias("valid_to"))
+    return newest.select(*key, "revision_id", "valid_from", "valid_to")
