@@ -1,7 +1,7 @@
 """Links from rendered pages, and link layers (HTML1, JN7, JN11-12, GR1-5, SET1, AG3-6, FLT13).
 
 Extraction is all Catalyst: the anchors of a page are an array, exploded once, and
-targets are resolved by equi-joins with the namespace names and the pages.
+targets are resolved by equi-joins with the namespace names and the pages. A name that very many links have is not a task of its own.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import first_upper, spaced
 from palimpsest.schemas import ARTICLE, CATEGORIZATION, CATEGORY_NS, REDIRECT, SENTINEL_LAYER
+from palimpsest.storage import materialise
 
+# What counts as a comment and as an anchor decides which links there are.
 COMMENT = "<!--.*?-->"
 ANCHOR = '<a[ ][^>]*?href="([^">]+)'
 CATEGORY_BOX = 'id="catlinks"'
+#: Links to one name from which they are not shuffled, and names that may be sent to all executors for that.
+HEAVY_NAME, BROADCAST_NAMES = 100_000, 10_000
 LINK_KEY = ["source_id", "target_id", "link_type", "ts"]
 
 
@@ -81,18 +85,39 @@ def extract_links(tiers: DataFrame, pages: DataFrame, namespaces: DataFrame, rev
     named = split_namespace(found, namespaces, key=key)
     # Of pages whose titles collide, the smallest page_id counts.
     targets = pages.groupBy(*key, F.col("ns_id").alias("target_ns"), F.col("title").alias("target_title")).agg(F.min("page_id").alias("target_id"))
-    resolved = named.join(targets, [*key, "target_ns", "target_title"])
+    if revisions is not None:
+        targets = targets.join(_born(revisions, key), [*key, "target_id"])
+    resolved = _resolved(materialise(named.select(*key, "source_id", "ts", "k", "redirect", "in_category_box", "target_ns", "target_title"), "anchors"), targets, [*key, "target_ns", "target_title"])
+    if revisions is not None:
+        resolved = resolved.where(F.col("_born") <= F.col("ts"))
     first = F.col("redirect") & (F.col("k") == 1)
     boxed = (F.col("target_ns") == CATEGORY_NS) & F.col("in_category_box")
     types = F.when(first, F.array(F.lit(REDIRECT), F.lit(ARTICLE))).when(boxed, F.array(F.lit(CATEGORIZATION))).otherwise(F.array(F.lit(ARTICLE)))
-    links = resolved.select(*key, "source_id", "target_id", F.explode(types).alias("link_type"), "ts").distinct()
-    return links if revisions is None else targets_existing(links, revisions, key)
+    return resolved.select(*key, "source_id", "target_id", F.explode(types).alias("link_type"), "ts").distinct()
+
+
+def _resolved(named: DataFrame, targets: DataFrame, on: list[str], heavy: int | None = None) -> DataFrame:
+    """``named``, which is written, with the columns of ``targets``, joined by name.
+
+    Names are counted first and met with the targets once each. Those with more than ``HEAVY_NAME`` links, of which there
+    can be only a fraction of the links, are sent to all executors if they are few, so their links stay where they are; others are shuffled.
+    """
+    counted = materialise(named.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(targets, on), "names")
+    hot = counted.where(F.col("_n") > (HEAVY_NAME if heavy is None else heavy)).drop("_n")
+    n = hot.count()
+    if not 0 < n <= BROADCAST_NAMES:
+        return named.join(counted.drop("_n"), on)
+    rest = named.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.drop("_n"), on)
+    return named.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def _born(revisions: DataFrame, key) -> DataFrame:
+    return revisions.groupBy(*key, F.col("page_id").alias("target_id")).agg(F.min("ts").alias("_born"))
 
 
 def targets_existing(links: DataFrame, revisions: DataFrame, key=()) -> DataFrame:
     """JN12: links whose target had its first revision at ``ts`` or before."""
-    born = revisions.groupBy(*key, F.col("page_id").alias("target_id")).agg(F.min("ts").alias("_born"))
-    return links.join(born, [*key, "target_id"]).where(F.col("_born") <= F.col("ts")).select(links.columns)
+    return links.join(_born(revisions, key), [*key, "target_id"]).where(F.col("_born") <= F.col("ts")).select(links.columns)
 
 
 def distinct_links(links: DataFrame, key=()) -> DataFrame:
