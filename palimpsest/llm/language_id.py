@@ -124,8 +124,8 @@ def sample(docs: DataFrame, limit: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BY
     """Training texts by language, in bounded number; which ones depends on the texts alone.
 
     How many different texts a language has fixes a threshold on a hash of the text, so that about
-    twice ``limit`` pass it; the ``limit`` smallest hashes of those are taken, and of each text its first
-    ``max_bytes`` bytes. More than ``max_languages`` languages are an error, none is left out.
+    twice ``limit`` pass it; the ``limit`` smallest hashes of those are taken. Of a text longer than ``max_bytes`` a
+    stretch of that many bytes is taken from a place that its hash gives, anywhere in the whole text. More than ``max_languages`` languages are an error, none is left out.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("hash"))
     counted = usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1)
@@ -135,7 +135,8 @@ def sample(docs: DataFrame, limit: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BY
     if len(sizes) > max_languages:
         raise ValueError(f"the table has more than {max_languages} languages; the model is bounded by max_languages")
     span, factor = 1 << 40, 2
-    keyed = usable.select("lang", F.left("text", F.lit(max_bytes)).alias("text"), F.pmod("hash", F.lit(span)).alias("share"))
+    start = F.pmod("hash", F.greatest(F.length("text") - max_bytes, F.lit(0)).cast("long") + 1).cast("int") + 1
+    keyed = usable.select("lang", F.substr("text", start, F.lit(max_bytes)).alias("text"), F.pmod("hash", F.lit(span)).alias("share"))
     while True:
         bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * factor * limit // n))])
         passed = keyed.where(F.col("share") < F.element_at(bound, F.col("lang")))

@@ -34,3 +34,10 @@ def test_ties_and_long_texts(spark):
     assert [(i, lang) for i, lang, _ in got] == [(1, "a"), (1, "a"), (2, "c"), (3, "a"), (4, "und"), (5, "und")]
     scores = {i: score for i, _, score in got}
     assert scores[1] == pytest.approx(0.5, abs=0.01) and 0.3 < scores[3] <= 0.5 and scores[4] == 0
+
+
+def test_long_texts_give_stretches_from_anywhere(spark):
+    texts = spark.range(300).select(F.lit("en").alias("lang"), F.concat(F.repeat(F.lit("a"), 30_000), F.lit("é"), F.repeat(F.lit("b"), 30_000), F.col("id").cast("string")).alias("text"))
+    found = language_id.sample(texts)["en"]
+    assert found == language_id.sample(texts.repartition(5))["en"] and all(0 < len(t.encode()) <= language_id.SAMPLE_BYTES for t in found)
+    assert sum("a" in t for t in found) > 60 and sum("b" in t for t in found) > 60
