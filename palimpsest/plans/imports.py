@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +100,66 @@ def src4(spark, d):
     return rows.select("ns_id", "case", "name", F.array_join("all_names", ",").alias("names"))
 
 
+# Dumps of several wikis: regions are wikis, nations their namespaces, customers pages of one revision.
+
+NATION_NS = "100 + 2 * n_nationkey"
+
+
+def _wikis_dump(spark: SparkSession, d: str) -> str:
+    """Files of all wikis in one folder. A nation with an even number has a second namespace of the same name, which an import skips."""
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    case = lambda odd: F.when(odd % 2 == 0, "first-letter").otherwise("case-sensitive")
+    space = lambda k: F.concat(F.lit('<namespace key="'), k, F.lit('" case="'), case(F.col("n_nationkey")), F.lit('">'), xml_escape(F.col("n_name")), F.lit("</namespace>"))
+    number = 2 * F.col("n_nationkey") + 100
+    spaces = nation.select("n_regionkey", F.concat(space(number), F.when(F.col("n_nationkey") % 2 == 0, space(number + 1)).otherwise("")).alias("space"))
+    held = spaces.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("space")), "").alias("spaces"))
+    about = [("sitename", xml_escape(F.col("r_name"))), ("dbname", F.concat(F.lit("r"), "r_regionkey")), ("base", F.concat(F.lit("https://r"), "r_regionkey", F.lit(".example.org/wiki/Main"))), ("case", case(F.col("r_regionkey")))]
+    head = _element("siteinfo", F.concat(*[_element(name, value) for name, value in about], _element("namespaces", F.concat(F.lit('<namespace key="0" case="first-letter"/>'), "spaces"))))
+    heads = region.join(held, "r_regionkey").select(F.col("r_regionkey").alias("n_regionkey"), head.alias("head"))
+    customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    user = _element("contributor", F.concat(_element("username", F.lit("Import")), _element("id", F.lit(1))))
+    revision = _element("revision", F.concat(_element("id", F.col("c_custkey")), _element("timestamp", F.lit("2015-01-01T00:00:00Z")), user, _element("text", F.col("c_mktsegment"))))
+    title = _element("title", xml_escape(F.concat("n_name", F.lit(":"), "c_name")))
+    pages = customer.select("n_regionkey", F.floor(F.col("c_custkey") / PAGES_A_FILE).alias("file"), _element("page", F.concat(title, _element("ns", number), _element("id", F.col("c_custkey")), revision)).alias("page"))
+    files = pages.groupBy("n_regionkey", "file").agg(F.array_join(F.collect_list("page"), "\n").alias("pages")).join(F.broadcast(heads), "n_regionkey")  # five heads
+    path = scratch(spark, "dumps")
+    files.select("n_regionkey", "file", _element("mediawiki", F.concat("head", F.lit("\n"), "pages")).alias("value")).write.partitionBy("n_regionkey", "file").text(path)
+    return path
+
+
+def _of_wikis(spark: SparkSession, d: str, choose) -> DataFrame:
+    """What ``choose`` takes from the tables of each wiki, all together."""
+    found = xml_dump.files_by_wiki(spark, [_wikis_dump(spark, d)])
+    return reduce(DataFrame.unionByName, [choose(xml_dump.read_dump(spark, files)) for _, files in sorted(found.items())])
+
+
+@query(
+    "src3_dump_wikis",
+    """SELECT 'r' || r_regionkey AS db_name, r_name AS site_name, 'https://r' || r_regionkey || '.example.org/w/api.php' AS api_url, CASE WHEN r_regionkey % 2 = 0 THEN 'FIRST_LETTER' ELSE 'CASE_SENSITIVE' END AS "case", count(*) AS n_pages
+      FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey, r_name""",
+)
+def src3_wikis(spark, d):
+    """Wikis by the heads of their dumps, and how many pages each has."""
+    counted = lambda t: t["wiki"].join(t["page"].groupBy("db_name").agg(F.count(F.lit(1)).alias("n_pages")), "db_name").select("db_name", "site_name", "api_url", "case", "n_pages")
+    return _of_wikis(spark, d, counted)
+
+
+@query(
+    "src5_dump_namespaces",
+    f"""SELECT 'r' || n_regionkey AS db_name, {NATION_NS} AS ns_id, CASE WHEN n_nationkey % 2 = 0 THEN 'FIRST_LETTER' ELSE 'CASE_SENSITIVE' END AS "case", n_name AS name, count(c_custkey) AS n_pages
+      FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey) GROUP BY n_regionkey, n_nationkey, n_name
+      UNION ALL SELECT DISTINCT 'r' || n_regionkey, 0, 'FIRST_LETTER', '', 0 FROM nation JOIN customer ON c_nationkey = n_nationkey""",
+)
+def src5(spark, d):
+    """Namespaces of all wikis, of those with one name the smallest number, and how many pages each has."""
+
+    def counted(t):
+        pages = t["page"].groupBy("db_name", "ns_id").agg(F.count(F.lit(1)).alias("n"))
+        return t["namespace"].join(pages, ["db_name", "ns_id"], "left").select("db_name", "ns_id", "case", "name", F.coalesce("n", F.lit(0)).alias("n_pages"))
+
+    return _of_wikis(spark, d, counted)
+
+
 @query("src6_filtered_import", f"SELECT page_id, count(*) AS n_revisions FROM (SELECT p_partkey AS page_id {ITEM} WHERE p_size % 3 = 1 AND p_partkey % 2 = 0) GROUP BY 1")
 def src6(spark, d):
     accept = xml_dump.in_namespaces((14,)) & (F.col("id") % 2 == 0)
@@ -309,6 +369,23 @@ def st4(spark, d):
     return catalog.read("page").select("page_id", "title")
 
 
+@query(
+    "st1_import_events",
+    f"SELECT 'page' AS event, p_partkey AS number FROM part UNION ALL SELECT CASE WHEN l_linenumber = 3 THEN 'revision by address' ELSE 'revision by user' END, l_orderkey * 10 + l_linenumber FROM ({ITEMS_SQL})",
+)
+def st1(spark, d):
+    """The events of an import by two streams, pages and then revisions, as a listener is told of them."""
+    catalog, told = Catalog(spark, scratch(spark, "catalog")), scratch(spark, "events")
+    listener = lambda name, rows: incremental.import_events(name, rows).write.mode("append").parquet(told)
+    pages = table(spark, d, "part").select(F.lit("parts").alias("db_name"), F.col("p_partkey").alias("page_id"), F.lit(0).alias("ns_id"), F.col("p_name").alias("title"))
+    items = item_revisions(spark, d).select(F.lit("parts").alias("db_name"), "page_id", "revision_id", F.col("ts").cast("timestamp").alias("ts"), "text", F.when(F.col("revision_id") % 10 != 3, F.col("contributor_id")).alias("contributor_id"))
+    for name, rows in (("page", pages), ("revision", items)):
+        source = scratch(spark, "stream")
+        rows.write.json(source)
+        incremental.import_files(catalog, name, source, scratch(spark, "checkpoint"), listener, once=True).awaitTermination()
+    return spark.read.parquet(told).select("event", "number")
+
+
 @query(
     "st5_interval_stream",
     "SELECT user_id AS page_id, event_id AS revision_id, ts AS valid_from, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '3000-01-01') AS valid_to FROM events",
