@@ -26,55 +26,61 @@ from palimpsest.llm.word_tokens import Halves
 #: Distinct entries that each half of a cache holds.
 CACHE_STRETCHES = 150_000
 CACHE_PIECES = 400_000
+BITS = [1 << i for i in range(64)]
 #: White space as the public patterns mean it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
 
 class RankQueue:
-    """Positions by merge rank; ranks below 2**18."""
+    """Positions by merge rank, ranks below ``2**18``; empty again after each pre-token, so that one serves all.
+
+    A bucket is -1 if empty, the position if there is one, else a heap of positions.
+    """
 
     __slots__ = ("buckets", "low", "mid", "top")
 
     def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+        self.buckets: list = [-1] * (1 << 18)
+        self.low = [0] * (1 << 12)
+        self.mid = [0] * (1 << 6)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        block, group = rank >> 6, rank >> 12
-        bits = self.low.get(block, 0)
-        if not bits:
-            blocks = self.mid.get(group, 0)
-            if not blocks:
-                self.top |= 1 << group
-            self.mid[group] = blocks | 1 << (block & 63)
-        self.low[block] = bits | 1 << (rank & 63)
+        held = self.buckets[rank]
+        if held == -1:
+            self.buckets[rank] = position
+            block, group = rank >> 6, rank >> 12
+            bits = self.low[block]
+            if not bits:
+                self.mid[group] |= BITS[block & 63]
+                self.top |= BITS[group]
+            self.low[block] = bits | BITS[rank & 63]
+        elif type(held) is int:
+            self.buckets[rank] = [held, position] if held < position else [position, held]
+        else:
+            heapq.heappush(held, position)
 
     def pop(self) -> tuple[int, int]:
         """The leftmost position of the lowest rank."""
-        top = self.top
+        top, mid, low = self.top, self.mid, self.low
         group = (top & -top).bit_length() - 1
-        blocks = self.mid[group]
+        blocks = mid[group]
         block = group << 6 | (blocks & -blocks).bit_length() - 1
-        bits = self.low[block]
+        bits = low[block]
         rank = block << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.low[block] = bits
-            if not bits:
-                blocks &= blocks - 1
-                self.mid[group] = blocks
-                if not blocks:
-                    self.top = top & (top - 1)
+        held = self.buckets[rank]
+        if type(held) is int:
+            position = held
+        else:
+            position = heapq.heappop(held)
+            if held:
+                return rank, position
+        self.buckets[rank] = -1
+        low[block] = bits = bits & (bits - 1)
+        if not bits:
+            mid[group] = blocks = blocks & (blocks - 1)
+            if not blocks:
+                self.top = top & (top - 1)
         return rank, position
 
 
@@ -84,39 +90,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Ids of one pre-token: the lowest-ranked pair merges first, the leftmost among equals."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
     after, before = list(range(1, n + 2)), list(range(-1, n))
-    waiting = [-1] * n
-    queue = RankQueue()
     push, pop, rank_of = queue.push, queue.pop, ranks.get
-    for i in range(n - 1):
-        if (rank := rank_of(piece[i : i + 2])) is not None:
-            waiting[i] = rank
+    waiting = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+    waiting.append(-1)
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
             push(rank, i)
     while queue.top:
         rank, i = pop()
         if waiting[i] != rank:
             continue
         j = after[i]
-        waiting[j] = -1
+        waiting[i] = waiting[j] = -1
         end = after[i] = after[j]
         if end < n:
             before[end] = i
-            rank = rank_of(piece[i : after[end]])
-            waiting[i] = -1 if rank is None else rank
-            if rank is not None:
+            waiting[i] = rank = rank_of(piece[i : after[end]], -1)
+            if rank >= 0:
                 push(rank, i)
-        else:
-            waiting[i] = -1
         h = before[i]
         if h >= 0:
-            rank = rank_of(piece[h:end])
-            waiting[h] = -1 if rank is None else rank
-            if rank is not None:
+            waiting[h] = rank = rank_of(piece[h:end], -1)
+            if rank >= 0:
                 push(rank, h)
     ids, i = [], 0
     while i < n:
@@ -137,13 +138,14 @@ class BytePairEncoder:
         import regex
 
         self.ranks = load_ranks(rank_file)
+        self.queue = RankQueue()
         self.pieces = regex.compile(pattern).findall
         self.stretches = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self.known = Halves(CACHE_STRETCHES)
         self.parts = Halves(CACHE_PIECES)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", merged(piece.encode(), self.ranks)).tobytes()
+        return array("I", merged(piece.encode(), self.ranks, self.queue)).tobytes()
 
     def _stretch(self, stretch: str) -> bytes:
         return b"".join(self.parts.fill(self.pieces(stretch), self._piece))
