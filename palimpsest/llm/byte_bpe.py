@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +167,20 @@ def byte_pair_encoder(rank_file: str, pattern: str) -> BytePairEncoder:
 
 
 @cache
-def vocabulary(rank_file: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(rank_file).items()}
+def vocabulary(rank_file: str) -> pa.LargeBinaryArray:
+    """Each rank's bytes, at its place; null where the file leaves a rank out."""
+    token = {rank: token for token, rank in load_ranks(rank_file).items()}
+    return pa.array([token.get(rank) for rank in range(max(token, default=-1) + 1)], pa.large_binary())
+
+
+def joined(ids: pa.ListArray, tokens: pa.LargeBinaryArray) -> pa.Array:
+    """The bytes of each row's ids: taken one behind the other, the tokens of a row are its text."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    taken = tokens.take(pc.list_flatten(ids))
+    if taken.null_count:
+        raise ValueError("ids that the rank file lacks")
+    bounds = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][np.cumsum([0, *lengths])] if len(taken) else np.zeros(len(ids) + 1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(bounds.tobytes()), taken.buffers()[2]])
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, group: int = 512) -> DataFrame:
@@ -198,12 +211,9 @@ def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(rank_file).__getitem__
         for batch in batches:
-            ids, decoded = batch["ids"], []
-            for i in range(batch.num_rows):
-                decoded.append(b"".join(map(token, ids[i].values.to_numpy().tolist())) if ids[i].is_valid else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
+            decoded = joined(batch["ids"], vocabulary(rank_file)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{fields}, decoded binary")

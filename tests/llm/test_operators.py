@@ -254,6 +254,21 @@ def test_merges_like_the_library():
         assert encoder.encode(text) == encoding.encode_ordinary(text), repr(text)
 
 
+def test_decodes_null_and_unknown_ids():
+    import pyarrow as pa
+
+    tokens, kind = byte_bpe.vocabulary(RANKS), pa.list_(pa.int32())
+    rows = pa.array([None, [], [5, 300, 5], None, [49_999], []], kind)
+    want = [b"".join(tokens[i].as_py() for i in row or []) for row in rows.to_pylist()]
+    assert byte_bpe.joined(rows, tokens).to_pylist() == want
+    assert byte_bpe.joined(rows.slice(2, 3), tokens).to_pylist() == want[2:5]
+    assert byte_bpe.joined(pa.array([None, []], kind), tokens).to_pylist() == [b"", b""]
+    gap = pa.array([b"a", None], pa.large_binary())
+    for unknown in ([1], [2], [-1]):
+        with pytest.raises((ValueError, IndexError)):
+            byte_bpe.joined(pa.array([unknown], kind), gap)
+
+
 def test_rank_queue():
     queue, held = byte_bpe.RankQueue(), []
     for _ in range(3000):
