@@ -10,6 +10,7 @@ Only distinct fingerprints take part; copies come back by their fingerprint.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.columns import carried, restored
 from palimpsest.llm.components import components
 from palimpsest.llm.rare_shingles import rare_pairs
-from palimpsest.storage import materialise
+from palimpsest.storage import materialise, settled
 
 SEED = 42
 #: Hashes whose bits are added up at a time.
@@ -217,12 +218,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         leaders = _table(alive).groupBy("segment", "value").agg(F.min(F.struct("b", "fp_b", "n_b")).alias("first"))
         order = F.struct(distance("fp_a", "fp_b"), "b") if round_number % 2 == 0 else F.col("b")
         pairs = _met(_probes(alive), leaders.select("segment", "value", "first.*"), close).groupBy("a").agg(F.min_by("b", order).alias("b"))
-        found = materialise(similar(docs, pairs, similarity=similarity), "near-links")
+        found = settled(partial(similar, docs, pairs, similarity=similarity), "near-links")
         links = found if links is None else links.unionByName(found)
         alive = alive.join(found.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    pairs = rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes, components(links)).distinct()
-    links = links.unionByName(materialise(similar(docs, pairs, similarity=similarity).distinct(), "near-links"))
+    pairs = settled(lambda: rare_pairs(texts, lambda t: hashes(t, SIMILAR_WORDS), lambda t: 0, similarity, sizes, components(links)), "near-pairs")
+    links = links.unionByName(settled(lambda: similar(docs, pairs, similarity=similarity), "near-links"))
     return components(links).where("node <> root").select(F.col("node").alias("doc_id"))
 
 
@@ -253,6 +254,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     rows = docs.select(carried(docs), key.alias("_key"))
     if not unique:
         texts, rows = texts.dropDuplicates(["doc_id"]), rows.dropDuplicates(["_key"])
-    gone = materialise(near_copies(texts, similarity).withColumnRenamed("doc_id", "_gone"), "near-copies")
+    gone = settled(lambda: near_copies(texts, similarity).withColumnRenamed("doc_id", "_gone"), "near-copies")
     few = gone.count() <= BROADCAST_KEYS
     return restored(rows.join(F.broadcast(gone) if few else gone, F.col("_key") == F.col("_gone"), "left_anti"), docs.columns)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, path and thread of each table that is there.
+_written: list[tuple[SparkSession, str, int]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted with the intermediate tables."""
     path = f"{shared_dir(spark).rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, threading.get_ident()))
     return path
 
 
@@ -42,15 +45,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, materialised; the intermediate tables that it wrote on the way are deleted.
+
+    Nothing but the result may read them later. Tables that were there before stay, and so do those of other threads.
+    """
+    before = {path for _, path, _ in _written}
+    df = make()
+    passed = [x for x in _written if x[1] not in before and x[2] == threading.get_ident()]
+    df = materialise(df, name)
+    for x in passed:
+        _written.remove(x)
+        _delete(*x[:2])
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release() -> None:
     """Delete the tables written so far; results that still read them become invalid."""
     while _written:
-        spark, path = _written.pop()
-        context = spark.sparkContext
-        if context._jsc is None:
-            continue
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_written.pop()[:2])
 
 
 atexit.register(release)

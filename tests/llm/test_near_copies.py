@@ -1,12 +1,14 @@
 """The near-copy stage against all pairs in plain Python."""
 
 import collections
+import glob
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.llm import simhash
 from tests.llm.test_operators import prose
 
@@ -64,6 +66,18 @@ def test_rows_that_share_an_id(spark):
     assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(False, 1, a), (False, 2, b), (False, 3, c), (True, None, d)], key=str)
 
 
+def test_intermediate_tables_go(spark):
+    """Fingerprints, first shingles, sets and links are deleted; what names the rows to drop stays until the end."""
+    before = {path for _, path, *_ in storage._written}
+    words = prose(80, 12).split(" ")
+    df = spark.createDataFrame([(1, " ".join(words)), (2, edited(words, {0}, "new")), (3, prose(80, 13))], "doc_id long, text string")
+    out = simhash.drop_near_copies(df)
+    left = [path for _, path, *_ in storage._written if path not in before]
+    assert len(left) == 1 and "near-copies" in left[0]
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert not glob.glob(f"{storage.shared_dir(spark).removeprefix('file://')}/palimpsest-near-sets-*")
+
+
 SF = "/root/testdata/sf0.01/documents.parquet"
 
 
