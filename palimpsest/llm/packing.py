@@ -20,10 +20,12 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +37,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Numbers of the first ranks, one for each partition and length, that are sent to all executors up to so many; beyond, they are joined by shuffle.
 BROADCAST_RANKS = 8_000_000
-#: Texts whose pieces are handed on together.
-GROUP = 512
+#: Bytes of texts that are encoded together, and the last of them may go beyond.
+GROUP_BYTES = 1 << 21
+#: Partitions whose first ranks are laid out together.
+GROUP = 256
 
 
 class Segment(NamedTuple):
@@ -130,6 +134,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
     return segments
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows, cut behind the text that fills a group."""
+    filled = pc.binary_length(batch["text"]).to_numpy().cumsum(dtype=np.int64) // GROUP_BYTES
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(filled, prepend=0)) + 1).tolist(), batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def tokenised(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document, numbered within (partition, length).
 
@@ -143,24 +155,28 @@ def tokenised(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_file)
-        end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
-            at, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                data = encoder.encode_bytes(text) + end
-                for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[a : a + 4 * capacity]
-                    n = len(part) // 4
-                    at.append(i), piece.append(k), start.append(a // 4), length.append(n), crc.append(zlib.crc32(part)), rank.append(seen[n])
-                    seen[n] += 1
-                    if keep_ids:
-                        kept.append(np.frombuffer(part, dtype="<i4"))
+        for batch in (group for b in batches for group in _groups(b)):
+            ids, counts = encoder.encode_all(batch["text"])
+            ids, counts = np.insert(ids, counts.cumsum(), end_id), counts + 1
+            pieces = -(-counts // capacity)
+            at = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(at)) - (pieces.cumsum() - pieces)[at]
+            start = piece * capacity
+            length = np.minimum(counts[at] - start, capacity)
+            edges = np.concatenate([[0], length.cumsum()])
+            data = memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in pairwise(edges.tolist())]
+            order = np.argsort(length, kind="stable")
+            rank = np.empty_like(length)
+            rank[order] = np.arange(len(order)) - np.searchsorted(length[order], length[order])
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
             at = pa.array(at, pa.int64())
             columns = [batch["doc_id"].take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), batch["part"].take(at), pa.array(rank, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank"]
             if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.view("<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -182,10 +198,17 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
     per_part = materialise(per_part.select("part", "length", "n", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     segments = plan(histogram, capacity)
-    known = F.map_from_entries(F.collect_list(F.struct("length", "before")))  # at most ``capacity`` entries
-    lengths = F.sequence(F.lit(1), F.lit(capacity)).cast("array<long>")
-    firsts = per_part.groupBy("part").agg(known.alias("known")).select("part", F.transform(lengths, lambda n: F.try_element_at("known", n)).alias("before"))
-    firsts = materialise(firsts, "packing-ranks")
+    known = F.collect_list(F.struct("length", "before")).alias("known")  # at most ``capacity`` entries
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, GROUP) for b in batches for i in range(0, b.num_rows, GROUP)):
+            entries, sizes = batch["known"].flatten(), pc.list_value_length(batch["known"]).to_numpy()
+            before = np.zeros((batch.num_rows, capacity), dtype=np.int64)
+            before[np.repeat(np.arange(batch.num_rows), sizes), pc.struct_field(entries, "length").to_numpy() - 1] = pc.struct_field(entries, "before").to_numpy()
+            edges = pa.array(np.arange(batch.num_rows + 1) * capacity, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["part"], pa.ListArray.from_arrays(edges, pa.array(before.ravel()))], names=["part", "before"])
+
+    firsts = materialise(per_part.groupBy("part").agg(known).mapInArrow(lay_out, "part int, before array<long>"), "packing-ranks")
     few = firsts.count() * capacity <= BROADCAST_RANKS
     numbered = pieces.join(F.broadcast(firsts) if few else firsts.hint("merge"), "part").withColumn("rank", F.element_at("before", F.col("length").cast("int")) + F.col("part_rank")).drop("before")
     return _placed(spark, numbered, segments, keep_ids)

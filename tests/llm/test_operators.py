@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -143,6 +144,66 @@ def test_word_encoder_forgets_and_stays_exact(monkeypatch):
         assert np.frombuffer(encoder.encode_bytes(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def library_ids(tokenizer, texts):
+    return [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def encoded(encoder, texts):
+    ids, counts = encoder.encode_all(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])]
+
+
+def test_word_encoder_merges_each_small_form_once():
+    encoder = word_tokens.WordEncoder(WORD_FILE)
+    merged, merges = [], encoder.merges
+    encoder.merges = lambda word: merged.append(word) or merges(word)
+    texts = ["River, RIVER river. river", "Ñandú ñandú! river$$$ RIVER", "rivers River"]
+    got = encoded(encoder, texts[:2]) + [np.frombuffer(encoder.encode_bytes(texts[2]), "<u4").tolist()]
+    assert got == library_ids(encoder.tokenizer, texts)
+    assert len(merged) == 3 and {"river", "rivers"} < set(merged)
+
+
+def test_word_encoder_hard_texts(monkeypatch):
+    monkeypatch.setattr(word_tokens, "SPREAD", 7)
+    encoder = word_tokens.WordEncoder(WORD_FILE)
+    letters, r = [chr(i) for i in range(1, 0x260)] + list("\u0300\u0338\u1680\u2003\u3000\u200d日😀ﬁΣⱥẞ١"), random.Random(3)
+    parts = ["River", "don't", "'s", "'re", "$$$", "...", "<|endoftext|>", "Straße", "x'", "'t'", "İx", "ȺB", "a1b"]
+    texts = ["".join((r.choice(parts) if r.random() < 0.5 else r.choice(letters)) + r.choice(["", "", " ", "\n", "\x0b", "\x0c  "]) for _ in range(r.randint(0, 20))) for _ in range(500)]
+    assert encoded(encoder, texts) == library_ids(encoder.tokenizer, texts)
+    for k in range(0, 500, 50):
+        assert encoded(encoder, texts[k : k + 1]) == library_ids(encoder.tokenizer, texts[k : k + 1])
+
+
+def test_word_encoder_added_tokens_of_plain_letters_or_with_spaces(tmp_path):
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    tokenizer.add_special_tokens(["iv", "<a b>", "!!"])
+    tokenizer.save(str(tmp_path / "words.json"))
+    encoder = word_tokens.WordEncoder(str(tmp_path / "words.json"))
+    for texts in (["the river", "stone"], ["x <a b> y"], ["stone!!! cloud"], ["stone cloud"]):
+        assert encoded(encoder, texts) == library_ids(tokenizer, texts)
+
+
+def test_packing_groups_keep_all_rows(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 10)
+    for sizes in ([], [0, 0], [25, 1, 1], [3, 3, 3, 3, 40, 0, 9], [10, 10]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array(["x" * n for n in sizes], pa.string())], names=["doc_id", "text"])
+        groups = [g["doc_id"].to_pylist() for g in packing._groups(batch)]
+        assert sum(groups, []) == list(range(len(sizes))) and all(groups)
+        assert all(sum(sizes[i] for i in g[:-1]) < 10 for g in groups)
+
+
+def test_packing_ranks_of_more_partitions_than_are_laid_out_together(spark):
+    texts = [(i, "a " * (i % 5) if i % 7 else "") for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(300)
+    used = check_packing(rows_of(packing.pack(docs, WORD_FILE, 6)), texts, 6)
+    assert used == packing_lower(texts)
+
+
+def packing_lower(texts):
+    lengths = [len(text.split()) + 1 for _, text in texts]
+    return -(-sum(lengths) // 6)
+
+
 # 2
 
 
