@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.columns import carried, restored
 from palimpsest.llm.components import components
 from palimpsest.llm.rare_shingles import rare_pairs
-from palimpsest.storage import materialise, settled
+from palimpsest.storage import by_shuffle, materialise, settled
 
 SEED = 42
 #: Hashes whose bits are added up at a time.
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     table = tabled(distinct, segments).withColumnRenamed("fp", "b")
     probes = probed(distinct, ball_radii(radius, segments)).drop("mask").withColumnRenamed("fp", "a")
     close = (F.col("a") < F.col("b")) & (distance("a", "b") <= radius)
-    joined = probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
+    joined = by_shuffle(probes.alias("p")).join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
     return joined.select("a", "b").distinct()
 
 
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = linked.join(lowest, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return by_shuffle(rows).join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Near copies: the share of common five-word shingles, and how candidates are searched for. Two-word

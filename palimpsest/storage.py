@@ -45,6 +45,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, with the next join of it by shuffle and merge, whatever size Spark takes either side for.
+
+    Spark goes by the size of the files, which are packed, and counts an exploded row once, so it might broadcast what doesn't fit the driver.
+    """
+    return df.hint("merge")
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What ``make`` returns, materialised; the intermediate tables that it wrote on the way are deleted.
 

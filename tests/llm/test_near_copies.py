@@ -100,3 +100,13 @@ def test_no_similar_pair_is_left_in_the_tables(spark):
             root = {i: low if x == high else x for i, x in root.items()}
     assert len(set(root.values())) < len(texts)
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == set(root.values())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balls_of_fingerprints_are_not_broadcast(spark):
+    """Spark takes an exploded table for as large as its file, which is far below its limit for broadcasts."""
+    distinct = storage.materialise(spark.createDataFrame([(i * 7,) for i in range(100)], "fp long"), "few-fingerprints")
+    assert "Broadcast" not in plan_of(simhash.links(distinct))
