@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.storage import materialise
+from palimpsest.storage import by_shuffle, materialise
 
 #: Shingles are counted by their hash modulo this, so that the counts have a fixed size.
 COUNTERS = 1 << 18
@@ -115,7 +115,7 @@ def meetings(rows: DataFrame, similarity: float, close: Column) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in COARSE), F.lit(0))
     few = apart <= _most_apart(similarity)
     first = ~F.arrays_overlap("before_a", "before_b")
-    met = left.join(right, (F.col("shingle") == F.col("shingle_b")) & (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b")) & enough & few & close & first)
+    met = by_shuffle(left).join(right, (F.col("shingle") == F.col("shingle_b")) & (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b")) & enough & few & close & first)
     return met.select("a", "b")
 
 

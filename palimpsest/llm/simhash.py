@@ -236,7 +236,7 @@ def _probes(nodes: DataFrame) -> DataFrame:
 
 
 def _met(probes: DataFrame, table: DataFrame, close: Column) -> DataFrame:
-    return probes.alias("p").join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
+    return by_shuffle(probes.alias("p")).join(table.alias("t"), (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value")) & close)
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import storage
-from palimpsest.llm import simhash
+from palimpsest.llm import rare_shingles, simhash
 from tests.llm.test_operators import prose
 
 
@@ -110,3 +110,12 @@ def test_balls_of_fingerprints_are_not_broadcast(spark):
     """Spark takes an exploded table for as large as its file, which is far below its limit for broadcasts."""
     distinct = storage.materialise(spark.createDataFrame([(i * 7,) for i in range(100)], "fp long"), "few-fingerprints")
     assert "Broadcast" not in plan_of(simhash.links(distinct))
+
+
+def test_probes_and_shared_shingles_are_not_broadcast(spark):
+    rows = [(i, i * 7, 10) for i in range(100)]
+    nodes = storage.materialise(spark.createDataFrame(rows, "doc_id long, fp long, n long"), "few-nodes")
+    assert "Broadcast" not in plan_of(simhash._met(simhash._probes(nodes), simhash._table(nodes), F.col("b") < F.col("a")))
+    schema = "doc_id long, root long, place int, shingle long, before array<long>, n long, sketch0 long, sketch1 long, sketch2 long, sketch3 long"
+    shared = storage.materialise(spark.createDataFrame([(i, i, 0, i % 9, [], 10, 0, 0, 0, 0) for i in range(100)], schema), "few-shingles")
+    assert "Broadcast" not in plan_of(rare_shingles.meetings(shared, 0.8, F.lit(True)))
