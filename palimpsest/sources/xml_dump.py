@@ -11,7 +11,8 @@ and removal of repeats by key.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import CASES, FORMATS, MODELS, decoded, normal_title, without_prefix
-from palimpsest.storage import materialise
+from palimpsest.storage import by_shuffle, materialise
 
 _text = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_bytes", T.IntegerType())])
 _contributor = T.StructType([T.StructField("username", T.StringType()), T.StructField("id", T.LongType()), T.StructField("ip", T.StringType())])
@@ -49,57 +50,130 @@ def _read(spark: SparkSession, path: str | list[str], tag: str, schema: T.Struct
 REVISION_END = "</revision>"
 #: The head of a page: what stands between its tag and its first revision or its end.
 HEAD = re.compile(r"<page>(.*?)(?=<revision>|</page>|\Z)", re.DOTALL)
-_LOCATED = "file string, split long, place long, heads array<string>, head string, value string"
+#: A revision as exports write it. Any other is parsed by Spark, which takes twenty times as long.
+USUAL = re.compile(
+    r"\s*<id>(\d{1,18})</id>\s*(?:<parentid>(\d{1,18})</parentid>\s*)?<timestamp>([^<>&]+)</timestamp>\s*<contributor>\s*(?:<username>([^<>&]+)</username>\s*<id>(\d{1,18})</id>|<ip>([^<>&]+)</ip>)\s*</contributor>\s*"
+    r"(<minor ?/>\s*)?(?:<comment>([^<>&]*)</comment>\s*)?(?:<model>([^<>&]+)</model>\s*)?(?:<format>([^<>&]+)</format>\s*)?<text(?: xml:space=\"preserve\"| bytes=\"(\d{1,9})\"){0,2}>([^<>]*)</text>\s*(?:<sha1>([^<>&]+)</sha1>\s*)?\Z",
+    re.ASCII,
+)
+#: What ``USUAL`` finds, by column.
+FOUND = {"r_id": pa.int64(), "r_parentid": pa.int64(), "r_timestamp": pa.string(), "r_username": pa.string(), "r_userid": pa.int64(), "r_ip": pa.string(), "r_minor": pa.string(), "r_comment": pa.string(), "r_model": pa.string(), "r_format": pa.string(), "r_bytes": pa.int32(), "r_text": pa.string(), "r_sha1": pa.string()}
+_CHARACTERS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}  # the ampersand last
+_LOCATED = "file string, split long, place long, heads array<string>, head string, value string, " + ", ".join(f"{c} {'string' if t == pa.string() else 'long' if t == pa.int64() else 'int'}" for c, t in FOUND.items())
+
+
+def _usual(value: str) -> tuple | None:
+    """What ``FOUND`` names of a revision; none if it isn't as usual."""
+    found = USUAL.match(value, value.find("<revision>") + len("<revision>")) if "<revision>" in value and "\r" not in value else None
+    if found is None or any(x and x.isspace() for x in found.groups()):  # the parser has a way with these
+        return None
+    number, parent, *rest, size, text, sha1 = found.groups()
+    if "&" in text:
+        if text.count("&") != sum(map(text.count, _CHARACTERS)):
+            return None
+        for entity, character in _CHARACTERS.items():
+            text = text.replace(entity, character)
+    rest[2] = rest[2] and int(rest[2])
+    return int(number), parent and int(parent), *rest, size and int(size), text, sha1
+
 
+def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.option("lineSep", REVISION_END).text(path)
 
-def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+
+def _records(spark: SparkSession, path: str | list[str], heads_only: bool = False) -> DataFrame:
     """``file, split, place, heads, head, value``: pieces of the dump up to each end of a revision, in order of ``place`` within their split.
 
     ``heads`` are those of the pages that begin in the piece; ``head`` is that of the page of its revision, null where it stands in an earlier split.
+    A revision that is as usual is in the columns of ``FOUND``, and ``value`` is then null. ``heads_only`` leaves out pieces in which no page begins.
     """
-    lines = spark.read.option("lineSep", REVISION_END).text(path)
+    lines = _pieces(spark, path)
+    lines = lines.where(F.col("value").contains("<page>")) if heads_only else lines
     placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    nothing = (None,) * len(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, place, head = None, 0, None
         for batch in batches:
-            places, heads, own = [], [], []
-            for file, split, value in zip(batch["file"].to_pylist(), batch["split"].to_pylist(), batch["value"], strict=True):
-                if (file, split) != at:
-                    at, place, head = (file, split), 0, None
-                text = value.as_py()
+            places, heads, own, values, rows = [], [], [], [], []
+            files = batch["file"].dictionary_encode()
+            names = files.dictionary.to_pylist()
+            for number, split, text in zip(files.indices.to_pylist(), batch["split"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if at is None or split != at[1] or names[number] != at[0]:
+                    at, place, head = (names[number], split), 0, None
                 found = HEAD.findall(text) if "<page>" in text else []
                 head = found[-1] if found else head
+                usual = None if heads_only else _usual(text)
                 places.append(place)
                 heads.append(found)
                 own.append(head)
+                values.append(None if usual else text)
+                rows.append(usual or nothing)
                 place += 1
-            yield pa.RecordBatch.from_arrays([batch["file"], batch["split"], pa.array(places, pa.int64()), pa.array(heads, pa.list_(pa.string())), pa.array(own, pa.string()), batch["value"]], names=["file", "split", "place", "heads", "head", "value"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), FOUND.values(), strict=True)] if rows else [pa.array([], t) for t in FOUND.values()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["file"], batch["split"], pa.array(places, pa.int64()), pa.array(heads, pa.list_(pa.string())), pa.array(own, pa.string()), pa.array(values, pa.string()), *columns],
+                names=["file", "split", "place", "heads", "head", "value", *FOUND],
+            )
 
     return placed.mapInArrow(run, _LOCATED)
 
 
-def _headed(records: DataFrame) -> DataFrame:
+def _site(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The heads of the dump's files, one row a file."""
+    inside = F.regexp_extract("value", r"(?s)<siteinfo(?:\s[^>]*)?>(.*?)</siteinfo>", 1)
+    found = _pieces(spark, path).where(F.col("value").contains("</siteinfo>")).select(_element("siteinfo", inside, SITE_ELEMENT).alias("s")).select("s.*")
+    return materialise(found, "site")
+
+
+def _tails(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, split, _tail``: the last head in each split, one row a split; null where no page begins."""
+    head = F.when(F.col("value").contains("<page>"), F.regexp_extract("value", r"(?s).*<page>(.*?)(?:<revision>|</page>|\z)", 1))
+    rows = _pieces(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), head.alias("head"), F.monotonically_increasing_id().alias("place"))
+    return rows.groupBy("file", "split").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("_tail"))
+
+
+def _headed(records: DataFrame, tails: DataFrame) -> DataFrame:
     """``records`` with the heads that their splits inherit: of a file's splits, in order, the last that has one."""
-    tails = records.groupBy("file", "split").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("_tail"))  # one row a split
     inherited = tails.select("file", "split", F.last("_tail", ignorenulls=True).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("_inherited")).where("_inherited IS NOT NULL")
-    known, lacking = records.where("head IS NOT NULL"), records.where("head IS NULL")
-    return known.unionByName(lacking.join(inherited, ["file", "split"]).withColumn("head", F.col("_inherited")).drop("_inherited"))
+    return records.join(F.broadcast(inherited), ["file", "split"], "left").withColumn("head", F.coalesce("head", "_inherited")).drop("_inherited").where("head IS NOT NULL")  # one row a split
 
 
 def _element(name: str, inside: Column, schema: T.StructType) -> Column:
     return F.from_xml(F.concat(F.lit(f"<{name}>"), inside, F.lit(f"</{name}>")), schema.simpleString(), {"ignoreSurroundingSpaces": "false", "rowTag": name})
 
 
+#: The head of a page as exports write it.
+USUAL_HEAD = r"^\s*<title>([^<>&\r]*[^<>&\s][^<>&\r]*)</title>\s*<ns>(-?[0-9]{1,9})</ns>\s*<id>([0-9]{1,18})</id>\s*(?:<redirect title=\"[^\"<>&]*\" ?/>\s*)?$"
+
+
+def _page_of(head: Column) -> Column:
+    """``title, ns, id`` of a page's head."""
+    part = lambda i: F.regexp_extract(head, USUAL_HEAD, i)
+    usual = F.struct(part(1).alias("title"), part(2).cast("int").alias("ns"), part(3).cast("long").alias("id"))
+    return F.when(head.rlike(USUAL_HEAD), usual).otherwise(_element("page", head, PAGE_HEAD))
+
+
 def _pages(records: DataFrame) -> DataFrame:
     """``id, ns, title`` of every ``<page>``, those without revisions included."""
-    return records.select(F.explode("heads").alias("head")).select(_element("page", F.col("head"), PAGE_HEAD).alias("p")).select("p.*")
+    return records.select(F.explode("heads").alias("head")).select(_page_of(F.col("head")).alias("p")).select("p.*")
+
 
+def _revisions(records: DataFrame, tails: DataFrame) -> DataFrame:
+    """``id, ns, title`` of the page and ``value``, the text of the element, of every revision; the columns of ``FOUND`` where ``value`` is null."""
+    complete = _headed(records.where(F.col("r_id").isNotNull() | F.col("value").contains("<revision>")), tails)
+    value = F.substr("value", F.locate("<revision>", F.col("value")) + len("<revision>")).alias("value")
+    return complete.select(_page_of(F.col("head")).alias("p"), value, *FOUND).select("p.*", "value", *FOUND)
 
-def _revisions(records: DataFrame) -> DataFrame:
-    """``id, ns, title`` of the page and ``value``, the text of the element, of every revision."""
-    complete = _headed(records.where(F.col("value").contains("<revision>")))
-    return complete.select(_element("page", F.col("head"), PAGE_HEAD).alias("p"), F.substr("value", F.locate("<revision>", F.col("value")) + len("<revision>")).alias("value")).select("p.*", "value")
+
+def _revision_of() -> Column:
+    """The parsed element."""
+    c = lambda name: F.col(f"r_{name}")
+    usual = F.struct(
+        c("id").alias("id"), c("parentid").alias("parentid"), c("timestamp").alias("timestamp"), F.struct(c("username").alias("username"), c("userid").alias("id"), c("ip").alias("ip")).alias("contributor"),
+        c("minor").alias("minor"), c("comment").alias("comment"), c("model").alias("model"), c("format").alias("format"), F.struct(c("text").alias("_VALUE"), c("bytes").alias("_bytes")).alias("text"), c("sha1").alias("sha1"),
+    )
+    return F.when(F.col("r_id").isNotNull(), usual).otherwise(_element("revision", F.col("value"), _revision))
 
 
 def files_by_wiki(spark: SparkSession, paths: list[str]) -> dict[str | None, list[str]]:
@@ -116,19 +190,20 @@ def in_namespaces(ids=()) -> Column:
     return F.col("ns").isin(*ids) if ids else F.lit(True)
 
 
-def read_dump(spark: SparkSession, path: str | list[str], accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> dict[str, DataFrame]:
+def read_dump(spark: SparkSession, path: str | list[str], accept: Column | None = None, aliases: dict[int, list[str]] | None = None, staged: bool = False) -> Mapping[str, DataFrame]:
     """The tables ``wiki, namespace, page, revision, contributor`` of one wiki's dump files.
 
     ``accept`` is a condition on ``id, ns, title`` that is tested before revisions are parsed (SRC6).
     A page may be continued in a later element; repeated revisions count once, as does
     a contributor, by the name of its first revision. ``aliases`` are further namespace
     names by id, which dumps lack. ``staged`` parses the dump once into Parquet in the shared
-    folder, from which the tables then read; otherwise each table that is used scans the XML.
+    folder, from which the tables then read; otherwise each table that is used scans the XML,
+    and ``revision`` counts the ids of revisions when it is asked for.
     """
-    site, records = _read(spark, path, "siteinfo", SITE_ELEMENT), _records(spark, path)
+    site, records = _site(spark, path), _records(spark, path)
     if staged:
-        site, records = materialise(site, "site"), materialise(records, "dump")
-    pages, held = _pages(records), _revisions(records)
+        records = materialise(records, "dump")
+    pages, held = _pages(records if staged else _records(spark, path, heads_only=True)), _revisions(records, _tails(spark, path))
     if accept is not None:
         pages, held = pages.where(accept), held.where(accept)
     wiki = site.select(
@@ -150,7 +225,7 @@ def read_dump(spark: SparkSession, path: str | list[str], accept: Column | None
         .select("db_name", "page_id", "ns_id", normal_title(F.col("title"), F.col("_case")).alias("title"))
     )
 
-    rows = held.select(F.col("id").alias("page_id"), _element("revision", F.col("value"), _revision).alias("r")).where("r.id IS NOT NULL")  # a file may be cut off
+    rows = held.select(F.col("id").alias("page_id"), _revision_of().alias("r")).where("r.id IS NOT NULL")  # a file may be cut off
     author = F.col("r.contributor")
     revision = rows.select(
         F.col("r.id").alias("revision_id"), "page_id", F.nullif(F.col("r.parentid"), F.lit(-1)).alias("parent_id"),
@@ -159,15 +234,51 @@ def read_dump(spark: SparkSession, path: str | list[str], accept: Column | None
         decoded(MODELS, F.col("r.model"), "WIKITEXT", "UNKNOWN").alias("model"), decoded(FORMATS, F.col("r.format"), "TEXT_XWIKI", None).alias("format"),
         F.coalesce(F.nullif(F.col("r.text._bytes"), F.lit(0)), F.octet_length(F.coalesce("r.text._VALUE", F.lit("")))).alias("bytes"), F.coalesce("r.text._VALUE", F.lit("")).alias("text"),
     )
-    revision = _first_of_each(rows, revision).join(db, F.lit(True)).select("db_name", *revision.columns)
+    numbers = _numbers(spark, path) if not staged else rows.select(F.col("r.id").alias("revision_id"))
+    once = lambda: _first_of_each(numbers, revision).join(db, F.lit(True)).select("db_name", *revision.columns)
     named = rows.where(author["id"].isNotNull()).select(author["id"].alias("contributor_id"), author["username"].alias("name"), F.struct("r.timestamp", "r.id").alias("at"))
     contributor = named.groupBy("contributor_id").agg(F.min_by("name", "at").alias("name")).join(db, F.lit(True)).select("db_name", "contributor_id", "name")
-    return {"wiki": wiki, "namespace": namespace, "page": page, "revision": revision, "contributor": contributor}
+    return Tables({"wiki": lambda: wiki, "namespace": lambda: namespace, "page": lambda: page, "revision": cache(once), "contributor": lambda: contributor})
+
+
+class Tables(Mapping):
+    """Tables by name; each is made when it is asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers = makers
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
 
+    def __len__(self) -> int:
+        return len(self._makers)
 
-def _first_of_each(rows: DataFrame, revision: DataFrame) -> DataFrame:
-    """Each revision once. Only ids are counted; of repeated ones the content with the smallest hash stays, whatever the order of the files."""
-    again = rows.groupBy(F.col("r.id").alias("revision_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("revision_id")
+
+def _numbers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``revision_id`` of all revisions in the files, whatever their pages, and perhaps of some that are cut off."""
+    value = F.substr("value", F.locate("<revision>", F.col("value")) + len("<revision>"))
+    number = F.regexp_extract("value", r"<revision>\s*<id>([0-9]{1,18})</id>", 1)
+    held = _pieces(spark, path).where(F.col("value").contains("<revision>"))
+    return held.select(F.when(number != "", number.cast("long")).otherwise(_element("revision", value, _revision)["id"]).alias("revision_id"))
+
+
+#: Ids of repeated revisions up to so many are sent to all executors; more are joined by shuffle.
+BROADCAST_IDS = 100_000
+
+
+def _first_of_each(numbers: DataFrame, revision: DataFrame) -> DataFrame:
+    """Each revision once. Only ids are counted, right away; of repeated ones the content with the smallest hash stays, whatever the order of the files.
+
+    ``numbers`` may have more ids than ``revision``. Where none is repeated, as in most dumps, no revision is shuffled.
+    """
+    again = materialise(numbers.groupBy("revision_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("revision_id"), "repeated")
+    n = again.count()
+    if not n:
+        return revision
+    again = F.broadcast(again) if n <= BROADCAST_IDS else by_shuffle(again)
     repeated = revision.join(again, "revision_id", "left_semi")
     rest = [c for c in revision.columns if c != "revision_id"]
     first = repeated.groupBy("revision_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_r")).select("revision_id", "_r.*").select(revision.columns)
